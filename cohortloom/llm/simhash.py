@@ -101,10 +101,86 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(table, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id. All columns stay; rows with a null id do too."""
-    groups = simhash_groups(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text", words)
-    first = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("first_id")).distinct()
+# ---- near copies by the share of shingles ---------------------------------------
+
+#: Shingles of the similarity that near copies are told by, and its least value.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+#: Least hashes in a sketch, and how many of them make a band key: 32 bands of 8.
+SKETCH, BAND = 256, 8
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each of ``SKETCH`` hash functions over a set: two sets agree in as large a share as they overlap."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048, None] ^ (hashes[at : at + 2048, None] >> np.uint64(29))
+        np.minimum(least, (part * _ODD[0] + _ODD[1]).min(0), out=least)
+    return (least >> np.uint64(32)).astype("<u4")
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    rows = s.astype(np.uint64).reshape(-1, BAND)
+    mixed = (rows * _ODD[0, :BAND]).sum(1, dtype=np.uint64) ^ (np.arange(len(rows), dtype=np.uint64) * _ODD[1, 0])
+    return ((mixed ^ (mixed >> np.uint64(32))) * _ODD[1, 1]).view(np.int64)
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id. All columns stay.
+
+    Documents link by fingerprints at two or fewer differing bits, as in
+    ``simhash_groups``; but fingerprints of texts that share 80 % of their five-word
+    shingles mostly differ in more bits than any ball can span. So documents also
+    link if sketches of their shingle sets agree in a band and then in
+    ``similarity`` of all places. Within a band's bucket each document is compared
+    with the smallest and the largest id, so that work grows with the bucket, not
+    with its square.
+
+    Texts of the same shingles fold into one before anything else. Empty texts are
+    one group; rows with a null id stay, as do extra columns; of rows that share an
+    id one stays; an empty table gives an empty result.
+    """
+    arrow_batches(docs.sparkSession)
+
+    @F.pandas_udf("fp long, whole string, sketch binary, bands array<long>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                s = np.unique(shingle_hashes(t, SIMILAR_WORDS))
+                k = sketch(s)
+                fp = np.array([simhash(shingle_hashes(t))], np.uint64).view(np.int64)[0]
+                rows.append((int(fp), xxhash.xxh3_128_hexdigest(s.tobytes()), k.tobytes(), band_keys(k)))
+            yield pd.DataFrame(rows, columns=["fp", "whole", "sketch", "bands"])
+
+    @F.pandas_udf("double")
+    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4"))) for x, y in zip(a, b)], dtype="float64")
+
     known = docs.where(docs[id_col].isNotNull())
-    kept = known.join(first, known[id_col] == first["first_id"], "left_semi").dropDuplicates([id_col])
+    read_all = cut(pick(known, id=id_col, text=text_col).select("id", read("text").alias("x")).select("id", "x.*"))
+    first = read_all.groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    one_each = cut(first.select("id", "fp"))
+    sketches = cut(read_all.select("id", "sketch", "bands").join(one_each.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+
+    bands = sketches.select("id", F.explode("bands").alias("key"))
+    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
+    met = bands.join(ends, "key")
+    pairs = met.select("id", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("id") != F.col("end"))
+    pairs = pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    similar = pairs.join(left, "a").join(right, "b").where(agreement("sa", "sb") >= similarity).select("a", "b")
+
+    by_fp = one_each.groupBy("fp").agg(F.min("id").alias("named"))
+    same = one_each.join(by_fp, "fp").where(F.col("id") != F.col("named")).select(F.col("named").alias("a"), F.col("id").alias("b"))
+    close = links(by_fp.select("fp"))
+    of_a, of_b = by_fp.toDF("a", "na"), by_fp.toDF("b", "nb")
+    close = close.join(of_a, "a").join(of_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+    groups = components(cut(similar.unionByName(same).unionByName(close)))
+    others = groups.where(F.col("node") != F.col("component")).select("node")
+    kept_ids = one_each.join(others, one_each["id"] == others["node"], "left_anti").select(F.col("id").alias("kept_id"))
+    kept = known.join(kept_ids, known[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(docs[id_col].isNull()))
