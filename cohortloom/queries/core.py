@@ -154,10 +154,10 @@ def label_filter(spark: SparkSession, sf: str) -> DataFrame:
     return apply_frame(filings(spark, sf), f, segment="building").df.select("rec", "id")
 
 
-@query(f"WITH {F_SQL}, s AS (SELECT id, avg(v) AS v_mean FROM f GROUP BY id) SELECT rec, round(v_mean, 4) AS v_mean FROM f JOIN s USING (id)")
+@query(f"WITH {F_SQL}, s AS (SELECT id, avg(v) AS v_mean FROM f GROUP BY id) SELECT rec, round(v_mean, 2) AS v_mean FROM f JOIN s USING (id)")
 def group_stat(spark: SparkSession, sf: str) -> DataFrame:
     f = create_frame(entity="id", time="t").add_refresh(action="group_stat", by="id", value="v", fun="mean")
-    return longs(apply_frame(filings(spark, sf), f).df.select("rec", "v_mean"))
+    return apply_frame(filings(spark, sf), f).df.select("rec", F.round("v_mean", 2).alias("v_mean"))
 
 
 @query("SELECT l_orderkey, l_quantity FROM lineitem")
