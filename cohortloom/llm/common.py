@@ -34,6 +34,11 @@ def flat(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
 
 
+def at(df: DataFrame, name: str) -> str:
+    """Where ``flat`` puts the first column spelled ``name``."""
+    return f"c{df.columns.index(name)}"
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone. ``lower`` is quick and equal on pure ASCII; other texts are translated."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

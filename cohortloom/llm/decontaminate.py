@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick
+from .common import arrow_batches, at, flat, pick
 from .tokens import plain_words
 
 SEED_WORDS = 3
@@ -82,8 +82,8 @@ def rare_seeds(items: list[Item], n: int, held_by: dict[tuple, int], n_docs: int
     for k, item in enumerate(items):
         grams = item.grams(n)
         counts = [held_by.get(g, 0) for g in grams]
-        for at in range(0, len(grams), stretch):
-            part = range(at, min(at + stretch, len(grams)))
+        for begin in range(0, len(grams), stretch):
+            part = range(begin, min(begin + stretch, len(grams)))
             least = min(part, key=lambda i: (counts[i], i))
             for i in part:
                 if counts[i] and (counts[i] <= most or i == least):
@@ -228,6 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns stay."""
     found = leaks_of(docs, benchmark, text_col, **options)
+    rows, names = flat(docs)
     for f in found:
-        docs = docs.where(F.size(f(docs[text_col])) == 0)
-    return docs
+        rows = rows.where(F.size(f(rows[at(docs, text_col)])) == 0)
+    return rows.toDF(*names)

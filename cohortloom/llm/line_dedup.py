@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, cut, flat, pick
+from .common import WHITE, ascii_lower, at, cut, flat, pick
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -64,11 +64,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All rows and columns stay; a text without dropped lines, a null one too, stays as it is.
     """
     src, names = flat(docs)
-    src = src.withColumns({"id": F.col(f"c{names.index(id_col)}"), "text": F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))})
+    src = src.withColumns({"id": F.col(at(docs, id_col)), "text": F.coalesce(F.col(at(docs, text_col)), F.lit(""))})
     out = _marked(src, min_chars, min_docs).withColumn("kept", F.when(F.col("drop").isNotNull(), _kept()))
-    new = {text_col: F.col("kept")} | ({chars_col: F.length("kept")} if chars_col else {})
-    kinds = dict(docs.dtypes)
-    return out.select(*[F.coalesce(new[n].cast(kinds[n]), F.col(f"c{i}")).alias(n) if n in new else F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    new = {at(docs, text_col): F.col("kept")} | ({at(docs, chars_col): F.length("kept")} if chars_col in names else {})
+    columns = [(f"c{i}", kind) for i, (_, kind) in enumerate(docs.dtypes)]
+    return out.select(*[F.coalesce(new[c].cast(kind), F.col(c)).alias(c) if c in new else F.col(c) for c, kind in columns]).toDF(*names)
 
 
 def _kept() -> Column:

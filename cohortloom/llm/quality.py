@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick
+from .common import arrow_batches, at, flat, pick
 from .sparse import Rows, fista, sigmoid
 
 BAD, GOOD, NONE = 0, 1, 2
@@ -120,17 +120,17 @@ class Reader:
         n = len(words)
         if not n:
             return np.empty(0), np.empty(0, np.int64), np.empty(0)
-        at = self._rows(words)
-        t = self.table[at]
-        echoes = at[1:] == at[:-1]
+        seen = self._rows(words)
+        t = self.table[seen]
+        echoes = seen[1:] == seen[:-1]
         buckets, counts = np.unique(np.concatenate([t[:, 9], np.full(int(echoes.sum()), BUCKETS - 1)]), return_counts=True)
         if n < MIN_WORDS:
             return np.empty(0), buckets, counts / n
         symbol, shout, bar, unclean, odd, chars, marks, letters, capitals = t[:, :9].sum(0)
-        top = np.unique(at, return_counts=True)[1].max()
+        top = np.unique(seen, return_counts=True)[1].max()
         lines = [x for line in text.split("\n") if (x := line.rstrip())]
         open_lines = sum(not x.endswith(ENDS) for x in lines) / max(len(lines), 1)
-        shares = [symbol / n, capitals / max(letters, 1), shout / n, bar / n, marks / chars, unclean / n, echoes.mean(), (echoes[1:] & echoes[:-1]).mean(), ((at[3:] == at[1:-2]) | (at[3:] == at[:-3])).mean(), top / n, open_lines, odd / n]
+        shares = [symbol / n, capitals / max(letters, 1), shout / n, bar / n, marks / chars, unclean / n, echoes.mean(), (echoes[1:] & echoes[:-1]).mean(), ((seen[3:] == seen[1:-2]) | (seen[3:] == seen[:-3])).mean(), top / n, open_lines, odd / n]
         return np.array(shares, float), buckets, counts / n
 
     def votes(self, text: str | None) -> int:
@@ -253,7 +253,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
 
 
 def quality_score(docs: DataFrame, scorer: Scorer, text_col: str = "text"):
-    """A column with P(good) of ``text_col``; a text without words has the bias alone."""
+    """A column with P(good) of ``text_col``, by its name in ``docs``; a text without words has the bias alone."""
     arrow_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -284,4 +284,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> DataFrame:
     """``docs`` without the rows that the scorer rejects; all columns stay."""
     _, scorer = train(docs, id_col, text_col, max_fitted)
-    return docs.where(quality_score(docs, scorer, text_col) >= 0.5)
+    rows, names = flat(docs)
+    return rows.where(quality_score(rows, scorer, at(docs, text_col)) >= 0.5).toDF(*names)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, pick
+from .common import arrow_batches, at, cut, flat, pick
 from .components import components
 
 SHINGLE = 3
@@ -42,8 +42,8 @@ def shingle_hashes(text: str | None, words: int = SHINGLE, seed: int = SEED) ->
 def simhash(hashes: np.ndarray) -> int:
     """A bit is set if it is set in over half the hashes; none: zero."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        part = hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+    for begin in range(0, len(hashes), BLOCK):
+        part = hashes[begin : begin + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(sum(1 << int(b) for b in np.nonzero(2 * ones > len(hashes))[0]))
 
@@ -114,8 +114,9 @@ _ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint6
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The least value of each of ``SKETCH`` hash functions over a set: two sets agree in as large a share as they overlap."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048, None] ^ (hashes[at : at + 2048, None] >> np.uint64(29))
+    for begin in range(0, len(hashes), 2048):
+        part = hashes[begin : begin + 2048, None]
+        part = part ^ (part >> np.uint64(29))
         np.minimum(least, (part * _ODD[0] + _ODD[1]).min(0), out=least)
     return (least >> np.uint64(32)).astype("<u4")
 
@@ -158,8 +159,10 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4"))) for x, y in zip(a, b)], dtype="float64")
 
-    known = docs.where(docs[id_col].isNotNull())
-    read_all = cut(pick(known, id=id_col, text=text_col).select("id", read("text").alias("x")).select("id", "x.*"))
+    rows, names = flat(docs)
+    key, text = at(docs, id_col), at(docs, text_col)
+    known = rows.where(F.col(key).isNotNull())
+    read_all = cut(known.select(F.col(key).alias("id"), read(text).alias("x")).select("id", "x.*"))
     first = read_all.groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
     one_each = cut(first.select("id", "fp"))
     sketches = cut(read_all.select("id", "sketch", "bands").join(one_each.select("id"), "id", "left_semi").dropDuplicates(["id"]))
@@ -182,5 +185,5 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = components(cut(similar.unionByName(same).unionByName(close)))
     others = groups.where(F.col("node") != F.col("component")).select("node")
     kept_ids = one_each.join(others, one_each["id"] == others["node"], "left_anti").select(F.col("id").alias("kept_id"))
-    kept = known.join(kept_ids, known[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    kept = known.join(kept_ids, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(rows.where(F.col(key).isNull())).toDF(*names)

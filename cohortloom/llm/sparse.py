@@ -17,10 +17,10 @@ class Rows:
         self.value = np.concatenate(values) if values else np.ones(len(self.index))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.index] * self.value, self.n)
+        return np.bincount(self.row, w[self.index] * self.value, self.n).astype(float)
 
     def transposed_dot(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.index, g[self.row] * self.value, size)
+        return np.bincount(self.index, g[self.row] * self.value, size).astype(float)
 
     def norm(self, size: int) -> float:
         """The largest singular value, by power iteration."""

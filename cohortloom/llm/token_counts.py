@@ -21,9 +21,10 @@ from .common import arrow_batches, pick
 LIMIT = 512
 #: Counts remembered per Python worker; a full store is emptied, which costs time and changes nothing.
 REMEMBERED = 400_000
-#: The byte-level vocabulary's own split of a text into words (fixed value of the format).
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-GAP = regex.compile(r"\s\s")
+#: The byte-level vocabulary's own split of a text into words (fixed value of the format). White space is
+#: Unicode's: Python's own has four control characters more.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+GAP = regex.compile(r"\p{White_Space}{2}")
 
 
 def byte_symbols() -> list[str]:
