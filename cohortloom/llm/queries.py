@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
-from .license_scan import license_scan
+from .license_scan import BASE, BASE_CONFIDENCE, CONFIDENCE, SPAN, license_scan, signatures
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality
@@ -18,7 +18,7 @@ from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .token_counts import token_counts
 from .toxicity import toxicity
-from .url_filter import url_filter
+from .url_filter import DEPTH, MAX_CHILDREN, MIN_LABELLED, MIN_PURITY, MIN_SHARE, RULES, SIMILAR, SMOOTHING, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,5 +106,73 @@ FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
 """
 
 
+def _op5() -> str:
+    """The template tree, level by level."""
+    ordered = sorted(RULES, key=lambda r: (-len(r.name), r.name))
+
+    def case(of) -> str:
+        fits = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{of(r)}'" for r in ordered]
+        return "CASE " + " ".join(fits) + " END"
+
+    parts = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    levels = ""
+    for d in range(DEPTH):
+        m, pooled = "(n.a + n.b)", "(p.all_a / (p.all_a + p.all_b))"
+        levels += f""",
+s{d} AS (SELECT *, coalesce(segs[{d + 1}], '') AS seg FROM t{d}),
+n{d} AS (SELECT host, prefix, seg, sum(n) AS n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM s{d} GROUP BY ALL),
+p{d} AS (SELECT host, prefix, count(*) AS k, sum(n) AS all_n, sum(a) AS all_a, sum(b) AS all_b FROM n{d} GROUP BY ALL),
+m{d} AS (SELECT n.host, n.prefix, n.seg, CASE WHEN n.seg = '' THEN '' WHEN (p.k > {MAX_CHILDREN} AND n.n < {MIN_SHARE} * p.all_n)
+  OR (p.k > 1 AND {m} >= {MIN_LABELLED} AND abs(n.a / {m} - {pooled}) <= {SIMILAR} * sqrt({pooled} * (1 - {pooled}) / {m}) + 1e-12) THEN '/*' ELSE '/' || n.seg END AS name
+  FROM n{d} n JOIN p{d} p USING (host, prefix)),
+t{d + 1} AS (SELECT s.host, s.segs, s.n, s.a, s.b, s.prefix || m.name AS prefix FROM s{d} s JOIN m{d} m USING (host, prefix, seg))"""
+    last = f"t{DEPTH}"
+    of_host = f"((h.ha + {SMOOTHING} * p0) / (h.ha + h.hb + {SMOOTHING}))"
+    return f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {parts}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), {parts}, 2) AS path FROM pages),
+l AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
+j AS (SELECT page_id, host, path, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS label,
+  list_concat(list_transform(parts[1:{DEPTH}], lambda s: CASE WHEN regexp_matches(s, '^[0-9]+(\\.[a-z]{{1,5}})?$') THEN '{{n}}' WHEN regexp_matches(s, '^[0-9a-fA-F-]{{8,}}$') THEN '{{x}}'
+    WHEN length(s) > 40 OR regexp_matches(s, '-.*-.*-') THEN '{{s}}' ELSE s END), CASE WHEN len(parts) > {DEPTH} THEN ['{{more}}'] ELSE [] END) AS segs FROM l),
+t0 AS (SELECT host, segs, count(*) AS n, sum((label IS NOT DISTINCT FROM 'allow')::INT) AS a, sum((label IS NOT DISTINCT FROM 'block')::INT) AS b, '' AS prefix FROM j GROUP BY host, segs){levels},
+g AS (SELECT (sum(a) + 1) / (sum(a) + sum(b) + 2)::DOUBLE AS p0 FROM {last}),
+h AS (SELECT host, sum(a)::DOUBLE AS ha, sum(b)::DOUBLE AS hb FROM {last} GROUP BY host),
+f AS (SELECT host, prefix, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM {last} GROUP BY host, prefix),
+q AS (SELECT f.host, f.prefix, a + b AS labelled, (a + {SMOOTHING} * {of_host}) / (a + b + {SMOOTHING}) AS purity FROM f JOIN h USING (host), g)
+SELECT page_id, j.host, path, rule, coalesce(label, CASE WHEN labelled >= {MIN_LABELLED} AND purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+  j.host || t.prefix AS template, round(purity, 9) AS purity
+FROM j JOIN {last} t ON j.host = t.host AND j.segs = t.segs JOIN q ON q.host = t.host AND q.prefix = t.prefix
+"""
+
+
+def _op9() -> str:
+    """Base phrases and signatures as tables; a detection is hidden by an earlier one that holds it."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    rules = ", ".join(f"({quoted(s.keyword)}, {quoted(f'^({s.pattern})( |$)')}, {quoted(s.label)}, {s.priority})" for s in signatures())
+    base = ", ".join(f"({quoted(p)}, {quoted(label)}, {len(p.split())})" for p, label in BASE)
+    firsts = ", ".join(quoted(p.split()[0]) for p, _ in BASE)
+    score = " ".join(f"WHEN {p} THEN {c}" for p, c in CONFIDENCE.items())
+    return rf"""
+WITH rules(keyword, pattern, label, priority) AS (VALUES {rules}), phrases(phrase, label, k) AS (VALUES {base}),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+i AS (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w),
+k AS (SELECT doc_id, i, words[i + 1] AS word, array_to_string(words[i + 1:i + {SPAN}], ' ') AS ahead FROM i WHERE words[i + 1] IN (SELECT keyword FROM rules) OR words[i + 1] IN ({firsts})),
+b AS (SELECT doc_id, i, label FROM k, phrases WHERE ahead = phrase OR starts_with(ahead, phrase || ' ')),
+d AS (SELECT doc_id, i AS a, i + len(string_split(regexp_extract(ahead, pattern, 1), ' ')) AS z, priority, label FROM k JOIN rules ON word = keyword WHERE regexp_extract(ahead, pattern, 1) <> ''),
+e AS (SELECT DISTINCT * FROM d),
+s AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.z >= x.z AND y.priority <= x.priority
+      AND (y.a < x.a OR y.z > x.z OR y.priority < x.priority OR y.label < x.label))),
+m AS (SELECT doc_id, min(priority) AS best FROM s GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+o AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM s) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE best {score} ELSE CASE WHEN n_base > 0 THEN {BASE_CONFIDENCE} ELSE 0 END END::DOUBLE AS score
+FROM w LEFT JOIN m USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op6_quality_rules": _OP6}
+    return {"op1_line_dedup": _OP1, "op5_url_filter": _op5(), "op6_quality_rules": _OP6, "op9_license_scan": _op9()}
