@@ -66,3 +66,9 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this job wrote, on whatever file system it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
