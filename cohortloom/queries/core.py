@@ -546,3 +546,27 @@ SELECT a.id, a.t, round(avg(b.v), 4) AS v FROM d a JOIN d b ON a.id = b.id AND a
 def weekly_smooth_events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("t"), F.col("value").alias("v"))
     return longs(smooth(e.groupBy("id", "t").agg(F.min("v").alias("v")), "v", 7, "equal", "right", "t", "id"))
+
+
+@query("""WITH f AS (SELECT 'EIN-' || o_custkey AS "EIN2", o_orderkey, year(o_orderdate)::BIGINT AS t, o_orderstatus AS form, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS revenue
+FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998), k AS (SELECT "EIN2" FROM f GROUP BY "EIN2" HAVING count(DISTINCT t) = 3)
+SELECT "EIN2", o_orderkey::VARCHAR AS "OBJECTID", t AS "TAX_YEAR", form AS "RETURN_TYPE", round(revenue, 4) AS "F9_01_REV_TOT_CY", c_name AS org_name_display FROM f
+LEFT JOIN customer ON "EIN2" = 'EIN-' || c_custkey WHERE "EIN2" IN (SELECT "EIN2" FROM k) AND revenue > 50000 AND c_name IS NOT NULL""")
+def panelize_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Write table-years of orders, all text, and build a panel from them: requirement, outer joins, stacking, dimension, rules."""
+    from ..plans.assemble import panelize
+    from ..plans.catalog import data_source
+    from ..sources.shared import shared_folder
+
+    root = shared_folder(spark, "table-years")
+    o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    keys = [F.concat(F.lit("EIN-"), F.col("o_custkey").cast("string")).alias("EIN2"), F.col("o_orderkey").cast("string").alias("OBJECTID"), F.col("y").cast("string").alias("TAX_YEAR")]
+    for y in (1996, 1997, 1998):
+        of_year = o.where(F.col("y") == y)
+        of_year.select(*keys, F.col("o_orderstatus").alias("RETURN_TYPE")).write.parquet(f"{root}/F9-P00-T00-HEADER-{y}.parquet")
+        of_year.where("o_orderkey % 3 <> 0").select(*keys, F.col("o_totalprice").cast("string").alias("F9_01_REV_TOT_CY")).write.parquet(f"{root}/F9-P01-T00-SUMMARY-{y}.parquet")
+    names = table(spark, sf, "customer").select(F.concat(F.lit("ein-"), F.col("c_custkey").cast("string")).alias("EIN2"), F.col("c_name").alias("org_name_display"))
+    frame = (create_frame("orders", record="OBJECTID").add_rule("require", table="P00", present_in="all").add_rule("filter", column="F9_01_REV_TOT_CY", op=">", values=50000.0)
+             .add_rule("filter", column="org_name_display", op="not_in", values=[None]))
+    p = panelize(spark, ["P00", "P01"], [1996, 1997, 1998], data_source(root), frame, dimension=prepare(names, ["EIN2", "org_name_display"]).df, attach="auto")
+    return longs(p.df.select("EIN2", "OBJECTID", "TAX_YEAR", "RETURN_TYPE", "F9_01_REV_TOT_CY", "org_name_display"))
