@@ -13,15 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import arrow_batches, pick
+from .token_counts import byte_symbols
 
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers; a full store is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Ids that may wait in open windows before these are closed, whatever the size of a task's share.
 ROUND_IDS = 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -29,13 +31,21 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 SEQUENCES_BITS = 33
 
 
+#: How the vocabulary splits a word (fixed value of its file), on letters up to ``PLAIN``; other words it splits itself.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = "\u024f"
+SYMBOLS = byte_symbols()
+SPACES = str.maketrans("\n\t\r\x0b\x0c", "     ")
+
+
 class WordIds:
     """Token ids of whole texts from the ids of their words.
 
     The vocabulary's splitter never joins characters across white space, and its
     normaliser works on each side alone, so the ids of a text are those of its
-    white-space separated words, one after another. Words are few beside texts;
-    each is tokenised once and its ids are then copied by numpy.
+    white-space separated words, one after another, and those of a word are its
+    parts'. Words are few beside texts, and parts fewer: each part is tokenised
+    once, and numpy copies the ids of words.
     """
 
     def __init__(self, path: str):
@@ -43,51 +53,68 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
 
+    def _part(self, part: str) -> list[int]:
+        """Ids of one lower-case part, which the model takes with a symbol for each byte."""
+        ids = self.parts.get(part)
+        if ids is None:
+            symbols = part if part.isascii() else "".join([SYMBOLS[b] for b in part.encode()])
+            self.parts[part] = ids = [t.id for t in self.model.tokenize(symbols)]
+        return ids
+
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            counts = np.array([len(x) for x in ids], np.int64)
-            flat = np.array([i for x in ids for i in x], np.uint32)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            n = len(self.index)
-            while n + len(part) > len(self.first):
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.first[n : n + len(part)] = self.used + np.cumsum(counts) - counts
-            self.count[n : n + len(part)] = counts
-            self.used += len(flat)
-            self.index.update((w, n + i) for i, w in enumerate(part))
+        ids = []
+        for w in words:
+            if "<" in w or w != w.lower() or not w.isprintable() or (not w.isascii() and max(w) > PLAIN):
+                ids.append(self.tokenizer.encode(w, add_special_tokens=False).ids)
+                continue
+            found = PARTS.findall(w)
+            ids.append(self._part(found[0]) if len(found) == 1 else [i for p in found for i in self._part(p)])
+        counts = np.array([len(x) for x in ids], np.int64)
+        flat = np.array([i for x in ids for i in x], np.uint32)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        n = len(self.index)
+        while n + len(words) > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.first[n : n + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + len(words)] = counts
+        self.used += len(flat)
+        self.index.update((w, n + i) for i, w in enumerate(words))
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.split(" ") if not any(c in text for c in "\n\t\r\x0b\x0c") else _ascii_words(text)
-        if fresh := {w for w in words if w not in self.index}:
+        # Python lowers the capital sigma by its place in the word and the vocabulary doesn't; special strings are lower case
+        plain = "<|" not in text and "\u03a3" not in text and "\u0130" not in text
+        text = text.lower() if plain else text
+        odd = any(c in text for c in "\t\r\x0b\x0c")
+        words = (text.translate(SPACES) if odd else text.replace("\n", " ")).split(" ")
+        at = list(map(self.index.get, words))
+        if None in at:
+            fresh = sorted({w for w in words if w not in self.index})
             if len(self.index) + len(fresh) > REMEMBERED:
                 self.clear()
-                fresh = set(words)
-            self._learn(list(fresh))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        counts = self.count[at]
+                fresh = sorted(set(words))
+            self._learn(fresh)
+            at = list(map(self.index.__getitem__, words))
+        where = np.array(at, np.int64)
+        counts = self.count[where]
         ends = np.cumsum(counts)
-        shift = np.repeat(self.first[at] - (ends - counts), counts)
+        shift = np.repeat(self.first[where] - (ends - counts), counts)
         return self.pool[shift + np.arange(len(shift))]
 
 
-def _ascii_words(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()]
-
-
 class Windows:
     """Open windows by fill level, and the sum-of-squares choice among them."""
 

@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ MAX_FITTED = 10_000
 EM_ROUNDS = 200
 L1 = 0.02
 ROUNDS = 400
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 SYMBOLS = frozenset("#*$%&|<>")
 #: Letters, hyphens and apostrophes within, with one mark behind at most.
 CLEAN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*[.,;:!?]?")
@@ -51,22 +52,6 @@ LABELLERS = (
 MIN_WORDS = 12
 
 
-@dataclass(frozen=True)
-class Word:
-    """What the labellers and the scorer need to know of one word."""
-
-    symbol: bool
-    shout: bool
-    bar: bool
-    unclean: bool
-    odd: bool
-    chars: int
-    marks: int
-    letters: int
-    capitals: int
-    bucket: int
-
-
 def shape(word: str) -> str:
     """Letters to a or A, digits to 0, others as they are; runs become one."""
     out: list[str] = []
@@ -77,18 +62,25 @@ def shape(word: str) -> str:
     return "".join(out[:12])
 
 
-def describe(word: str) -> Word:
-    return Word(
-        symbol=not SYMBOLS.isdisjoint(word) and word != "|",
-        shout="!!" in word,
-        bar=word == "|",
-        unclean=not CLEAN.fullmatch(word),
-        odd=len(word) > 40,
-        chars=len(word),
-        marks=sum(not c.isalnum() for c in word),
-        letters=sum(c.isalpha() for c in word),
-        capitals=sum(c.isupper() for c in word),
-        bucket=zlib.crc32(shape(word).encode()) % (BUCKETS - 1),
+@cache
+def bucket(shape_of: str) -> int:
+    return zlib.crc32(shape_of.encode()) % (BUCKETS - 1)
+
+
+def describe(word: str) -> tuple[int, ...]:
+    """What the labellers and the scorer need to know of a word: whether it has a symbol or a shout, is a bar,
+    unclean or odd, its characters, marks, letters and capitals, and the bucket of its shape."""
+    core = word[:-1] if word[-1] in ".,;:?!" else word
+    tail = word[len(core) :]
+    if core.isalpha():  # most words, and told quickly
+        n, rest = len(core), core[1:]
+        if core.islower():
+            return 0, 0, 0, 0, len(word) > 40, len(word), len(tail), n, 0, bucket("a" + tail)
+        if rest.islower() and core[0].isupper():
+            return 0, 0, 0, 0, len(word) > 40, len(word), len(tail), n, 1, bucket("Aa" + tail)
+    return (
+        not SYMBOLS.isdisjoint(word) and word != "|", "!!" in word, word == "|", not CLEAN.fullmatch(word), len(word) > 40, len(word),
+        sum(not c.isalnum() for c in word), sum(c.isalpha() for c in word), sum(c.isupper() for c in word), bucket(shape(word)),
     )
 
 
@@ -100,19 +92,19 @@ class Reader:
         self.table = np.zeros((1 << 12, 10), np.int64)
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        fresh = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED and fresh:
-            self.known.clear()
-            fresh = list(set(words))
-        if fresh:
+        places = list(map(self.known.get, words))
+        if None in places:
+            fresh = sorted({w for w in words if w not in self.known})
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known.clear()
+                fresh = sorted(set(words))
             n = len(self.known)
             while n + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for i, w in enumerate(fresh):
-                d = describe(w)
-                self.table[n + i] = d.symbol, d.shout, d.bar, d.unclean, d.odd, d.chars, d.marks, d.letters, d.capitals, d.bucket
-                self.known[w] = n + i
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.table[n : n + len(fresh)] = [describe(w) for w in fresh]
+            self.known.update((w, n + i) for i, w in enumerate(fresh))
+            places = list(map(self.known.__getitem__, words))
+        return np.array(places, np.int64)
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shares by labeller (empty if there is too little text), and the features' buckets and weights."""
@@ -121,13 +113,18 @@ class Reader:
         if not n:
             return np.empty(0), np.empty(0, np.int64), np.empty(0)
         seen = self._rows(words)
-        t = self.table[seen]
         echoes = seen[1:] == seen[:-1]
-        buckets, counts = np.unique(np.concatenate([t[:, 9], np.full(int(echoes.sum()), BUCKETS - 1)]), return_counts=True)
+        distinct, times = np.unique(seen, return_counts=True)
+        t = self.table[distinct]
+        found, which = np.unique(t[:, -1], return_inverse=True)
+        buckets = np.append(found, BUCKETS - 1)
+        counts = np.append(np.bincount(which, times), echoes.sum())
+        if not counts[-1]:
+            buckets, counts = buckets[:-1], counts[:-1]
         if n < MIN_WORDS:
             return np.empty(0), buckets, counts / n
-        symbol, shout, bar, unclean, odd, chars, marks, letters, capitals = t[:, :9].sum(0)
-        top = np.unique(seen, return_counts=True)[1].max()
+        symbol, shout, bar, unclean, odd, chars, marks, letters, capitals = times @ t[:, :-1]
+        top = times.max()
         lines = [x for line in text.split("\n") if (x := line.rstrip())]
         open_lines = sum(not x.endswith(ENDS) for x in lines) / max(len(lines), 1)
         shares = [symbol / n, capitals / max(letters, 1), shout / n, bar / n, marks / chars, unclean / n, echoes.mean(), (echoes[1:] & echoes[:-1]).mean(), ((seen[3:] == seen[1:-2]) | (seen[3:] == seen[:-3])).mean(), top / n, open_lines, odd / n]

@@ -12,8 +12,8 @@ class Rows:
 
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.index = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+        self.index = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
         self.value = np.concatenate(values) if values else np.ones(len(self.index))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
