@@ -106,6 +106,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Shingles of the similarity that near copies are told by, and its least value.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
+#: Three standard errors of the agreement of two sketches at this similarity: within it the sets are compared.
+MARGIN = 0.075
 #: Least hashes in a sketch, and how many of them make a band key: 32 bands of 8.
 SKETCH, BAND = 256, 8
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
@@ -133,10 +135,11 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents link by fingerprints at two or fewer differing bits, as in
     ``simhash_groups``; but fingerprints of texts that share 80 % of their five-word
     shingles mostly differ in more bits than any ball can span. So documents also
-    link if sketches of their shingle sets agree in a band and then in
-    ``similarity`` of all places. Within a band's bucket each document is compared
-    with the smallest and the largest id, so that work grows with the bucket, not
-    with its square.
+    link if sketches of their shingle sets meet in a band and the sets then overlap
+    by ``similarity``. Sketches that agree clearly more or less often tell that
+    alone; for the others, where they aren't linked anyhow, the sets are compared.
+    Within a band's bucket each document is compared with the smallest and the
+    largest id, so that work grows with the bucket, not with its square.
 
     Texts of the same shingles fold into one before anything else. Empty texts are
     one group; rows with a null id stay, as do extra columns; of rows that share an
@@ -155,10 +158,6 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows.append((int(fp), xxhash.xxh3_128_hexdigest(s.tobytes()), k.tobytes(), band_keys(k)))
             yield pd.DataFrame(rows, columns=["fp", "whole", "sketch", "bands"])
 
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4"))) for x, y in zip(a, b)], dtype="float64")
-
     rows, names = flat(docs)
     key, text = at(docs, id_col), at(docs, text_col)
     known = rows.where(F.col(key).isNotNull())
@@ -167,23 +166,62 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one_each = cut(first.select("id", "fp"))
     sketches = cut(read_all.select("id", "sketch", "bands").join(one_each.select("id"), "id", "left_semi").dropDuplicates(["id"]))
 
-    bands = sketches.select("id", F.explode("bands").alias("key"))
-    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
-    met = bands.join(ends, "key")
-    pairs = met.select("id", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("id") != F.col("end"))
-    pairs = pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    similar = pairs.join(left, "a").join(right, "b").where(agreement("sa", "sb") >= similarity).select("a", "b")
-
     by_fp = one_each.groupBy("fp").agg(F.min("id").alias("named"))
     same = one_each.join(by_fp, "fp").where(F.col("id") != F.col("named")).select(F.col("named").alias("a"), F.col("id").alias("b"))
     close = links(by_fp.select("fp"))
     of_a, of_b = by_fp.toDF("a", "na"), by_fp.toDF("b", "nb")
     close = close.join(of_a, "a").join(of_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
-    groups = components(cut(similar.unionByName(same).unionByName(close)))
-    others = groups.where(F.col("node") != F.col("component")).select("node")
+    met = cut(_sketches_that_agree(sketches, similarity - MARGIN))
+    sure = met.where(F.col("agreement") >= similarity + MARGIN).select("a", "b")
+    groups = cut(components(sure.unionByName(same).unionByName(close)))
+    open_pairs = met.where(F.col("agreement") < similarity + MARGIN).select("a", "b")
+    for end in ("a", "b"):
+        group = groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
+        open_pairs = open_pairs.join(group, end, "left").withColumn(f"{end}_group", F.coalesce(f"{end}_group", end))
+    open_pairs = cut(open_pairs.where(F.col("a_group") != F.col("b_group")))
+    more = components(_overlap(known.select(F.col(key).alias("id"), F.col(text).alias("text")), open_pairs, similarity))
+
+    others = groups.unionByName(more).where(F.col("node") != F.col("component")).select("node")
     kept_ids = one_each.join(others, one_each["id"] == others["node"], "left_anti").select(F.col("id").alias("kept_id"))
     kept = known.join(kept_ids, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
     return kept.unionByName(rows.where(F.col(key).isNull())).toDF(*names)
+
+
+def _sketches_that_agree(sketches: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b`` and ``agreement`` of documents that meet in a band and agree in ``least`` of all places.
+
+    ``b`` is the end of a bucket, which many may meet: it comes last, so that Spark can split it and its sketch is sent once.
+    """
+
+    @F.pandas_udf("double")
+    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4"))) for x, y in zip(a, b)], dtype="float64")
+
+    bands = sketches.select("id", F.explode("bands").alias("key"))
+    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
+    met = bands.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("id") != F.col("end"))
+    pairs = met.groupBy(F.least("id", "end").alias("x"), F.greatest("id", "end").alias("y")).agg(F.max("end").alias("b"))
+    pairs = pairs.select(F.when(F.col("b") == F.col("y"), F.col("x")).otherwise(F.col("y")).alias("a"), "b")
+    of_a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    of_b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", agreement("sa", "sb").alias("agreement")).where(F.col("agreement") >= least)
+
+
+def _overlap(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Edges between the groups of ``a`` and ``b`` whose shingle sets overlap by ``similarity``.
+
+    Shingles are compared by 32 bits of their hashes, which may take two for one
+    where documents have 10^5 of them, and hardly moves a share of so many.
+    """
+
+    @F.pandas_udf("array<int>")
+    def shingles(batch: pd.Series) -> pd.Series:
+        return pd.Series([np.unique((shingle_hashes(t, SIMILAR_WORDS) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch], dtype=object)
+
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = cut(texts.join(asked, "id", "left_semi").dropDuplicates(["id"]).select("id", shingles("text").alias("s")))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
+    return both.where(alike).select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))

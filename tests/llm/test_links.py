@@ -92,6 +92,32 @@ def test_one_per_group(docs_of):
     assert one_per_group(docs_of([])).count() == 0
 
 
+def test_one_per_group_against_brute_force(docs_of):
+    """Copies edited around the least similarity: those of a group go, those of 78 % and less stay."""
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(20_000)]
+    rows = []
+    for _ in range(30):
+        base = rnd.choices(words, k=500)
+        rows.append(base)
+        for n in rnd.sample(range(4, 16), 4):  # each edit takes five of 496 shingles
+            out = base[:]
+            for i in range(n):
+                out[(2 * i + 1) * 250 // n] = f"edit{rnd.random()}"
+            rows.append(out)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in rows}
+    fp = {i: plain_fingerprint(t) for i, t in rows}
+    g = Groups()
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fp[a] ^ fp[b]).bit_count() <= 2:
+                g.join(a, b)
+    want = {i for i in sets if g.find(i) == i}
+    assert 30 < len(want) < len(rows)
+    assert {r.doc_id for r in one_per_group(docs_of(rows)).collect()} == want
+
+
 def test_sketch_estimates_overlap():
     rnd = np.random.default_rng(3)
     x = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64)
