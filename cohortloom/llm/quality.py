@@ -28,7 +28,7 @@ MAX_FITTED = 10_000
 EM_ROUNDS = 200
 L1 = 0.02
 ROUNDS = 400
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 SYMBOLS = frozenset("#*$%&|<>")
 #: Letters, hyphens and apostrophes within, with one mark behind at most.
 CLEAN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*[.,;:!?]?")
