@@ -68,7 +68,8 @@ def links(fps: DataFrame) -> DataFrame:
     most 65 distinct fingerprints can meet at one, however many documents hold them.
     """
     ball = F.concat(F.array(F.col("fp")), *[F.array(F.col("fp").bitwiseXOR(F.lit(np.int64(np.uint64(1) << np.uint64(b)).item()).cast("long"))) for b in range(BITS)])
-    met = fps.select("fp", F.explode(ball).alias("variant")).groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    # fingerprints are distinct, so sets made before the shuffle would only be larger than their one member
+    met = fps.select("fp", F.explode(ball).alias("variant")).repartition("variant").groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     return (
         met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
         .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
@@ -120,7 +121,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
         part = hashes[begin : begin + 2048, None]
         part = part ^ (part >> np.uint64(29))
         np.minimum(least, (part * _ODD[0] + _ODD[1]).min(0), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    # bits that say nothing of how small the least value is, so that different ones agree once in 65,536 times
+    return (least >> np.uint64(16)).astype("<u2")
 
 
 def band_keys(s: np.ndarray) -> np.ndarray:
@@ -196,7 +198,7 @@ def _sketches_that_agree(sketches: DataFrame, least: float) -> DataFrame:
 
     @F.pandas_udf("double")
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4"))) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([float(np.mean(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) for x, y in zip(a, b)], dtype="float64")
 
     bands = sketches.select("id", F.explode("bands").alias("key"))
     ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
