@@ -14,6 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import arrow_batches, at, cut, flat, pick
 from .components import components
@@ -111,6 +112,8 @@ SIMILARITY = 0.8
 MARGIN = 0.075
 #: Least hashes in a sketch, and how many of them make a band key: 32 bands of 8.
 SKETCH, BAND = 256, 8
+#: Shingles in a block of documents that are compared in one task.
+UNIT = 500_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
 
 
@@ -140,8 +143,9 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     link if sketches of their shingle sets meet in a band and the sets then overlap
     by ``similarity``. Sketches that agree clearly more or less often tell that
     alone; for the others, where they aren't linked anyhow, the sets are compared.
-    Within a band's bucket each document is compared with the smallest and the
-    largest id, so that work grows with the bucket, not with its square.
+    Within a band's bucket each document is first compared with the smallest and the
+    largest id. Where that leaves documents that meet, by however many steps, in
+    several groups, ``_rest`` compares all pairs across groups by their sets.
 
     Texts of the same shingles fold into one before anything else. Empty texts are
     one group; rows with a null id stay, as do extra columns; of rows that share an
@@ -149,7 +153,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     arrow_batches(docs.sparkSession)
 
-    @F.pandas_udf("fp long, whole string, sketch binary, bands array<long>")
+    @F.pandas_udf("fp long, size int, whole string, sketch binary, bands array<long>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -157,15 +161,15 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 s = np.unique(shingle_hashes(t, SIMILAR_WORDS))
                 k = sketch(s)
                 fp = np.array([simhash(shingle_hashes(t))], np.uint64).view(np.int64)[0]
-                rows.append((int(fp), xxhash.xxh3_128_hexdigest(s.tobytes()), k.tobytes(), band_keys(k)))
-            yield pd.DataFrame(rows, columns=["fp", "whole", "sketch", "bands"])
+                rows.append((int(fp), len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), k.tobytes(), band_keys(k)))
+            yield pd.DataFrame(rows, columns=["fp", "size", "whole", "sketch", "bands"])
 
     rows, names = flat(docs)
     key, text = at(docs, id_col), at(docs, text_col)
     known = rows.where(F.col(key).isNotNull())
     read_all = cut(known.select(F.col(key).alias("id"), read(text).alias("x")).select("id", "x.*"))
-    first = read_all.groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
-    one_each = cut(first.select("id", "fp"))
+    first = read_all.groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size"))
+    one_each = cut(first.select("id", "fp", "size"))
     sketches = cut(read_all.select("id", "sketch", "bands").join(one_each.select("id"), "id", "left_semi").dropDuplicates(["id"]))
 
     by_fp = one_each.groupBy("fp").agg(F.min("id").alias("named"))
@@ -174,7 +178,9 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_a, of_b = by_fp.toDF("a", "na"), by_fp.toDF("b", "nb")
     close = close.join(of_a, "a").join(of_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
-    met = cut(_sketches_that_agree(sketches, similarity - MARGIN))
+    texts = known.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    pairs = cut(_met(sketches))
+    met = cut(_sketches_that_agree(pairs, sketches, similarity - MARGIN))
     sure = met.where(F.col("agreement") >= similarity + MARGIN).select("a", "b")
     groups = cut(components(sure.unionByName(same).unionByName(close)))
     open_pairs = met.where(F.col("agreement") < similarity + MARGIN).select("a", "b")
@@ -182,16 +188,30 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         group = groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
         open_pairs = open_pairs.join(group, end, "left").withColumn(f"{end}_group", F.coalesce(f"{end}_group", end))
     open_pairs = cut(open_pairs.where(F.col("a_group") != F.col("b_group")))
-    more = components(_overlap(known.select(F.col(key).alias("id"), F.col(text).alias("text")), open_pairs, similarity))
+    more = components(_overlap(texts, open_pairs, similarity))
 
-    others = groups.unionByName(more).where(F.col("node") != F.col("component")).select("node")
+    members = components(pairs.select("a", "b")).toDF("id", "cluster").join(one_each.select("id", "size"), "id")
+    members = members.join(groups.toDF("id", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
+    members = members.join(more.toDF("g", "h"), "g", "left").select("id", "cluster", "size", F.coalesce("h", "g").alias("grp"))
+    rest = components(_rest(texts, cut(members), similarity))
+
+    others = groups.unionByName(more).unionByName(rest).where(F.col("node") != F.col("component")).select("node")
     kept_ids = one_each.join(others, one_each["id"] == others["node"], "left_anti").select(F.col("id").alias("kept_id"))
     kept = known.join(kept_ids, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
     return kept.unionByName(rows.where(F.col(key).isNull())).toDF(*names)
 
 
-def _sketches_that_agree(sketches: DataFrame, least: float) -> DataFrame:
-    """``a``, ``b`` and ``agreement`` of documents that meet in a band and agree in ``least`` of all places.
+def _met(sketches: DataFrame) -> DataFrame:
+    """``a``, ``b`` of documents that meet in a band where ``b`` is an end of the bucket: they join all of it."""
+    bands = sketches.select("id", F.explode("bands").alias("key"))
+    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
+    met = bands.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("id") != F.col("end"))
+    pairs = met.groupBy(F.least("id", "end").alias("x"), F.greatest("id", "end").alias("y")).agg(F.max("end").alias("b"))
+    return pairs.select(F.when(F.col("b") == F.col("y"), F.col("x")).otherwise(F.col("y")).alias("a"), "b")
+
+
+def _sketches_that_agree(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b`` and ``agreement`` of the pairs whose sketches agree in ``least`` of all places.
 
     ``b`` is the end of a bucket, which many may meet: it comes last, so that Spark can split it and its sketch is sent once.
     """
@@ -200,11 +220,6 @@ def _sketches_that_agree(sketches: DataFrame, least: float) -> DataFrame:
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(np.mean(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) for x, y in zip(a, b)], dtype="float64")
 
-    bands = sketches.select("id", F.explode("bands").alias("key"))
-    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
-    met = bands.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("id") != F.col("end"))
-    pairs = met.groupBy(F.least("id", "end").alias("x"), F.greatest("id", "end").alias("y")).agg(F.max("end").alias("b"))
-    pairs = pairs.select(F.when(F.col("b") == F.col("y"), F.col("x")).otherwise(F.col("y")).alias("a"), "b")
     of_a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     of_b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", agreement("sa", "sb").alias("agreement")).where(F.col("agreement") >= least)
@@ -227,3 +242,77 @@ def _overlap(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
     return both.where(alike).select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
+
+
+def joined(sets: list[np.ndarray], groups: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places in ``sets`` that overlap by ``similarity`` and join, with ``groups``, all that any such pairs join.
+
+    A set is compared with all sets outside its group at once, by the postings of its
+    shingles, and those that it links to come next: once all is one group it ends.
+    Members of the largest group need not come of themselves, as all others do.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
+    lengths = np.bincount(code)
+    starts = np.cumsum(lengths) - lengths
+    label = np.unique(groups, return_inverse=True)[1]
+    done = np.zeros(len(sets), bool)
+    out = []
+    for first in np.nonzero(label != np.bincount(label).argmax())[0].tolist():
+        stack = [first]
+        while stack:
+            if done[x := stack.pop()]:
+                continue
+            done[x] = True
+            others = label != label[x]
+            if not others.any():
+                return out
+            mine = code[begin[x] : begin[x + 1]]
+            n = lengths[mine]
+            places = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(owner[places], minlength=len(sets))
+            hits = np.nonzero(others & (shared > 0) & (shared >= similarity * (sizes[x] + sizes - shared)))[0]
+            if len(hits):
+                new, at_hit = np.unique(label[hits], return_index=True)
+                out += [(x, int(y)) for y in hits[at_hit]]
+                label[np.isin(label, new)] = label[x]
+                stack += hits.tolist()
+    return out
+
+
+def _rest(texts: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Edges between groups of a cluster that hold two documents whose shingle sets overlap by ``similarity``.
+
+    ``members`` has ``id``, ``cluster``, ``grp`` and ``size``. Of two documents of
+    different groups one at least lies outside the cluster's largest group. So the
+    documents outside it are dealt into blocks of about ``UNIT`` shingles, all of the
+    cluster into others, and each block meets each in a task of its own. A cluster
+    that is one group already costs nothing.
+    """
+    by_group = members.groupBy("cluster", "grp").agg(F.sum("size").alias("size"))
+    whole = by_group.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("grp", "size").alias("main"))
+    whole = whole.where(F.col("k") > 1).select(
+        "cluster", "main", F.ceil(F.col("all") / UNIT).cast("int").alias("n_all"),
+        F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / UNIT).cast("int")).alias("n_out"),
+    )
+    dealt = members.join(whole, "cluster").withColumn("i", F.pmod(F.xxhash64("id"), "n_out").cast("int")).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), "n_all").cast("int"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j")))
+    as_outer = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j")))
+    units = F.array_distinct(F.when(F.col("grp") == F.col("main"), as_any).otherwise(F.concat(as_any, as_outer)))
+    dealt = cut(dealt.select("id", "cluster", "grp", units.alias("units")))
+
+    @F.pandas_udf("binary")
+    def shingles(batch: pd.Series) -> pd.Series:
+        return pd.Series([np.unique((shingle_hashes(t, SIMILAR_WORDS) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch], dtype=object)
+
+    def compare(unit: pd.DataFrame) -> pd.DataFrame:
+        groups = unit["grp"].to_numpy()
+        found = joined([np.frombuffer(x, "<u4") for x in unit["s"]], groups, similarity)
+        return pd.DataFrame({"a": groups[[a for a, _ in found]], "b": groups[[b for _, b in found]]})
+
+    sets = cut(texts.join(dealt.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", shingles("text").alias("s")))
+    unit = dealt.join(sets, "id").select("cluster", "grp", "s", F.explode("units").alias("u")).select("cluster", "u.i", "u.j", "grp", "s")
+    kind = members.schema["grp"].dataType
+    return unit.groupBy("cluster", "i", "j").applyInPandas(compare, StructType([StructField("a", kind), StructField("b", kind)]))

@@ -6,7 +6,8 @@ import xxhash
 
 from cohortloom.llm.components import components
 from cohortloom.llm.decontaminate import Item, align, decontaminate, drop_leaking
-from cohortloom.llm.simhash import one_per_group, shingle_hashes, simhash, simhash_groups, sketch
+from cohortloom.llm import simhash as near
+from cohortloom.llm.simhash import joined, one_per_group, shingle_hashes, simhash, simhash_groups, sketch
 
 
 def plain_fingerprint(text):
@@ -118,6 +119,50 @@ def test_one_per_group_against_brute_force(docs_of):
     assert {r.doc_id for r in one_per_group(docs_of(rows)).collect()} == want
 
 
+@pytest.mark.parametrize("unit", [near.UNIT, 20_000])
+def test_copies_of_an_original_in_the_middle(docs_of, monkeypatch, unit):
+    """Each copy is like the original only, whose id lies in the middle; in one task and in many."""
+    monkeypatch.setattr(near, "UNIT", unit)
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(20_000)]
+    base = rnd.choices(words, k=400)
+    rows = []
+    for i in range(251):
+        out = base[:]
+        if i != 125:
+            for at in rnd.sample(range(2, 398, 5), 6):
+                out[at] = f"edit{rnd.random()}"
+        rows.append((i, " ".join(out)))
+    sets = [set(shingle_hashes(t, 5).tolist()) for _, t in rows]
+    assert all(len(s & sets[125]) >= 0.8 * len(s | sets[125]) for s in sets)
+    assert sum(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets) < 20
+    rows.append((300, " ".join(rnd.choices(words, k=300))))
+    assert {r.doc_id for r in one_per_group(docs_of(rows)).collect()} == {0, 300}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joined_against_all_pairs(seed):
+    rnd = np.random.default_rng(seed)
+    sets = []
+    for _ in range(6):
+        base = rnd.choice(100_000, 60, replace=False)
+        for _ in range(rnd.integers(1, 12)):
+            sets.append(np.unique(np.concatenate([base[rnd.random(60) > 0.09], rnd.integers(0, 100_000, rnd.integers(0, 5))])))
+    groups = np.arange(len(sets))
+    groups[1] = groups[0]
+    g, got = Groups(), Groups()
+    g.join(0, 1)
+    got.join(0, 1)
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                g.join(a, b)
+    for a, b in joined(sets, groups, 0.8):
+        got.join(a, b)
+    assert [got.find(i) for i in range(len(sets))] == [g.find(i) for i in range(len(sets))]
+
+
 def test_sketch_estimates_overlap():
     rnd = np.random.default_rng(3)
     x = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64)
