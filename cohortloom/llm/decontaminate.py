@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Documents meet test items at rare word n-grams of the items; around each meeting
-a local alignment of words scores how much of the item the passage holds, edited
-or not.
+Documents meet test items at any word n-gram of the items; around each meeting
+that holds enough of the item's words, a local alignment scores how much of the
+item the passage holds, edited or not.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,10 +20,6 @@ from .common import arrow_batches, at, flat, pick
 from .tokens import plain_words
 
 SEED_WORDS = 3
-#: A seed is rare if at most this share of documents holds it ...
-RARE = 1e-4
-#: ... and in each stretch of so many seeds of an item the rarest serves in any case.
-STRETCH = 4
 MIN_SCORE = 0.5
 #: Items of fewer words count only when they stand in the text whole.
 SHORT = 8
@@ -75,22 +71,6 @@ def all_seeds(items: list[Item], n: int) -> Seeds:
     return s.seal()
 
 
-def rare_seeds(items: list[Item], n: int, held_by: dict[tuple, int], n_docs: int, rare: float = RARE, stretch: int = STRETCH) -> Seeds:
-    """The seeds that few documents hold, and the rarest of each stretch whatever its count."""
-    most = max(10, rare * n_docs)
-    s = Seeds(items)
-    for k, item in enumerate(items):
-        grams = item.grams(n)
-        counts = [held_by.get(g, 0) for g in grams]
-        for begin in range(0, len(grams), stretch):
-            part = range(begin, min(begin + stretch, len(grams)))
-            least = min(part, key=lambda i: (counts[i], i))
-            for i in part:
-                if counts[i] and (counts[i] <= most or i == least):
-                    s.add(grams[i], k, i)
-    return s.seal()
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman over words: match 1, mismatch and gap -1. (score, first and last place in ``text`` + 1)."""
     n = len(text)
@@ -116,6 +96,12 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
+def most_matches(item: np.ndarray, text: np.ndarray) -> int:
+    """No alignment matches more words, or scores more: words that both hold, each as often as in the one with fewer."""
+    n = int(item.max()) + 1
+    return int(np.minimum(np.bincount(item, minlength=n), np.bincount(text[text >= 0], minlength=n)).sum())
+
+
 def passages(words: list[bytes], seeds: Seeds, min_score: float = MIN_SCORE) -> list[tuple[int, float, int, int]]:
     """(item_id, score, first word, words) of the best passage for every item that the text holds enough of."""
     meets: dict[int, list[int]] = defaultdict(list)
@@ -129,6 +115,7 @@ def passages(words: list[bytes], seeds: Seeds, min_score: float = MIN_SCORE) ->
         pad = m // 2 + 4
         code = {w: j for j, w in enumerate(dict.fromkeys(item.words))}
         coded = np.array([code[w] for w in item.words])
+        need = m if m < SHORT else min_score * m
         best = (0, 0, 0)
         windows: list[list[int]] = []
         for b in sorted(begins):
@@ -138,10 +125,13 @@ def passages(words: list[bytes], seeds: Seeds, min_score: float = MIN_SCORE) ->
             else:
                 windows.append([lo, hi])
         for lo, hi in windows:
-            score, a, z = align(coded, np.array([code.get(w, -1) for w in words[lo:hi]]))
+            text = np.array([code.get(w, -1) for w in words[lo:hi]])
+            if most_matches(coded, text) < need:
+                continue
+            score, a, z = align(coded, text)
             if score > best[0]:
                 best = (score, lo + a, z - a)
-        if best[0] >= (m if m < SHORT else min_score * m):
+        if best[0] >= need:
             out.append((item.item_id, round(best[0] / m, 6), best[1], best[2]))
     return sorted(out)
 
@@ -157,24 +147,6 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int =
         yield [x for x in got if x.words]
 
 
-def _held_by(docs: DataFrame, seeds: Seeds) -> tuple[dict[tuple, int], int]:
-    """How many documents hold each seed of a block, and how many there are."""
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for b in batches:
-            held[b""] += len(b)
-            for text in b["text"]:
-                held.update({b" ".join(g) for _, g in sent.value.found(plain_words(text))})
-        yield pd.DataFrame({"gram": list(held.keys()), "n": list(held.values())})
-
-    # at most one row a seed of the block: bounded by the block's size
-    rows = docs.select("text").mapInPandas(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    held = {tuple(bytes(r["gram"]).split(b" ")): r["n"] for r in rows}
-    return held, held.pop((b"",), 0)
-
-
 def _finder(sent, min_score: float):
     @F.pandas_udf(HIT)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -195,9 +167,7 @@ def leaks_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     for items in blocks(benchmark, item_id, item_text, block_bytes):
         if not items:
             continue
-        held, n_docs = _held_by(pick(docs, text=text_col), all_seeds(items, seed_words))
-        sent = docs.sparkSession.sparkContext.broadcast(rare_seeds(items, seed_words, held, n_docs))
-
+        sent = docs.sparkSession.sparkContext.broadcast(all_seeds(items, seed_words))
         columns.append(_finder(sent, min_score))
     return columns
 
@@ -213,10 +183,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     * a row that repeats returns its rows again; an item that repeats counts as one more item;
     * an empty table on either side gives no rows; extra columns are not read.
 
-    Two passes over the documents, neither with a shuffle of texts: the first counts
-    documents per seed (partial sums in each task), the second looks up the rare
-    seeds and aligns. What is broadcast is one block of the benchmark at a time, of
-    bounded size; a larger benchmark takes more passes.
+    One pass over the documents for each block of the benchmark, without a shuffle:
+    all seeds are looked up, however many documents hold them, and passages whose
+    words could score enough are aligned. A copy without ``seed_words`` words in a row
+    as in the item isn't found. What is broadcast is one block at a time, of bounded
+    size.
     """
     src = pick(docs, id=id_col, text=text_col)
     found = leaks_of(docs, benchmark, text_col, **options)

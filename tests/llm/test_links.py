@@ -228,3 +228,20 @@ def test_a_leak_in_very_many_documents(spark, docs_of):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert decontaminate(docs_of(rows), bench).count() == 60
     assert Item(1, [b"a"]).grams(3) == [(b"a",)]
+
+
+def test_edited_copies_of_an_item_that_many_hold(spark, docs_of):
+    """Each copy is edited at other places; every trigram of the item is in dozens of documents."""
+    item = [f"q{k}" for k in range(14)]
+    rows = []
+    for i in range(300):
+        rnd = random.Random(i)
+        copy = item[:]
+        for at in rnd.sample(range(14), 3):
+            copy[at] = f"edit{i}"
+        rows.append((i, " ".join([f"x{i}{k}" for k in range(30)] + copy + [f"y{i}{k}" for k in range(30)])))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    code = {w: k for k, w in enumerate(item)}
+    want = {i for i, t in rows if plain_align(list(range(14)), [code.get(w, -1) for w in t.split()]) >= 7}
+    assert len(want) == 300
+    assert {r.doc_id for r in decontaminate(docs_of(rows), bench).collect()} == want
