@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,13 +55,23 @@ def join_tables(left: DataFrame, right: DataFrame, right_name: str, keys=FILING_
     return joined.select(*[key(c) if c in by else quoted(c) for c in order])
 
 
-def duplicate_keys(df: DataFrame, keys=FILING_KEYS) -> int:
-    """Rows of a table whose filing keys another row has already."""
+def duplicate_keys(df: DataFrame, keys=FILING_KEYS) -> DataFrame | None:
+    """``d``: how many rows of a table have filing keys that another has already. None without keys."""
     by = [quoted(k) for k in keys if k in df.columns]
     if not by:
-        return 0
-    r = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")).first()
-    return r["d"]
+        return None
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d"))
+
+
+def verify_keys(tables: list[TableYear], keys=FILING_KEYS) -> None:
+    """Raise if a table with one row a filing has repeated keys. One job for all tables, which reads their keys only."""
+    asked = [(t, d) for t in tables if t.table.cardinality == "1x1" and (d := duplicate_keys(t.df, keys)) is not None]
+    if not asked:
+        return
+    found = reduce(DataFrame.unionAll, [d.select(F.lit(i).alias("i"), "d") for i, (_, d) in enumerate(asked)])
+    bad = found.where("d > 0").sort("i").collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['d']} repeated keys in {asked[r['i']][0].table.table} of {asked[r['i']][0].year}" for r in bad) + ", which should have one row a filing")
 
 
 def merge_tables(tables: list[TableYear], keys=FILING_KEYS, include_many: bool = False, collision: str = "error", verify: bool = True) -> tuple[dict[int, DataFrame], list[dict]]:
@@ -70,6 +81,8 @@ def merge_tables(tables: list[TableYear], keys=FILING_KEYS, include_many: bool =
     counts repeated keys in tables that should have none, and raises; without it
     repeats multiply rows.
     """
+    if verify:
+        verify_keys([t for t in tables if t.status in READABLE and t.df is not None], keys)
     years: dict[int, DataFrame] = {}
     joins = []
     for year in sorted({t.year for t in tables if t.status in READABLE}):
@@ -77,8 +90,6 @@ def merge_tables(tables: list[TableYear], keys=FILING_KEYS, include_many: bool =
         for t in (t for t in tables if t.year == year and t.df is not None):
             if t.table.cardinality != "1x1" and not include_many:
                 continue
-            if verify and t.table.cardinality == "1x1" and (n := duplicate_keys(t.df, keys)):
-                raise ValueError(f"{n} repeated keys in {t.table.table} of {year}, which has one row a filing")
             if left is None:
                 left, name = t.df, t.table.table
                 continue

@@ -15,12 +15,11 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.predicates import Predicate, as_list
 from ..functions.values import kinds, need, quoted
 from ..operators.dedup import deduplicate
-from ..operators.membership import classify, semi
+from ..operators.membership import classify
 from .dictionary import FORM_SCOPES, Dictionary
 from .ledger import Ledger
 
@@ -33,7 +32,7 @@ SUGAR = {
     "ntee": "ntee_code_clean", "ntee_industry": "ntee_code_major_group", "ntee_type": "nteev2_org_type",
     "subsection": "subsection_code", "filter_501c": "subsection_code",
 }
-#: Ids that go into the plan as literals; more become a table to join.
+#: Ids that go into the plan as literals; more become a table to join. Both are compared as text.
 LITERAL_IDS = 1000
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "length": lambda c: F.count(F.lit(1)), "count": F.count, "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max,
@@ -254,24 +253,22 @@ def create_frame(name: str = "frame", entity: str = "EIN2", time: str = "TAX_YEA
 
 
 def _id_table(spark: SparkSession, ids) -> DataFrame:
+    """Ids as text, the way ``_listed`` compares them."""
     if isinstance(ids, DataFrame):
-        return ids.select(quoted(ids.columns[0]).alias("kept_id")).distinct()
-    return spark.createDataFrame([(i,) for i in dict.fromkeys(ids) if i is not None], f"kept_id {'bigint' if all(isinstance(i, int) for i in ids) and ids else 'string'}")
+        return ids.select(quoted(ids.columns[0]).cast("string").alias("kept_id")).where("kept_id is not null").distinct()
+    return spark.createDataFrame([(str(i),) for i in dict.fromkeys(ids) if i is not None], "kept_id string")
 
 
 def keep_ids(df: DataFrame, ids, entity: str) -> DataFrame:
     """Rows whose entity is among ``ids``: literals if few, else a semi join. No ids, no rows."""
     if not isinstance(ids, DataFrame) and len(ids) <= LITERAL_IDS:
         return df.where(F.coalesce(_listed(df, ids, entity), F.lit(False)))
-    return semi(df, _id_table(df.sparkSession, ids), entity)
+    return df.join(_id_table(df.sparkSession, ids), quoted(entity).cast("string") == F.col("kept_id"), "left_semi")
 
 
 def _listed(df: DataFrame, ids, entity: str) -> Column:
-    values = [i for i in ids if i is not None]
-    c = quoted(entity)
-    if kinds(df)[entity] == "string":
-        return c.isin(*[str(v) for v in values]) if values else F.lit(False)
-    return c.cast("string").isin(*[str(v) for v in values]) if values else F.lit(False)
+    values = [str(i) for i in ids if i is not None]
+    return quoted(entity).cast("string").isin(*values) if values else F.lit(False)
 
 
 def _label_table(spark: SparkSession, rule: Rule) -> DataFrame:
@@ -372,11 +369,15 @@ def refresh(df: DataFrame, rule: Rule) -> DataFrame:
     if fun not in AGGREGATES:
         raise ValueError(f"fun must be one of {', '.join(AGGREGATES)}")
     by, value = quoted(o["by"]), quoted(o["value"])
-    w = Window.partitionBy(by)
-    stat = AGGREGATES[fun](value).over(w)
+    stat = AGGREGATES[fun](value)
     if fun in STRICT:
-        stat = F.when(F.count(value).over(w) == F.count(F.lit(1)).over(w), stat)
-    return df.withColumn(o.get("into", f"{o['value']}_{fun}"), F.when(by.isNull(), value.cast("double")).otherwise(stat))
+        stat = F.when(F.count(value) == F.count(F.lit(1)), stat)
+    into = o.get("into", f"{o['value']}_{fun}")
+    # summed before the shuffle, then joined by the key: no group goes to one task whole
+    stats = df.where(by.isNotNull()).groupBy(by.alias("__by")).agg(stat.alias("__stat"))
+    told = df.drop(into) if into != o["value"] and into != o["by"] else df
+    joined = told.join(stats, by == F.col("__by"), "left").withColumn("__stat", F.when(by.isNull(), value.cast("double")).otherwise(F.col("__stat")))
+    return joined.withColumn(into, F.col("__stat")).drop("__by", "__stat")
 
 
 CHECKS = "check string, n long, pass long, fail long, ok boolean, note string"
@@ -447,7 +448,7 @@ def conform(df: DataFrame, frame: SampleFrame) -> Conformity:
             if isinstance(r.ids, DataFrame) or len(r.ids) > LITERAL_IDS:
                 t = _id_table(df.sparkSession, r.ids).withColumn("__in", F.lit(True))
                 name = f"__keep{len(keeps)}"
-                wide = wide.join(t, quoted(frame.entity) == F.col("kept_id"), "left").withColumn(name, F.coalesce("__in", F.lit(False))).drop("kept_id", "__in")
+                wide = wide.join(t, quoted(frame.entity).cast("string") == F.col("kept_id"), "left").withColumn(name, F.coalesce("__in", F.lit(False))).drop("kept_id", "__in")
                 keeps.append(F.col(name))
             else:
                 keeps.append(F.coalesce(_listed(df, r.ids, frame.entity), F.lit(False)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..sources.tables import counted
 
 SCHEMA = "step string, detail string, rows_before long, rows_after long, rows_dropped long, pct_dropped double, cols_before int, cols_after int"
 
@@ -29,14 +30,7 @@ class Ledger:
 
     def rows(self) -> list[tuple]:
         frames: dict[int, DataFrame] = {id(d): d for e in self.entries for d in (e.before, e.after) if d is not None}
-        counts: dict[int, int] = {}
-        if frames:
-            parts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, d in enumerate(frames.values())]
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.unionAll(p)
-            found = {r["i"]: r["n"] for r in whole.collect()}
-            counts = {key: found[i] for i, key in enumerate(frames)}
+        counts = counted(frames)
         out = []
         for e in self.entries:
             a = counts.get(id(e.before)) if e.before is not None else None

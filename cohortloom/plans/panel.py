@@ -26,6 +26,7 @@ class Panel:
     reads: tuple = ()
     joins: tuple = ()
     source: object = None
+    summary: membership.Summary | None = None
 
     @property
     def entity(self) -> str:
@@ -38,7 +39,7 @@ class Panel:
     def _with(self, step: str, df: DataFrame, stale: bool, **args) -> Panel:
         detail = "; ".join(f"{k}={','.join(map(str, as_list(v)[:3]))}" for k, v in args.items() if v is not None)
         frame = replace(self.frame, ledger=self.frame.ledger.add(step, detail, self.df, df))
-        return replace(self, df=df, frame=frame, fresh=self.fresh and not stale)
+        return replace(self, df=df, frame=frame, fresh=self.fresh and not stale, summary=None if stale else self.summary)
 
     def deduplicate(self, **args) -> Panel:
         return self._with("deduplicate", dedup.deduplicate(self.df, self.entity, self.time, **args), True, **args)
@@ -72,12 +73,13 @@ class Panel:
         summary = membership.describe(self.df, self.time, self.entity)
         frame = self.frame.classified(self.df, summary.classification)
         frame = replace(frame, ledger=frame.ledger.add("describe", "classified panel", self.df, self.df))
-        return replace(self, frame=frame, fresh=True), summary
+        return replace(self, frame=frame, fresh=True, summary=summary), summary
 
     def update(self) -> Panel:
         """With labels that fit the rows; nothing is dropped."""
-        frame = self.frame.classified(self.df)
-        return replace(self, frame=replace(frame, ledger=frame.ledger.add("update", "refreshed labels", self.df, self.df)), fresh=True)
+        summary = membership.describe(self.df, self.time, self.entity)
+        frame = self.frame.classified(self.df, summary.classification)
+        return replace(self, frame=replace(frame, ledger=frame.ledger.add("update", "refreshed labels", self.df, self.df)), fresh=True, summary=summary)
 
     def filter(self, panel_type=None, spell=None, min_obs: int | None = None, assume_fresh: bool = False) -> Panel:
         """Keep the entities of these classes; the choice becomes a rule of the frame."""
@@ -86,9 +88,10 @@ class Panel:
         for column, values in (("panel_type", panel_type), ("panel_spell", spell)):
             if values is not None:
                 frame = govern(frame, column, as_list(values))
-        out = membership.filter_members(at.df, panel_type, spell, min_obs, time=at.time, id=at.entity)
+        known = at.summary.classification if at.summary else None
+        out = membership.filter_members(at.df, panel_type, spell, min_obs, known, at.time, at.entity)
         detail = "; ".join(f"{k}={','.join(map(str, as_list(v)))}" for k, v in (("type", panel_type), ("spell", spell), ("min_obs", min_obs)) if v is not None)
-        return replace(at, df=out, frame=replace(frame, ledger=frame.ledger.add("filter", detail, at.df, out)))
+        return replace(at, df=out, frame=replace(frame, ledger=frame.ledger.add("filter", detail, at.df, out)), summary=None)
 
     def apply(self, **adhoc) -> Applied:
         return apply_frame(self.df, self.frame, **adhoc)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import quoted, trim
+from ..functions.values import fold, quoted, trim
 from ..plans.catalog import DataSource, Resolved, format_of, resolve_tables
 from ..plans.dictionary import Dictionary
 from .stage import Staged, exists
@@ -74,8 +75,8 @@ def read_table(raw: DataFrame, year: int, columns: list[str] | None = None, filt
                dictionary: Dictionary | None = None, ids: DataFrame | None = None, entity: str = "EIN2") -> DataFrame:
     """Distinct rows that pass the filters, their wanted columns, in their declared types, with a ``TAX_YEAR``.
 
-    Filters are exact, but for blanks and case at the entity key. ``ids`` is a table of entities to
-    keep. Without ``unique_rows`` filter and projection reach the scan; with it, all columns are read,
+    Filters are exact, but for blanks and case at the entity key, listed or in ``ids``, a table of
+    entities to keep. Without ``unique_rows`` filter and projection reach the scan; with it, all columns are read,
     as distinctness of whole rows needs them.
     """
     for f in filters or {}:
@@ -85,10 +86,10 @@ def read_table(raw: DataFrame, year: int, columns: list[str] | None = None, filt
     for f, values in (filters or {}).items():
         c = quoted(f)
         listed = [str(v) for v in values]
-        df = df.where(F.upper(trim(c)).isin(*[v.strip().upper() for v in listed]) if f == entity else c.cast("string").isin(*listed))
+        df = df.where(fold(c.cast("string")).isin(*[v.strip().upper() for v in listed]) if f == entity else c.cast("string").isin(*listed))
     if ids is not None and entity in raw.columns:
-        key = ids.select(quoted(ids.columns[0]).cast("string").alias("__id")).distinct()
-        df = df.join(key, quoted(entity).cast("string") == F.col("__id"), "left_semi")
+        key = ids.select(fold(quoted(ids.columns[0]).cast("string")).alias("__id")).distinct()
+        df = df.join(key, fold(quoted(entity).cast("string")) == F.col("__id"), "left_semi")
     if columns is not None:
         df = df.select(*[quoted(c) for c in raw.columns if c in set(columns)])
     df = cast_declared(df, dictionary)
@@ -112,29 +113,54 @@ def read_tables(spark: SparkSession, tables, years, source: DataSource, staged:
 
 
 def read_manifest(spark: SparkSession, tables: list[TableYear]) -> DataFrame:
-    """Rows and columns of each table-year before and after reading; counted now."""
+    """Rows and columns of each table-year before and after reading; counted now, all in one job."""
+    asked = {(i, what): d for i, t in enumerate(tables) if t.raw is not None for what, d in (("n", t.raw), ("m", t.df), ("distinct", t.raw.dropDuplicates()))}
+    counts = counted(asked)
     rows = []
-    for t in tables:
-        n = t.raw.count() if t.raw is not None else None
-        m = t.df.count() if t.df is not None else None
-        distinct = t.raw.dropDuplicates().count() if t.raw is not None else None
+    for i, t in enumerate(tables):
+        n, m, distinct = (counts.get((i, what)) for what in ("n", "m", "distinct"))
         rows.append((t.year, t.table.request, t.table.table, t.table.cardinality, t.path, t.status, n, len(t.raw.columns) if t.raw is not None else None,
                      m, len(t.df.columns) if t.df is not None else None, n - distinct if n is not None else None))
     return spark.createDataFrame(rows, "year int, request string, table string, cardinality string, path string, status string, rows_source long, cols_source int, rows_selected long, cols_selected int, exact_duplicates_removed long")
 
 
+def counted(frames: dict) -> dict:
+    """How many rows each of ``frames`` has, in one job."""
+    if not frames:
+        return {}
+    parts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, d in enumerate(frames.values())]
+    found = {r["i"]: r["n"] for r in reduce(DataFrame.unionAll, parts).collect()}
+    return {key: found[i] for i, key in enumerate(frames)}
+
+
 def dims(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 
 
+#: Digits that whole numbers can have.
+WHOLE = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+
+def common_kind(kinds_of: set[str]) -> str:
+    """The type that values of all of ``kinds_of`` go into."""
+    decimals = [tuple(map(int, k[8:-1].split(","))) for k in kinds_of if k.startswith("decimal")]
+    rest = {k for k in kinds_of if not k.startswith("decimal")}
+    if not rest <= {*WHOLE, "double", "float"}:
+        return "string"
+    if not decimals or not rest <= WHOLE.keys():
+        return "double"
+    scale = max(s for _, s in decimals)
+    digits = max([p - s for p, s in decimals] + [WHOLE[k] for k in rest]) + scale
+    return f"decimal({digits},{scale})" if digits <= 38 else "double"
+
+
 def stack(frames: list[DataFrame]) -> DataFrame:
-    """Union by name, nulls where a column is absent; a column of differing types becomes text, of differing numbers double."""
+    """Union by name, nulls where a column is absent. Of differing types a column becomes text, of differing numbers double, of decimals and whole numbers one decimal that holds all."""
     kinds_of: dict[str, set[str]] = {}
     for f in frames:
         for c, k in f.dtypes:
             kinds_of.setdefault(c, set()).add(k)
-    numbers = {"double", "float", "int", "bigint", "smallint", "tinyint"}
-    to = {c: "double" if k <= numbers else "string" for c, k in kinds_of.items() if len(k) > 1}
+    to = {c: common_kind(k) for c, k in kinds_of.items() if len(k) > 1}
     cast = [f.select(*[quoted(c).cast(to[c]).alias(c) if c in to else quoted(c) for c in f.columns]) for f in frames]
     out = cast[0]
     for f in cast[1:]:
