@@ -271,7 +271,7 @@ def form_family(form: str) -> str:
     if name == "990":
         return "990"
     if name == "990EZ":
-        raise ValueError("990EZ filers are published with 990 filers: take form 990 and filter on RETURN_TYPE")
+        raise ValueError("there is no release of 990EZ alone: read form 990 and keep its RETURN_TYPE")
     raise ValueError(f"form must be one of {', '.join(FORMS)}; received {form!r}")
 
 
@@ -330,14 +330,14 @@ def data_source(root: str | None = None, version: str = DEFAULT_VERSION, format:
     if aliases is None:
         aliases = ALIASES[form]
     if not isinstance(aliases, dict) or not all(k and isinstance(k, str) for k in aliases):
-        raise ValueError("aliases must be a dict of named tables")
+        raise ValueError("aliases map short names to tables")
     if root is not None:
         if not isinstance(root, str) or not root:
-            raise ValueError("root must be one non-empty URL or directory path")
+            raise ValueError("root is where the table-years lie: a path, as text")
         return DataSource(root, None, file_format(format), form, dict(aliases))
     name = re.sub(r"^efile(pf)?_", "", str(version).strip().lower())
     if not re.fullmatch(r"v\d+_\d+", name):
-        raise ValueError(f'version must look like "v3_1"; received {version!r}')
+        raise ValueError(f'{version!r} is no release: write v, a number, _ and a number')
     if not mirror:
         raise ValueError("give root, or mirror with a version")
     return DataSource(f"{mirror.rstrip('/')}/{PREFIX[form]}{name}/", name, file_format(format), form, dict(aliases))
@@ -360,7 +360,7 @@ def resolve_tables(tables: list[str] | str, source: DataSource) -> list[Resolved
     """Aliases and literal names to tables. Unknown literals pass; tables of the other family don't."""
     names = [tables] if isinstance(tables, str) else list(tables)
     if not names or not all(isinstance(t, str) and t.strip() for t in names):
-        raise ValueError("tables must be non-empty aliases or table names")
+        raise ValueError("name at least one table, by alias or in full")
     aliases = {k.upper(): v for k, v in source.aliases.items()}
     out, wrong = [], []
     for request in (t.strip() for t in names):
@@ -378,7 +378,7 @@ def resolve_tables(tables: list[str] | str, source: DataSource) -> list[Resolved
 def table_catalog(spark: SparkSession, kind: str = "all", form: str = "990") -> DataFrame:
     """``table``, ``alias`` (or null) and ``cardinality`` of every published table of a family."""
     if kind not in ("all", "1x1", "1xm", "supplemental"):
-        raise ValueError("cardinality must be all, 1x1, 1xm or supplemental")
+        raise ValueError("unknown kind of table: all, 1x1, 1xm and supplemental are known")
     form = form_family(form)
     alias = {v: k for k, v in ALIASES[form].items()}
     rows = [(t, alias.get(t), cardinality(t)) for t in TABLES[form] if kind in ("all", cardinality(t))]

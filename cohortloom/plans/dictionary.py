@@ -20,6 +20,7 @@ FILING_KEYS = (
 KEY_TYPES = {"RETURN_AMENDED_X": "checkbox", "RETURN_GROUP_X": "checkbox", "RETURN_PARTIAL_X": "checkbox", "RETURN_TAXPER_DAYS": "integer", "TAX_YEAR": "integer",
              "TAX_PERIOD_BEGIN_DATE": "date", "TAX_PERIOD_END_DATE": "date"}
 MEANINGS = ("implicit_zero", "implicit_false", "literal_missing")
+# Scopes of fields and the forms they are on, and the tables of the primary statements.
 SCOPE_FORMS = {"PC": ("990",), "EZ": ("990EZ",), "PZ": ("990", "990EZ"), "PF": ("990PF",), "HD": ("*",), "SG": ("*",)}
 FORM_SCOPES = {"both": ("PZ", "HD", "SG"), "990": ("PC", "PZ", "HD", "SG"), "990EZ": ("EZ", "PZ", "HD", "SG"), "all": None, "990PF": None}
 CORE_TABLES = {"990": r"F9-P(01|08|09|10|11)-", "990PF": r"PF-P0[1-3]-"}
@@ -172,9 +173,9 @@ def concordance(field=None, blank_meaning=None, forms="*", table=None, notes=Non
         return [BlankRule(f.name, f.blank_meaning, f.forms, f.table, f.description) for f in (dictionary or Dictionary()).fields(form)]
     names = [field] if isinstance(field, str) else list(field)
     if not names or not all(isinstance(n, str) and n for n in names):
-        raise ValueError("field must hold non-empty names")
+        raise ValueError("a rule's field needs a name")
     if len(set(names)) < len(names):
-        raise ValueError("each field must appear only once")
+        raise ValueError("a field has more than one rule")
 
     def each(value, what: str) -> list:
         got = list(value) if isinstance(value, (list, tuple)) else [value]

@@ -44,7 +44,8 @@ def resolve_frame(spark: SparkSession, frame: SampleFrame, years, source: DataSo
     """The frame with its require rules answered by one subset rule; they stay on record, inactive.
 
     The ids stay a lazy table that is semi-joined to whatever the frame is applied
-    to; ``capture`` gathers them as values. Years without a file are passed over.
+    to; ``capture`` gathers them as values at the driver, and is meant for some
+    thousands of them. Years without a file are passed over.
     """
     rules = frame.of("require")
     if not rules:

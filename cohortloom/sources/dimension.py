@@ -12,12 +12,14 @@ from ..functions.values import fold, quoted
 from ..operators.dimension import FIELDS, HELPERS, Prepared, prepare
 from ..operators.membership import semi
 from ..plans.catalog import format_of
+from .stage import Staged, exists, stage
 
 # Codes of the state files.
-STATES = tuple("""
-    AA AE AK AL AP AR AS AZ CA CO CT DC DE FL FM GA GU HI IA ID IL IN KS KY LA MA MD ME MH MI MN MO
-    MP MS MT NC ND NE NH NJ NM NV NY OH OK OR PA PR PW RI SC SD TN TX UT VA VI VT WA WI WV WY ZZ
-""".split())
+STATES = (
+    "AA", "AE", "AK", "AL", "AP", "AR", "AS", "AZ", "CA", "CO", "CT", "DC", "DE", "FL", "FM", "GA", "GU", "HI", "IA", "ID", "IL", "IN", "KS", "KY", "LA",
+    "MA", "MD", "ME", "MH", "MI", "MN", "MO", "MP", "MS", "MT", "NC", "ND", "NE", "NH", "NJ", "NM", "NV", "NY", "OH", "OK", "OR", "PA", "PR", "PW", "RI",
+    "SC", "SD", "TN", "TX", "UT", "VA", "VI", "VT", "WA", "WI", "WV", "WY", "ZZ",
+)
 
 
 def dimension_fields() -> tuple[str, ...]:
@@ -56,6 +58,15 @@ def manifest_bytes(manifest: dict, name: str) -> int | None:
     return next((int(f["bytes"]) for f in entries if isinstance(f, dict) and f.get("name") == name and "bytes" in f), None)
 
 
+def stage_dimension(spark: SparkSession, root: str, folder: str, format: str = "parquet", overwrite: bool = False, **options) -> Staged:
+    """Copy a build's file into ``folder``, its size checked against the build's manifest where there is one; a whole copy is reused."""
+    url = dimension_url(root, format)
+    name = url.rsplit("/", 1)[1]
+    at = dimension_url(root, "manifest")
+    size = manifest_bytes(build_manifest(spark, at), name) if exists(spark, at) else None
+    return stage(Staged(0, name, name, "1x1", url, f"{folder.rstrip('/')}/{name}", "failed"), overwrite, expected_bytes=size, **options)
+
+
 def read_file(spark: SparkSession, path: str, vars=None) -> DataFrame:
     """Parquet or CSV; of ``vars`` and the helpers, those that the file has."""
     if format_of(path) == "parquet":
@@ -78,12 +89,25 @@ def stack_states(frames: list[DataFrame]) -> DataFrame:
     return out.drop("state")
 
 
-def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None, states=None, strict: bool = False, id: str = "EIN2") -> Prepared:
-    """A prepared dimension from a table, a file, or a folder of ``state=XX`` files; ``ids`` (values or a table) narrows it first."""
+def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None, states=None, strict: bool = False, id: str = "EIN2", manifest: dict | None = None) -> Prepared:
+    """A prepared dimension from a table, a file, or a folder of ``state=XX`` files; ``ids`` (values or a table) narrows it first.
+
+    State files that aren't there are left out with a warning. All of them together are a build of their own that may lag
+    behind the unified file: that is warned of, in numbers if the build's ``manifest`` is given (a job that counts them).
+    """
     if isinstance(source, DataFrame):
         df = source
     elif states is not None:
-        df = stack_states([read_file(spark, f"{source.rstrip('/')}/state={s}.parquet", vars) for s in resolve_states(states)])
+        asked = resolve_states(states)
+        paths = {s: f"{source.rstrip('/')}/state={s}.parquet" for s in asked}
+        there = [s for s in asked if exists(spark, paths[s])]
+        if not there:
+            raise ValueError(f"no state file of those asked for under {source}")
+        if len(there) < len(asked):
+            warnings.warn(f"state files left out, as they aren't there: {', '.join(s for s in asked if s not in there)}", stacklevel=2)
+        df = stack_states([read_file(spark, paths[s], vars) for s in there])
+        if len(there) == len(STATES):
+            warn_lag(manifest.get("rows") if manifest else None, df)
     else:
         df = read_file(spark, source, vars)
     if ids is not None:
@@ -95,7 +119,9 @@ def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None
     return prepare(df, vars, strict, id)
 
 
-def warn_lag(unified_rows: int, state_rows: int) -> None:
-    """State files may lag behind the unified one."""
-    if state_rows < unified_rows:
-        warnings.warn(f"the state files have {unified_rows - state_rows} rows less than the unified file", stacklevel=2)
+def warn_lag(unified_rows: int | None, states: DataFrame) -> None:
+    """State files may lag behind the unified one; with the number of its rows, they are counted."""
+    if unified_rows is None:
+        warnings.warn("the state files may be older than the unified file and hold fewer rows", stacklevel=3)
+    elif (n := states.count()) < unified_rows:
+        warnings.warn(f"the state files have {unified_rows - n} rows less than the unified file", stacklevel=3)

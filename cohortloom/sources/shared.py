@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that the cluster names in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """A new path under the folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where none is set and all runs on one machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="shared-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,11 +7,13 @@ import math
 import shutil
 import time
 import urllib.request
-from dataclasses import asdict, dataclass, fields
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, fields, replace
 from datetime import UTC, datetime
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.catalog import DataSource, resolve_tables
@@ -21,6 +23,9 @@ BYTES_A_SECOND = 512 * 1024
 MAX_TIMEOUT = 2_147_483
 
 
+SCHEMA = "year int, request string, table string, cardinality string, source string, path string, status string, attempts int, bytes long, elapsed_seconds double, error string"
+
+
 @dataclass(frozen=True)
 class Staged:
     """One table-year and what became of it: downloaded, reused or failed."""
@@ -75,27 +80,41 @@ def fetch(url: str, destination: str, retry_max: int = 3, timeout: float = 1800,
     raise ValueError("retry_max must be at least 1")
 
 
-def download_tables(years, tables, source: DataSource, path: str, overwrite: bool = False, retry_max: int = 3, timeout: float = 1800, backoff: float = 1.0) -> list[Staged]:
-    """Copy each table-year into the cache folder; one that is there is reused, one that fails recorded."""
-    out = []
-    for year in sorted({int(y) for y in years}):
-        for t in resolve_tables(tables, source):
-            url, local = source.path(t.table, year), source.cache_path(path, t.table, year)
-            began = time.monotonic()
-            base = (year, t.request, t.table, t.cardinality, url, local)
-            if Path(local).exists() and not overwrite:
-                out.append(Staged(*base, "reused", 0, Path(local).stat().st_size))
-                continue
-            try:
-                attempts, size = fetch(url, local, retry_max, timeout, backoff=backoff)
-                out.append(Staged(*base, "downloaded", attempts, size, round(time.monotonic() - began, 3)))
-            except OSError as e:
-                out.append(Staged(*base, "failed", retry_max, None, round(time.monotonic() - began, 3), str(e)))
-    return out
+def stage(wanted: Staged, overwrite: bool = False, retry_max: int = 3, timeout: float = 1800, backoff: float = 1.0, expected_bytes: int | None = None) -> Staged:
+    """Copy one file; one that is there, in its expected size, is reused, one that can't be got recorded as failed."""
+    began, local = time.monotonic(), Path(wanted.path)
+    if local.exists() and not overwrite and expected_bytes in (None, local.stat().st_size):
+        return replace(wanted, status="reused", bytes=local.stat().st_size)
+    try:
+        attempts, size = fetch(wanted.source, wanted.path, retry_max, timeout, expected_bytes, backoff)
+        return replace(wanted, status="downloaded", attempts=attempts, bytes=size, elapsed_seconds=round(time.monotonic() - began, 3))
+    except OSError as e:
+        return replace(wanted, status="failed", attempts=retry_max, elapsed_seconds=round(time.monotonic() - began, 3), error=str(e))
+
+
+def download_tables(years, tables, source: DataSource, path: str, overwrite: bool = False, retry_max: int = 3, timeout: float = 1800, backoff: float = 1.0,
+                    expected_bytes: dict[str, int] | None = None) -> list[Staged]:
+    """Copy each table-year into the cache folder ``path``, which driver and executors share (a mount).
+
+    Each file is a task of its own, so that bytes don't pass the driver; what became
+    of each comes back to it. ``expected_bytes`` has sizes by file name, as a build's manifest does.
+    """
+    wanted = [Staged(year, t.request, t.table, t.cardinality, source.path(t.table, year), source.cache_path(path, t.table, year), "failed")
+              for year in sorted({int(y) for y in years}) for t in resolve_tables(tables, source)]
+    sizes = expected_bytes or {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = [stage(wanted[i], overwrite, retry_max, timeout, backoff, sizes.get(wanted[i].source.rsplit("/", 1)[-1])) for i in b["id"]]
+            yield pd.DataFrame([(i, *asdict(x).values()) for i, x in zip(b["id"], done)], columns=["id", *[f.name for f in fields(Staged)]]).astype({"bytes": "Int64"})
+
+    spark = SparkSession.active()
+    rows = spark.range(len(wanted), numPartitions=max(len(wanted), 1)).mapInPandas(run, f"id long, {SCHEMA}").collect() if wanted else []
+    return [Staged(*tuple(r)[1:]) for r in sorted(rows, key=lambda r: r["id"])]
 
 
 def download_manifest(spark: SparkSession, staged: list[Staged]) -> DataFrame:
-    return spark.createDataFrame([tuple(asdict(s).values()) for s in staged], "year int, request string, table string, cardinality string, source string, path string, status string, attempts int, bytes long, elapsed_seconds double, error string")
+    return spark.createDataFrame([tuple(asdict(s).values()) for s in staged], SCHEMA)
 
 
 def write_log(folder: str, staged: list[Staged]) -> str:
