@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import arrow_batches, at, cut, flat, pick
 from .components import components
@@ -216,13 +217,19 @@ def _sketches_that_agree(pairs: DataFrame, sketches: DataFrame, least: float) ->
     ``b`` is the end of a bucket, which many may meet: it comes last, so that Spark can split it and its sketch is sent once.
     """
 
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.mean(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) for x, y in zip(a, b)], dtype="float64")
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u2").reshape(-1, SKETCH) for c in ("sa", "sb"))
+            share = (a == b).mean(1)
+            out = pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(share)], ["a", "b", "agreement"])
+            yield out.filter(pa.array(share >= least))
 
     of_a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     of_b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", agreement("sa", "sb").alias("agreement")).where(F.col("agreement") >= least)
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sa", "sb")
+    # one operator that compares and filters: a filter on a UDF's column would be run below it, with a second UDF beside it
+    schema = StructType([both.schema["a"], both.schema["b"], StructField("agreement", DoubleType())])
+    return both.mapInArrow(agreeing, schema)
 
 
 def _overlap(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
