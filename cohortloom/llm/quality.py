@@ -11,7 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,8 @@ MAX_FITTED = 10_000
 EM_ROUNDS = 200
 L1 = 0.02
 ROUNDS = 400
-REMEMBERED = 150_000
+#: Words that a Python worker remembers, besides as many that it met before.
+REMEMBERED = 40_000
 SYMBOLS = frozenset("#*$%&|<>")
 #: Letters, hyphens and apostrophes within, with one mark behind at most.
 CLEAN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*[.,;:!?]?")
@@ -62,7 +63,7 @@ def shape(word: str) -> str:
     return "".join(out[:12])
 
 
-@cache
+@lru_cache(1 << 14)
 def bucket(shape_of: str) -> int:
     return zlib.crc32(shape_of.encode()) % (BUCKETS - 1)
 
@@ -85,23 +86,27 @@ def describe(word: str) -> tuple[int, ...]:
 
 
 class Reader:
-    """Shares and hashed features of texts; what it knows of words it keeps."""
+    """Shares and hashed features of texts; what it knows of words it keeps, in two generations of about ``REMEMBERED``."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, 10), np.int64)
+        self.table = np.zeros((1 << 12, 10), np.int32)
+        self.before: dict[str, int] = {}
+        self.table_before = self.table
 
     def _rows(self, words: list[str]) -> np.ndarray:
+        """The place in ``table`` of each word of one text."""
+        if len(self.known) >= REMEMBERED:
+            self.before, self.table_before = self.known, self.table
+            self.known, self.table = {}, np.zeros_like(self.table)
         places = list(map(self.known.get, words))
         if None in places:
             fresh = sorted({w for w in words if w not in self.known})
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = sorted(set(words))
             n = len(self.known)
             while n + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[n : n + len(fresh)] = [describe(w) for w in fresh]
+            old = list(map(self.before.get, fresh))
+            self.table[n : n + len(fresh)] = [describe(w) if i is None else self.table_before[i] for w, i in zip(fresh, old)]
             self.known.update((w, n + i) for i, w in enumerate(fresh))
             places = list(map(self.known.__getitem__, words))
         return np.array(places, np.int64)
@@ -123,7 +128,7 @@ class Reader:
             buckets, counts = buckets[:-1], counts[:-1]
         if n < MIN_WORDS:
             return np.empty(0), buckets, counts / n
-        symbol, shout, bar, unclean, odd, chars, marks, letters, capitals = times @ t[:, :-1]
+        symbol, shout, bar, unclean, odd, chars, marks, letters, capitals = times @ t[:, :-1].astype(np.int64)
         top = times.max()
         lines = [x for line in text.split("\n") if (x := line.rstrip())]
         open_lines = sum(not x.endswith(ENDS) for x in lines) / max(len(lines), 1)
