@@ -10,42 +10,64 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import arrow_batches, pick
 from .token_counts import byte_symbols
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers; a full store is emptied.
-REMEMBERED = 400_000
-#: Ids that may wait in open windows before these are closed, whatever the size of a task's share.
-ROUND_IDS = 8_000_000
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Words and parts of words whose ids a Python worker remembers, each in two generations of so many.
+WORDS, PARTS = 30_000, 60_000
+#: Windows that are open at a time in one task: at most 16 MB of ids.
+MOST_OPEN = 2048
 #: Sequence ids of one task: its partition's number in the upper bits.
 SEQUENCES_BITS = 33
+#: Pieces in one batch that a task returns.
+BATCH = 20_000
 
 
 #: How the vocabulary splits a word (fixed value of its file), on letters up to ``PLAIN``; other words it splits itself.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = "\u024f"
 SYMBOLS = byte_symbols()
 SPACES = str.maketrans("\n\t\r\x0b\x0c", "     ")
 
 
+class Recent:
+    """What was computed of late, in bounded memory: the last ``most`` to ``2 * most`` distinct keys that were asked for."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        self.new[key] = value
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+
+
 class WordIds:
     """Token ids of whole texts from the ids of their words.
 
     The vocabulary's splitter never joins characters across white space, and its
     normaliser works on each side alone, so the ids of a text are those of its
     white-space separated words, one after another, and those of a word are its
-    parts'. Words are few beside texts, and parts fewer: each part is tokenised
-    once, and numpy copies the ids of words.
+    parts'. Ids are kept as bytes, which are joined to the text's.
     """
 
     def __init__(self, path: str):
@@ -54,45 +76,29 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.clear()
+        self.words, self.parts = Recent(WORDS), Recent(PARTS)
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.first = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         """Ids of one lower-case part, which the model takes with a symbol for each byte."""
-        ids = self.parts.get(part)
-        if ids is None:
+        found = self.parts.get(part)
+        if found is None:
             symbols = part if part.isascii() else "".join([SYMBOLS[b] for b in part.encode()])
-            self.parts[part] = ids = [t.id for t in self.model.tokenize(symbols)]
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        ids = []
-        for w in words:
-            if "<" in w or w != w.lower() or not w.isprintable() or (not w.isascii() and max(w) > PLAIN):
-                ids.append(self.tokenizer.encode(w, add_special_tokens=False).ids)
-                continue
-            found = PARTS.findall(w)
-            ids.append(self._part(found[0]) if len(found) == 1 else [i for p in found for i in self._part(p)])
-        counts = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.uint32)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        n = len(self.index)
-        while n + len(words) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(words)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(words)] = counts
-        self.used += len(flat)
-        self.index.update((w, n + i) for i, w in enumerate(words))
+            found = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+            if len(part) < 64:
+                self.parts.put(part, found)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if "<" in word or word != word.lower() or not word.isprintable() or (not word.isascii() and max(word) > PLAIN):
+                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                parts = PART.findall(word)
+                found = self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
+            if len(word) < 64:
+                self.words.put(word, found)
+        return found
 
     def ids(self, text: str) -> np.ndarray:
         # Python lowers the capital sigma by its place in the word and the vocabulary doesn't; special strings are lower case
@@ -100,29 +106,31 @@ class WordIds:
         text = text.lower() if plain else text
         odd = any(c in text for c in "\t\r\x0b\x0c")
         words = (text.translate(SPACES) if odd else text.replace("\n", " ")).split(" ")
-        at = list(map(self.index.get, words))
-        if None in at:
-            fresh = sorted({w for w in words if w not in self.index})
-            if len(self.index) + len(fresh) > REMEMBERED:
-                self.clear()
-                fresh = sorted(set(words))
-            self._learn(fresh)
-            at = list(map(self.index.__getitem__, words))
-        where = np.array(at, np.int64)
-        counts = self.count[where]
-        ends = np.cumsum(counts)
-        shift = np.repeat(self.first[where] - (ends - counts), counts)
-        return self.pool[shift + np.arange(len(shift))]
+        found = list(map(self.words.new.get, words))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self._word(words[i])
+        return np.frombuffer(b"".join(found), "<u4")
+
+
+@dataclass
+class Piece:
+    """Ids ``start`` and on of a document of ``total`` ids; ``moved`` if it was taken out of the window that the rule chose."""
+
+    doc: object
+    start: int
+    ids: np.ndarray
+    total: int
+    moved: bool = False
 
 
 class Windows:
     """Open windows by fill level, and the sum-of-squares choice among them."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, most_open: int = MOST_OPEN):
+        self.window, self.most_open = window, most_open
         self.levels = np.zeros(window + 1, np.int64)
-        self.open: list[list[int]] = [[] for _ in range(window + 1)]
-        self.next = 0
+        self.open: list[list[list[Piece]]] = [[] for _ in range(window + 1)]
+        self.held = 0
 
     def choose(self, size: int) -> int:
         """The level to put ``size`` tokens on; 0 opens a new window.
@@ -141,75 +149,90 @@ class Windows:
             best = top
         return best
 
-    def place(self, size: int) -> tuple[int, int]:
-        """(window, offset) for a piece of at most a window's tokens."""
-        if size == self.window:
-            self.next += 1
-            return self.next - 1, 0
-        level = self.choose(size)
-        if level:
-            at = self.open[level].pop()
-            self.levels[level] -= 1
-        else:
-            at, self.next = self.next, self.next + 1
-        if level + size < self.window:
-            self.open[level + size].append(at)
-            self.levels[level + size] += 1
-        return at, level
-
-
-def _close(w: Windows, pieces: list[tuple]) -> Iterator[tuple]:
-    """Lay the pieces of the windows left open end to end into full windows.
-
-    What then remains, less than a window, goes into sequences whose lengths are
-    powers of two, which need no padding.
-    """
-    left, room, offset, seq = sum(p[2] for p in pieces), 0, 0, 0
-    for doc, start, size, total, ids in pieces:
-        done = 0
-        while done < size:
-            if not room:
-                room = w.window if left >= w.window else 1 << (left.bit_length() - 1)
-                seq, offset, w.next = w.next, 0, w.next + 1
-            take = min(room, size - done)
-            yield doc, start + done, take, crc(ids[done : done + take]), total, seq, offset
-            done, room, offset, left = done + take, room - take, offset + take, left - take
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.tobytes())
-
-
-def pack_pieces(docs: Iterator[tuple], ids_of, window: int = WINDOW, end_id: int = END_ID, round_ids: int = ROUND_IDS) -> Iterator[tuple]:
-    """(doc, start, length, crc, doc_tokens, sequence, offset) for each piece of ``docs``, pairs of doc and text.
+    def _take(self, level: int) -> list[Piece]:
+        self.levels[level] -= 1
+        return self.open[level].pop()
+
+    def _put(self, level: int, pieces: list[Piece]) -> None:
+        self.levels[level] += 1
+        self.open[level].append(pieces)
+
+    def place(self, piece: Piece) -> Iterator[list[Piece]]:
+        """Put a piece where the rule says; the windows that this fills, or that have to give way to it."""
+        size = len(piece.ids)
+        level = self.choose(size) if size < self.window else 0
+        held = [*self._take(level), piece] if level else [piece]
+        if level + size == self.window:
+            self.held -= level
+            yield held
+            return
+        self.held += size
+        self._put(level + size, held)
+        if int(self.levels.sum()) > self.most_open and self.held >= self.window:
+            yield self._top_up()
+
+    def _top_up(self) -> list[Piece]:
+        """The fullest open window, filled with what the emptiest ones hold last: no more tokens move than it lacks."""
+        level = int(np.nonzero(self.levels)[0][-1])
+        held, lacks = self._take(level), self.window - level
+        while lacks:
+            level = int(np.nonzero(self.levels)[0][0])
+            donor = self._take(level)
+            last = donor.pop()
+            n = min(len(last.ids), lacks)
+            cut = len(last.ids) - n
+            held.append(Piece(last.doc, last.start + cut, last.ids[cut:], last.total, True))
+            if cut:
+                donor.append(Piece(last.doc, last.start, last.ids[:cut], last.total, last.moved))
+            if donor:
+                self._put(level - n, donor)
+            lacks -= n
+        self.held -= self.window
+        return held
+
+    def finish(self) -> Iterator[list[Piece]]:
+        """Fill the open windows; what remains, less than a window, goes into sequences whose lengths are powers of two."""
+        while self.held >= self.window:
+            yield self._top_up()
+        left = self.held
+        rest = [p for held in self.open for pieces in held for p in pieces]
+        room = 0
+        held: list[Piece] = []
+        for p in rest:
+            done = 0
+            while done < len(p.ids):
+                room = room or 1 << (left.bit_length() - 1)
+                n = min(room, len(p.ids) - done)
+                held.append(Piece(p.doc, p.start + done, p.ids[done : done + n], p.total, True))
+                done, room, left = done + n, room - n, left - n
+                if not room:
+                    yield held
+                    held = []
+
+
+def pack_pieces(docs: Iterator[tuple], ids_of, window: int = WINDOW, end_id: int = END_ID, most_open: int = MOST_OPEN) -> Iterator[tuple]:
+    """(doc, start, length, crc, doc_tokens, sequence, offset, moved) for each piece of ``docs``, pairs of doc and text.
 
     A document fills windows of its own as long as it can; the sum-of-squares rule
-    places what is left. Ids are held only while their window is open; beyond
-    ``round_ids`` of them the open windows are closed and a new round begins.
+    places what is left. Ids are held only while their window is open. Beyond
+    ``most_open`` windows, and at the end, the fullest is topped up from the emptiest.
     """
-    w, waiting, held = Windows(window), {}, 0
-    for doc, text in docs:
-        ids = np.append(ids_of(text) if text else [], end_id).astype("<u4")
-        total = len(ids)
-        for start in range(0, total, window):
-            part = ids[start : start + window]
-            at, level = w.place(len(part))
-            if len(part) == window:
-                yield doc, start, window, crc(part), total, at, 0
-                continue
-            waiting.setdefault(at, []).append((doc, start, len(part), total, part.copy()))
-            held += len(part)
-            if level + len(part) == window:
-                offset = 0
-                for d, s, n, t, x in waiting.pop(at):
-                    yield d, s, n, crc(x), t, at, offset
-                    offset += n
-                held -= window
-        if held > round_ids:
-            yield from _close(w, [p for x in waiting.values() for p in x])
-            fresh = Windows(window)
-            fresh.next, w, waiting, held = w.next, fresh, {}, 0
-    yield from _close(w, [p for x in waiting.values() for p in x])
+    w, seq = Windows(window, most_open), 0
+
+    def full() -> Iterator[list[Piece]]:
+        for doc, text in docs:
+            ids = np.append(ids_of(text) if text else np.empty(0, "<u4"), end_id).astype("<u4")
+            for start in range(0, len(ids), window):
+                part = ids[start : start + window]
+                yield from w.place(Piece(doc, start, part if len(part) == window else part.copy(), len(ids)))
+        yield from w.finish()
+
+    for held in full():
+        offset = 0
+        for p in held:
+            yield p.doc, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, seq, offset, p.moved
+            offset += len(p.ids)
+        seq += 1
 
 
 _words: dict[str, WordIds] = {}
@@ -229,34 +252,43 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     only separate words there, as in word_bpe_49k.json), then ``end_id``. Each task
     packs the documents of its own partition: no shuffle, and a lost task is redone
     alone. All sequences but a task's last few are full; those few have lengths that
-    are powers of two, so nothing is padded.
+    are powers of two, so nothing is padded. ``moved`` tells pieces that were cut
+    out of the window that the rule had chosen to fill up another one.
 
     * null and empty texts are the end id alone;
     * rows that share an id, null ids included, are packed as documents of their own;
+    * ids may be of any type and come back as they are;
     * a long document is cut at every window; an empty table gives no rows.
 
     ``sequence_id`` has the partition's number in its upper bits.
     """
     arrow_batches(docs.sparkSession)
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    src = pick(docs, id=id_col, text=text_col)
+    numbers = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    schema = StructType([StructField("doc_id", src.schema["id"].dataType), *[StructField(n, LongType()) for n in numbers], StructField("moved", BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << SEQUENCES_BITS
-        rows = (x for b in batches for x in zip([None if pd.isna(i) else int(i) for i in b["id"]], b["text"]))
+        kind: list[pa.DataType] = []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                kind[:] = [b.schema.field(0).type]
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+
         block: list[tuple] = []
-        for piece in pack_pieces(rows, word_ids(path).ids, window, end_id):
+        for piece in pack_pieces(rows(), word_ids(path).ids, window, end_id):
             block.append(piece)
-            if len(block) >= 20_000:
-                yield frame(block, first)
+            if len(block) >= BATCH:
+                yield batch(block, kind[0], first)
                 block = []
         if block:
-            yield frame(block, first)
+            yield batch(block, kind[0], first)
 
-    def frame(block: list[tuple], first: int) -> pd.DataFrame:
-        out = pd.DataFrame(block, columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        out["sequence_id"] += first
-        return out
+    def batch(block: list[tuple], kind: pa.DataType, first: int) -> pa.RecordBatch:
+        doc, *counts, moved = zip(*block)
+        counts[4] = [first + s for s in counts[4]]
+        columns = [pa.array(doc, kind), *[pa.array(c, pa.int64()) for c in counts], pa.array(moved, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", *numbers, "moved"])
 
-    src = pick(docs, id=id_col, text=text_col)
-    return src.mapInPandas(run, SCHEMA).withColumnRenamed("doc_id", id_col)
+    return src.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
