@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ WHITE_RE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows in one Arrow batch: texts are long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 1000
+#: Nor more bytes than this, but for one text that is longer.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,30 +49,68 @@ def ascii_lower(c: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; a temporary one where none is set and all runs on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    return at.rstrip("/")
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and where; what is still there goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _stored:
+        atexit.register(_clear)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table in the shared folder, which outlives any executor."""
+    return stored(df)[0]
+
+
+def _clear() -> None:
+    for spark, path in _stored:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hand texts to Python in small batches, so that a worker holds a few MB at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Hand texts to Python in small batches, so that a worker holds a few MB at a time.
+
+    Lazy plans read these settings when they run, so they stay lowered for the session.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this job wrote, on whatever file system it lies."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def within(sample: DataFrame, size: str, most: int) -> DataFrame:
+    """The first rows of ``sample``, a written table of bounded length with an ``id`` a row, in the order of the ids' hashes, as far as their ``size`` in bytes comes to ``most``.
+
+    Only an id's hash and its size come to the driver.
+    """
+    held = sample.select(F.xxhash64("id").alias("h"), F.col(size).alias("n")).collect()
+    total, last = 0, None
+    for h, n in sorted((r["h"], r["n"]) for r in held):
+        total += n
+        if total > most:
+            break
+        last = h
+    return sample.where(F.lit(False)) if last is None else sample.where(F.xxhash64("id") <= last)

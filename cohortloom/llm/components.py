@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import remove, stored
 
 #: A path of n nodes takes about log n rounds; this many cover any graph.
 MAX_ROUNDS = 100
@@ -16,11 +16,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al., Connected Components in
     MapReduce and Beyond): each joins nodes to the least of their neighbours, until
-    no edge changes. Every round is aggregations and joins on the node, and is cut
-    off by a checkpoint. Loops and repeated edges do no harm; no edges, no rows.
+    no edge changes. Every round is aggregations and joins on the node, and is
+    written to the shared folder, where it takes the place of the one before. Loops and repeated edges do no harm; no edges, no rows.
     Ids may be of any ordered type; the driver sees only a count and a sum of hashes.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
+    now, path = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
     mark = _mark(now)
     for _ in range(MAX_ROUNDS):
         if mark[0] == 0:
@@ -32,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        now = cut(small.where(F.col("u") != F.col("v")).distinct())
+        before = path
+        now, path = stored(small.where(F.col("u") != F.col("v")).distinct())
+        remove(now.sparkSession, before)
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -14,6 +14,10 @@ from .common import WHITE, ascii_lower, at, cut, flat, pick
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: A key is hot if it has more than this part of the repeated lines; so there are fewer hot keys than this.
+HOT_KEYS = 1000
+#: Parts that a hot key's lines are dealt into.
+SALTS = 100
 
 
 def _keys(text: Column, min_chars: int) -> Column:
@@ -46,8 +50,9 @@ def line_dedup(
 
     Keys are two independent 64-bit hashes. First a count per key with map-side
     partial aggregation finds keys on at least ``min_docs`` lines; only their lines
-    go on to the exact count of distinct documents. The joins on keys are plain
-    equi-joins, whose skewed sides Spark splits.
+    go on to the exact count of distinct documents. Keys with over a thousandth of
+    those lines, of which there can't be a thousand, are marked by a broadcast and
+    their lines dealt out by id before they are joined.
     """
     src = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     return _marked(src, min_chars, min_docs).select(
@@ -77,6 +82,14 @@ def _kept() -> Column:
     return F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(split, i)), "\n"))
 
 
+def _salted(lines: DataFrame, keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """``lines`` joined to ``keys`` on ``h1``, ``h2``: lines of hot keys are dealt by id into ``SALTS`` parts, each of which gets the key."""
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
+    parts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = lines.join(hot, ["h1", "h2"], "left").withColumn("salt", salt).drop("is_hot")
+    return dealt.join(keys.join(hot, ["h1", "h2"], "left").withColumn("salt", F.explode(parts)).drop("is_hot"), ["h1", "h2", "salt"]).drop("salt")
+
+
 def _marked(src: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """``src`` (``id``, ``text``, others) with ``drop``, the places of the lines that go; null for none."""
     src = src.withColumn("mark", F.xxhash64("text"))
@@ -86,15 +99,17 @@ def _marked(src: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         .where(F.col("key").isNotNull())
         .select("id", "mark", "pos", "key.h1", "key.h2")
     )
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
-    repeated = cut(lines.join(often, ["h1", "h2"]))
+    often = cut(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(often.where(F.col("n") * HOT_KEYS > total).select("h1", "h2", F.lit(True).alias("is_hot")))
+    repeated = cut(_salted(lines, often.select("h1", "h2"), hot))
     keys = (
         repeated.select("h1", "h2", "id").distinct()
         .groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
     )
     drops = (
-        repeated.join(keys, ["h1", "h2"])
+        _salted(repeated, keys, hot)
         .where(F.col("id") != F.col("keeper"))
         .select("id", "mark", "pos").distinct()
         .groupBy("id", "mark").agg(F.collect_list("pos").alias("drop"))
