@@ -7,68 +7,94 @@ item the passage holds, edited or not.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, at, flat, pick
+from .common import arrow_batches, at, cut, flat, pick, remove, stored
 from .tokens import plain_words
 
 SEED_WORDS = 3
 MIN_SCORE = 0.5
 #: Items of fewer words count only when they stand in the text whole.
 SHORT = 8
-#: Bytes of benchmark text in one block; each block is one pass with its own broadcast.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one block; each block is one pass with its own broadcast, which takes some hundred MB at most in a worker.
+BLOCK_BYTES = 8 << 20
 HIT = "array<struct<item_id:long,score:double,start:long,words:long>>"
 
 
-@dataclass
-class Item:
-    item_id: int
-    words: list[bytes]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
-    def grams(self, n: int) -> list[tuple[bytes, ...]]:
-        n = min(n, len(self.words))
-        return [tuple(self.words[i : i + n]) for i in range(len(self.words) - n + 1)]
+def _keys(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit number for each run of ``n`` word numbers; what two runs share by chance, the alignment tells apart."""
+    count = len(ids) - n + 1
+    key = np.full(count, n, np.uint64)
+    for k in range(n):
+        key = (key ^ ids[k : k + count].astype(np.uint64)) * _MIX
+        key ^= key >> np.uint64(29)
+    return key
 
 
 @dataclass
 class Seeds:
-    """Seeds by their first word: first -> {gram: [(item, place in the item)]}."""
-
-    items: list[Item]
-    by_first: dict[bytes, dict[tuple[bytes, ...], list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(dict))
-    lengths: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
-
-    def add(self, gram: tuple[bytes, ...], item: int, place: int) -> None:
-        self.by_first[gram[0]].setdefault(gram, []).append((item, place))
-
-    def seal(self) -> Seeds:
-        self.by_first = dict(self.by_first)
-        self.lengths = {w: tuple({len(g) for g in grams}) for w, grams in self.by_first.items()}
-        return self
-
-    def found(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        by_first = self.by_first
-        for i in [i for i, w in enumerate(words) if w in by_first]:
-            grams = by_first[words[i]]
-            for n in self.lengths[words[i]]:
-                if (g := tuple(words[i : i + n])) in grams:
-                    yield i, g
+    """Items as numbers of their words, and all their word n-grams (whole items, if shorter) as sorted keys with item and place.
 
+    Some 30 bytes a word of the benchmark, and its distinct words.
+    """
 
-def all_seeds(items: list[Item], n: int) -> Seeds:
-    s = Seeds(items)
-    for k, item in enumerate(items):
-        for place, gram in enumerate(item.grams(n)):
-            s.add(gram, k, place)
-    return s.seal()
+    numbers: dict[bytes, int]
+    item_ids: list[int]
+    items: list[np.ndarray]
+    keys: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    lengths: tuple[int, ...]
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        """Word numbers of a text; -1 for words of no item."""
+        get = self.numbers.get
+        return np.array([get(w, -1) for w in words], np.int32)
+
+    def found(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items, and where in the text each would begin if it were whole, one for every seed that stands there."""
+        items, begins = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        known = text >= 0
+        for n in self.lengths:
+            if len(text) < n:
+                continue
+            at = known[: len(text) - n + 1].copy()
+            for k in range(1, n):
+                at &= known[k : k + len(at)]
+            places = np.nonzero(at)[0]
+            if not len(places):
+                continue
+            keys = _keys(text, n)[places]
+            lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+            times = hi - lo
+            which = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+            items.append(self.item[which])
+            begins.append(np.repeat(places, times) - self.place[which])
+        return np.concatenate(items), np.concatenate(begins)
+
+
+def all_seeds(items: list[tuple[int, list[bytes]]], n: int) -> Seeds:
+    """``items`` are ids and words, each of one word or more."""
+    numbers: dict[bytes, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32) for _, words in items]
+    lengths = [min(n, len(x)) for x in coded]
+    keys = [_keys(x, m) for x, m in zip(coded, lengths)]
+    key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    sizes = [len(k) for k in keys]
+    order = np.argsort(key, kind="stable")
+    item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]) if sizes else item
+    return Seeds(numbers, [i for i, _ in items], coded, key[order], item[order], place[order], tuple(sorted(set(lengths))))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -104,47 +130,46 @@ def most_matches(item: np.ndarray, text: np.ndarray) -> int:
 
 def passages(words: list[bytes], seeds: Seeds, min_score: float = MIN_SCORE) -> list[tuple[int, float, int, int]]:
     """(item_id, score, first word, words) of the best passage for every item that the text holds enough of."""
-    meets: dict[int, list[int]] = defaultdict(list)
-    for i, gram in seeds.found(words):
-        for k, place in seeds.by_first[gram[0]][gram]:
-            meets[k].append(i - place)
+    numbered = seeds.numbered(words)
+    items, begins = seeds.found(numbered)
     out = []
-    for k, begins in meets.items():
-        item = seeds.items[k]
-        m = len(item.words)
+    for k in np.unique(items).tolist():
+        numbers, item = np.unique(seeds.items[k], return_inverse=True)
+        m = len(item)
         pad = m // 2 + 4
-        code = {w: j for j, w in enumerate(dict.fromkeys(item.words))}
-        coded = np.array([code[w] for w in item.words])
         need = m if m < SHORT else min_score * m
         best = (0, 0, 0)
         windows: list[list[int]] = []
-        for b in sorted(begins):
+        for b in np.unique(begins[items == k]).tolist():
             lo, hi = max(0, b - pad), min(len(words), b + m + pad)
             if windows and lo <= windows[-1][1]:
                 windows[-1][1] = max(hi, windows[-1][1])
             else:
                 windows.append([lo, hi])
         for lo, hi in windows:
-            text = np.array([code.get(w, -1) for w in words[lo:hi]])
-            if most_matches(coded, text) < need:
+            part = numbered[lo:hi]
+            place = np.minimum(np.searchsorted(numbers, part), len(numbers) - 1)
+            text = np.where(numbers[place] == part, place, -1)
+            if most_matches(item, text) < need:
                 continue
-            score, a, z = align(coded, text)
+            score, a, z = align(item, text)
             if score > best[0]:
                 best = (score, lo + a, z - a)
         if best[0] >= need:
-            out.append((item.item_id, round(best[0] / m, 6), best[1], best[2]))
+            out.append((seeds.item_ids[k], round(best[0] / m, 6), best[1], best[2]))
     return sorted(out)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Item]]:
-    """The benchmark in blocks of about ``block_bytes``, so that what is broadcast has a bound."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The benchmark in blocks of about ``block_bytes`` of text, so that what is broadcast has a bound."""
     items = pick(benchmark, id=id_col, text=text_col).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // block_bytes
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        got = [Item(int(r["id"]), plain_words(r["text"])) for r in part.sort("id", "text").collect()]
-        yield [x for x in got if x.words]
+        got = [(int(r["id"]), plain_words(r["text"])) for r in part.sort("id", "text").collect()]
+        if got := [x for x in got if x[1]]:
+            yield got
 
 
 def _finder(sent, min_score: float):
@@ -159,17 +184,24 @@ def _finder(sent, min_score: float):
     return found
 
 
-def leaks_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-             seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> list:
-    """Functions of a text column, one a benchmark block, that list the leaks in ``text_col`` of a row of ``docs``."""
-    arrow_batches(docs.sparkSession)
-    columns = []
+def _hits(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text",
+          seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``id`` and ``hit`` of ``docs`` (``id``, ``text``) for all blocks of the benchmark.
+
+    One block is one pass, and its broadcast is freed before the next begins: the
+    hits of each are written to the shared folder. The last block, which mostly is
+    the only one, is part of the caller's own plan.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    done, last, sent = [], docs.select("id", F.explode(F.array().cast(HIT)).alias("hit")), None
     for items in blocks(benchmark, item_id, item_text, block_bytes):
-        if not items:
-            continue
-        sent = docs.sparkSession.sparkContext.broadcast(all_seeds(items, seed_words))
-        columns.append(_finder(sent, min_score))
-    return columns
+        if sent is not None:
+            done.append(cut(last))
+            sent.unpersist(blocking=True)
+        sent = spark.sparkContext.broadcast(all_seeds(items, seed_words))
+        last = docs.select("id", F.explode(_finder(sent, min_score)(F.col("text"))).alias("hit"))
+    return reduce(DataFrame.unionAll, [*done, last])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -183,23 +215,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     * a row that repeats returns its rows again; an item that repeats counts as one more item;
     * an empty table on either side gives no rows; extra columns are not read.
 
-    One pass over the documents for each block of the benchmark, without a shuffle:
-    all seeds are looked up, however many documents hold them, and passages whose
-    words could score enough are aligned. A copy without ``seed_words`` words in a row
-    as in the item isn't found. What is broadcast is one block at a time, of bounded
-    size.
+    One pass over the documents for each block of the benchmark, one after another,
+    without a shuffle: all seeds are looked up, however many documents hold them, and
+    passages whose words could score enough are aligned. A copy without
+    ``seed_words`` words in a row as in the item isn't found. What is broadcast is one
+    block at a time, of bounded size.
     """
     src = pick(docs, id=id_col, text=text_col)
-    found = leaks_of(docs, benchmark, text_col, **options)
-    hits = F.array().cast(HIT) if not found else F.concat(*[f(F.col("text")) for f in found])
-    out = src.select("id", F.explode(hits).alias("hit"))
-    return out.select(F.col("id").alias(id_col), "hit.item_id", "hit.score", "hit.start", "hit.words")
+    return _hits(src, benchmark, **options).select(F.col("id").alias(id_col), "hit.item_id", "hit.score", "hit.start", "hit.words")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; all columns stay."""
-    found = leaks_of(docs, benchmark, text_col, **options)
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+                 seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item; all columns stay.
+
+    Each block of the benchmark but the last leaves a table of what it keeps in the shared folder, which the next one reads.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
     rows, names = flat(docs)
-    for f in found:
-        rows = rows.where(F.size(f(rows[at(docs, text_col)])) == 0)
+    sent, path = None, None
+    for items in blocks(benchmark, item_id, item_text, block_bytes):
+        if sent is not None:
+            before = path
+            rows, path = stored(rows)
+            sent.unpersist(blocking=True)
+            if before is not None:
+                remove(spark, before)
+        sent = spark.sparkContext.broadcast(all_seeds(items, seed_words))
+        rows = rows.where(F.size(_finder(sent, min_score)(rows[at(docs, text_col)])) == 0)
     return rows.toDF(*names)

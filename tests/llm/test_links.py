@@ -5,8 +5,9 @@ import pytest
 import xxhash
 
 from cohortloom.llm.components import components
-from cohortloom.llm.decontaminate import Item, align, decontaminate, drop_leaking
+from cohortloom.llm.decontaminate import align, all_seeds, decontaminate, drop_leaking
 from cohortloom.llm import simhash as near
+from cohortloom.llm.tokens import plain_words
 from cohortloom.llm.simhash import joined, one_per_group, shingle_hashes, simhash, simhash_groups, sketch
 
 
@@ -217,6 +218,9 @@ def test_decontamination(spark, docs_of):
     assert (hit.score, hit.start, hit.words) == (1.0, 80, 30)
     blocks = {(r.doc_id, r.item_id) for r in decontaminate(df, bench, block_bytes=200).collect()}
     assert blocks == got
+    in_blocks = drop_leaking(df, bench, block_bytes=200)
+    assert in_blocks.columns == df.columns and {r.doc_id for r in in_blocks.collect()} == {2, 4, 6, 8, 9}
+    assert in_blocks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     kept = drop_leaking(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {2, 4, 6, 8, 9}
     assert decontaminate(docs_of([]), bench).count() == 0 and decontaminate(df, bench.where("item_id < 0")).count() == 0
@@ -227,7 +231,9 @@ def test_a_leak_in_very_many_documents(spark, docs_of):
     rows = [(i, " ".join([f"x{i}{k}" for k in range(30)] + item)) for i in range(60)]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert decontaminate(docs_of(rows), bench).count() == 60
-    assert Item(1, [b"a"]).grams(3) == [(b"a",)]
+    seeds = all_seeds([(1, [b"a"]), (2, [b"a", b"b", b"a", b"b"])], 3)
+    items, begins = seeds.found(seeds.numbered([b"x", b"a", b"b", b"a", b"b"]))
+    assert sorted(zip(items.tolist(), begins.tolist())) == [(0, 1), (0, 3), (1, 1), (1, 1)]
 
 
 def test_edited_copies_of_an_item_that_many_hold(spark, docs_of):
@@ -245,3 +251,29 @@ def test_edited_copies_of_an_item_that_many_hold(spark, docs_of):
     want = {i for i, t in rows if plain_align(list(range(14)), [code.get(w, -1) for w in t.split()]) >= 7}
     assert len(want) == 300
     assert {r.doc_id for r in decontaminate(docs_of(rows), bench).collect()} == want
+
+
+def test_decontamination_against_all_pairs(spark, sf):
+    """All documents against all items by plain alignment, copies edited to 50-90 % planted among them."""
+    rnd = random.Random(9)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r.item_id: plain_words(r.text) for r in bench.collect()}
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for d, i in zip(list(rows)[:160], rnd.choices([i for i, w in items.items() if len(w) >= 8], k=160)):
+        copy = [w.decode() for w in items[i]]
+        for at in rnd.sample(range(len(copy)), round(len(copy) * rnd.uniform(0.05, 0.25))):
+            copy[at] = rnd.choice(["", "edited", copy[at] + " more"])
+        rows[d] += "\n" + " ".join(copy) + "\n" + rows[d][:200]
+    want = set()
+    for d, t in rows.items():
+        words = plain_words(t)
+        for i, item in items.items():
+            code = {w: k for k, w in enumerate(dict.fromkeys(item))}
+            if item and align(np.array([code[w] for w in item]), np.array([code.get(w, -1) for w in words], np.int64))[0] >= (len(item) if len(item) < 8 else 0.5 * len(item)):
+                want.add((d, i))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate(df, bench).collect()}
+    assert len(want) > 120 and got <= want
+    recall = len(got & want) / len(want)
+    print(f"recall {recall:.3f} of {len(want)}")
+    assert recall >= 0.95
