@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, at, flat, pick
+from .common import arrow_batches, at, flat, pick, remove, stored, within
 from .sparse import Rows, fista, sigmoid
 
 BAD, GOOD, NONE = 0, 1, 2
 BUCKETS = 1 << 14
 #: Documents that the scorer is fitted on at most, taken in the order of their ids' hashes.
 MAX_FITTED = 10_000
+#: Bytes of features that the driver gathers for it at most; documents beyond, in the same order, are left out of the fit.
+MAX_GATHERED = 96 << 20
 EM_ROUNDS = 200
 L1 = 0.02
 ROUNDS = 400
@@ -225,8 +227,8 @@ def reader() -> Reader:
     return _readers[0]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> tuple[LabelModel, Scorer]:
-    """EM on the vote patterns of all documents (3^12 at most), then the scorer on a bounded sample of them."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED, max_gathered: int = MAX_GATHERED) -> tuple[LabelModel, Scorer]:
+    """EM on the vote patterns of all documents (3^12 at most), then the scorer on a bounded sample of them, one row an id."""
     arrow_batches(docs.sparkSession)
 
     @F.pandas_udf("int")
@@ -246,8 +248,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     src = pick(docs, id=id_col, text=text_col)
     seen = src.select(votes("text").alias("v")).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").toPandas()
     model = fit_labellers(seen["v"].to_numpy(), seen["n"].to_numpy())
-    chosen = src.select("id").orderBy(F.xxhash64("id"), "id").limit(max_fitted).distinct().withColumnRenamed("id", "key")
-    sample = src.join(F.broadcast(chosen), F.col("id") == F.col("key")).select(features("text").alias("f")).select("f.*").toPandas()
+    chosen = src.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_fitted).withColumnRenamed("id", "key")
+    one_each = src.join(F.broadcast(chosen), F.col("id") == F.col("key")).groupBy("id").agg(F.min("text").alias("text"))
+    drawn, path = stored(one_each.select("id", features("text").alias("f")).select("id", "f.*"))
+    drawn = drawn.withColumn("size", 12 * F.size("buckets"))
+    sample = within(drawn, "size", max_gathered).select("votes", "buckets", "shares").toPandas()
+    remove(drawn.sparkSession, path)
     arrays = [(v, np.asarray(b, np.int64), np.asarray(x, float)) for v, b, x in zip(sample["votes"], sample["buckets"], sample["shares"])]
     rows = sorted(arrays, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     target = model.posterior(np.array([r[0] for r in rows], np.int64)) if rows else np.empty(0)

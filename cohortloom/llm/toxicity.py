@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick
+from .common import arrow_batches, pick, remove, stored, within
 from .sparse import Rows, fista, sigmoid
 from .tokens import plain_words
 
@@ -25,6 +25,8 @@ BUCKETS = 1 << 18
 BEGINNINGS = (5, 6, 7, 8)
 #: Labelled documents that the model is fitted on at most, taken in the order of their ids' hashes.
 MAX_LABELLED = 10_000
+#: Bytes of features that the driver gathers for it at most; documents beyond, in the same order, are left out of the fit.
+MAX_GATHERED = 96 << 20
 #: Words in fewer of them say nothing.
 MIN_DOCS = 5
 #: Nor do words in more than this share of them, or than are toxic.
@@ -171,27 +173,31 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """``text`` and ``label`` of at most ``most`` labelled documents."""
+    """``id``, ``text`` and ``label`` of at most ``most`` labelled documents, one row an id: of texts that share it, the first in order."""
     some = pick(labels, key=id_col, label=label_col).where(F.col("key").isNotNull() & F.col("label").isNotNull())
     some = some.groupBy("key").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(most)
-    return pick(docs, id=id_col, text=text_col).join(F.broadcast(some), F.col("id") == F.col("key")).select("text", "label")
+    found = pick(docs, id=id_col, text=text_col).join(F.broadcast(some), F.col("id") == F.col("key"))
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          n_grades: int | None = None, max_labelled: int = MAX_LABELLED) -> OrdinalModel:
-    """Fit on the driver: the features of at most ``max_labelled`` documents are gathered there.
+          n_grades: int | None = None, max_labelled: int = MAX_LABELLED, max_gathered: int = MAX_GATHERED) -> OrdinalModel:
+    """Fit on the driver: the features of at most ``max_labelled`` documents, and ``max_gathered`` bytes of them, are gathered there.
 
     ``label_col`` holds grades 0 to ``n_grades`` - 1; without that number it holds 0 or
     1, and ``severity_grades`` makes three grades of it.
     """
+    arrow_batches(docs.sparkSession)
 
     @F.pandas_udf("buckets binary, counts binary")
     def read(texts: pd.Series) -> pd.DataFrame:
         got = [sorted(features(t).items()) for t in texts]
         return pd.DataFrame({name: [np.array([pair[k] for pair in x], "<i4").tobytes() for x in got] for k, name in enumerate(("buckets", "counts"))})
 
+    sample, path = stored(labelled(docs, labels, id_col, text_col, label_col, max_labelled).select("id", read("text").alias("x"), "label").select("id", "x.*", "label"))
     # as bytes, which take a tenth of the driver's memory that lists of numbers would
-    got = labelled(docs, labels, id_col, text_col, label_col, max_labelled).select(read("text").alias("x"), "label").select("x.*", "label").collect()
+    got = within(sample.withColumn("size", 2 * F.octet_length("buckets")), "size", max_gathered).select("buckets", "counts", "label").collect()
+    remove(sample.sparkSession, path)
     # a fixed order, for the same sums in every run
     got.sort(key=lambda r: (r["label"], len(r["buckets"]), r["buckets"], r["counts"]))
     rows = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in got]

@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ import pytest
 from cohortloom.llm import quality as q
 from cohortloom.llm import toxicity as x
 from cohortloom.llm.quality import fit_labellers, keep_good, quality
+from cohortloom.llm.tokens import plain_words
 from cohortloom.llm.toxicity import fit, toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -123,3 +126,120 @@ def test_quality_edge_rows(docs_of):
 @pytest.mark.parametrize("word, want", [("Hello", "Aa"), ("Of%%%", "Aa%"), ("ABC!!", "A!"), ("a1b22", "a0a0"), ("", "")])
 def test_shapes(word, want):
     assert q.shape(word) == want
+
+
+def test_reader_forgets_and_tells_the_same(monkeypatch):
+    rnd = random.Random(5)
+    words = [f"{rnd.choice(['word', 'Odd%', 'BIG!!', '|', 'x1', '<a>'])}{k}" for k in range(60)] + ["|", "|"]
+    texts = [" ".join(rnd.choices(words, k=30)) for _ in range(40)] + [None, "", "|"]
+    whole = q.Reader()
+    want = [whole.read(t) for t in texts]
+    monkeypatch.setattr(q, "REMEMBERED", 25)
+    small = q.Reader()
+    for t, (s, b, v) in zip(texts, want):
+        got = small.read(t)
+        assert got[0].tolist() == s.tolist() and dict(zip(got[1], got[2])) == dict(zip(b, v))
+    assert len(small.known) < 120
+
+
+def test_toxicity_against_brute_force(spark, docs_of):
+    """Every score again from the fitted weights, word by word."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = x.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys() and len(model.weights) > 5
+    for i, text in texts.items():
+        counts = {}
+        for w in plain_words(text):
+            letters = w.decode()
+            for b in {zlib.crc32(w) % x.BUCKETS} | {zlib.crc32(b"^" + letters[:n].encode()) % x.BUCKETS for n in (5, 6, 7, 8) if len(letters) > n}:
+                counts[b] = counts.get(b, 0) + 1
+        margin = sum(model.weights.get(b, 0.0) * (1 + math.log(n)) for b, n in counts.items())
+        over = [1 / (1 + math.exp(-(margin - t))) for t in model.thresholds]
+        assert abs(got[i].severity - sum(over)) < 1e-6 and abs(got[i].p_toxic - over[0]) < 1e-6
+        if abs(over[0] - 0.5) > 1e-9:
+            assert got[i].toxic == (over[0] >= 0.5)
+
+
+def plain_shares(text):
+    """The labellers' shares by plain loops."""
+    words = (text or "").split()
+    n = len(words)
+    if n < q.MIN_WORDS:
+        return None
+    letters = sum(c.isalpha() for w in words for c in w)
+    lines = [y.rstrip() for y in text.split("\n") if y.strip()]
+    return [
+        sum(w != "|" and any(c in "#*$%&|<>" for c in w) for w in words) / n,
+        sum(c.isupper() for w in words for c in w if c.isalpha()) / max(letters, 1),
+        sum("!!" in w for w in words) / n,
+        sum(w == "|" for w in words) / n,
+        sum(not c.isalnum() for w in words for c in w) / sum(map(len, words)),
+        sum(not q.CLEAN.fullmatch(w) for w in words) / n,
+        sum(words[i] == words[i - 1] for i in range(1, n)) / (n - 1),
+        sum(words[i] == words[i - 1] == words[i - 2] for i in range(2, n)) / (n - 2),
+        sum(words[i] in (words[i - 2], words[i - 3]) for i in range(3, n)) / (n - 3),
+        max(words.count(w) for w in set(words)) / n,
+        sum(not y.endswith(q.ENDS) for y in lines) / max(len(lines), 1),
+        sum(len(w) > 40 for w in words) / n,
+    ]
+
+
+def plain_em(votes, weights, rounds):
+    """EM over rows of votes, written out."""
+    p = [0.1 if 0 in v else 0.95 for v in votes]
+    m = len(votes[0])
+    for _ in range(rounds):
+        total = [sum(w * (1 - y) for w, y in zip(weights, p)), sum(w * y for w, y in zip(weights, p))]
+        share = (total[1] + 1) / (sum(weights) + 2)
+        chance = [[[(sum(w * (y if side else 1 - y) for v, w, y in zip(votes, weights, p) if v[j] == k) + 1) / (total[side] + 3) for k in range(3)] for j in range(m)] for side in (0, 1)]
+        new = []
+        for v in votes:
+            logs = [sum(math.log(chance[side][j][v[j]]) for j in range(m)) for side in (0, 1)]
+            odds = logs[1] - logs[0] + math.log(share) - math.log(1 - share)
+            new.append(1 / (1 + math.exp(-max(-35, min(35, odds)))))
+        p = new
+    return p
+
+
+def test_quality_against_brute_force(spark):
+    """Votes of all texts, the posterior and every score again by plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    patterns = {}
+    for text in texts.values():
+        s = plain_shares(text)
+        v = tuple([2] * 12 if s is None else [1 if a <= g else 0 if a >= b else 2 for a, (_, g, b) in zip(s, q.LABELLERS)])
+        patterns[v] = patterns.get(v, 0) + 1
+        assert q.Reader().votes(text) == sum(k * 3**j for j, k in enumerate(v))
+    votes, weights = list(patterns), list(patterns.values())
+    codes = np.array([sum(k * 3**j for j, k in enumerate(v)) for v in votes])
+    model = fit_labellers(codes, np.array(weights), rounds=30)
+    assert np.abs(model.posterior(codes) - plain_em(votes, weights, 30)).max() < 1e-6
+    _, scorer = q.train(docs)
+    got = {r.doc_id: (r.quality, r.kept) for r in quality(docs).collect()}
+    for i, text in texts.items():
+        words = (text or "").split()
+        counts = {}
+        for w in words:
+            b = zlib.crc32(q.shape(w).encode()) % (q.BUCKETS - 1)
+            counts[b] = counts.get(b, 0) + 1
+        if echoes := sum(a == b for a, b in zip(words, words[1:])):
+            counts[q.BUCKETS - 1] = echoes
+        margin = scorer.bias + sum(scorer.weights[b] * n / len(words) for b, n in counts.items())
+        want = 1 / (1 + math.exp(-max(-35, min(35, margin))))
+        assert abs(got[i][0] - want) < 1e-6 and (got[i][1] == (want >= 0.5) or abs(want - 0.5) < 1e-6)
+
+
+def test_many_rows_of_one_id(docs_of, spark):
+    """A sampled id that many rows share is gathered once, and the bytes gathered have a bound."""
+    rows = [(7, f"copy number {i} of a fool")  for i in range(3000)] + [(i, "you are a fool" if i % 3 == 0 else "calm plain words") for i in range(100, 160)]
+    labels = spark.createDataFrame([(7, 1)] + [(i, int(i % 3 == 0)) for i in range(100, 160)], "doc_id long, toxic int")
+    some = x.labelled(docs_of(rows), labels, "doc_id", "text", "toxic", 50)
+    assert some.count() == 50 and some.select("id").distinct().count() == 50
+    out = toxicity(docs_of(rows), labels)
+    assert out.count() == len(rows) and out.where("toxic").count() == 3020
+    assert x.train(docs_of(rows), labels, max_gathered=0).weights == {}
+    _, scorer = q.train(docs_of(rows), max_gathered=0)
+    assert scorer.bias == 35.0 and quality(docs_of(rows)).count() == len(rows)
