@@ -18,7 +18,7 @@ from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .token_counts import token_counts
 from .toxicity import toxicity
-from .url_filter import DEPTH, MAX_CHILDREN, MIN_LABELLED, MIN_PURITY, MIN_SHARE, RULES, SIMILAR, SMOOTHING, url_filter
+from .url_filter import MAX_CHILDREN, MIN_LABELLED, MIN_PURITY, MIN_SHARE, RULES, SIMILAR, SMOOTHING, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +106,10 @@ FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
 """
 
 
+#: Levels of the template tree written out in SQL: as many as the paths of ``pages`` have, and one more.
+LEVELS = 4
+
+
 def _op5() -> str:
     """The template tree, level by level."""
     ordered = sorted(RULES, key=lambda r: (-len(r.name), r.name))
@@ -116,25 +120,28 @@ def _op5() -> str:
 
     parts = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
     levels = ""
-    for d in range(DEPTH):
-        m, pooled = "(n.a + n.b)", "(p.all_a / (p.all_a + p.all_b))"
+    for d in range(LEVELS):
+        m, whole, pooled = "(n.a + n.b)", "(p.all_a + p.all_b)", "(p.all_a / (p.all_a + p.all_b))"
+        differs = f"({whole} >= {MIN_LABELLED} AND p.all_b > 0 AND p.all_n > {whole})"
         levels += f""",
-s{d} AS (SELECT *, coalesce(segs[{d + 1}], '') AS seg FROM t{d}),
+s{d} AS (SELECT *, coalesce(segs[{d + 1}], '') AS seg FROM t{d} WHERE NOT done),
 n{d} AS (SELECT host, prefix, seg, sum(n) AS n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM s{d} GROUP BY ALL),
 p{d} AS (SELECT host, prefix, count(*) AS k, sum(n) AS all_n, sum(a) AS all_a, sum(b) AS all_b FROM n{d} GROUP BY ALL),
-m{d} AS (SELECT n.host, n.prefix, n.seg, CASE WHEN n.seg = '' THEN '' WHEN (p.k > {MAX_CHILDREN} AND n.n < {MIN_SHARE} * p.all_n)
+m{d} AS (SELECT n.host, n.prefix, n.seg, NOT {differs} OR n.seg = '' AS ends, CASE WHEN NOT {differs} THEN '/**' WHEN n.seg = '' THEN ''
+  WHEN (p.k > {MAX_CHILDREN} AND n.n < {MIN_SHARE} * p.all_n AND {m} < {MIN_LABELLED})
   OR (p.k > 1 AND {m} >= {MIN_LABELLED} AND abs(n.a / {m} - {pooled}) <= {SIMILAR} * sqrt({pooled} * (1 - {pooled}) / {m}) + 1e-12) THEN '/*' ELSE '/' || n.seg END AS name
   FROM n{d} n JOIN p{d} p USING (host, prefix)),
-t{d + 1} AS (SELECT s.host, s.segs, s.n, s.a, s.b, s.prefix || m.name AS prefix FROM s{d} s JOIN m{d} m USING (host, prefix, seg))"""
-    last = f"t{DEPTH}"
+t{d + 1} AS (SELECT s.host, s.segs, s.n, s.a, s.b, s.prefix || m.name AS prefix, m.ends AS done FROM s{d} s JOIN m{d} m USING (host, prefix, seg)
+  UNION ALL SELECT host, segs, n, a, b, prefix, done FROM t{d} WHERE done)"""
+    last = f"t{LEVELS}"
     of_host = f"((h.ha + {SMOOTHING} * p0) / (h.ha + h.hb + {SMOOTHING}))"
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {parts}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), {parts}, 2) AS path FROM pages),
 l AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
 j AS (SELECT page_id, host, path, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS label,
-  list_concat(list_transform(parts[1:{DEPTH}], lambda s: CASE WHEN regexp_matches(s, '^[0-9]+(\\.[a-z]{{1,5}})?$') THEN '{{n}}' WHEN regexp_matches(s, '^[0-9a-fA-F-]{{8,}}$') THEN '{{x}}'
-    WHEN length(s) > 40 OR regexp_matches(s, '-.*-.*-') THEN '{{s}}' ELSE s END), CASE WHEN len(parts) > {DEPTH} THEN ['{{more}}'] ELSE [] END) AS segs FROM l),
-t0 AS (SELECT host, segs, count(*) AS n, sum((label IS NOT DISTINCT FROM 'allow')::INT) AS a, sum((label IS NOT DISTINCT FROM 'block')::INT) AS b, '' AS prefix FROM j GROUP BY host, segs){levels},
+  list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '^[0-9]+(\\.[a-z]{{1,5}})?$') THEN '{{n}}' WHEN regexp_matches(s, '^[0-9a-fA-F-]{{8,}}$') THEN '{{x}}'
+    WHEN length(s) > 40 OR regexp_matches(s, '-.*-.*-') THEN '{{s}}' ELSE s END) AS segs FROM l),
+t0 AS (SELECT host, segs, count(*) AS n, sum((label IS NOT DISTINCT FROM 'allow')::INT) AS a, sum((label IS NOT DISTINCT FROM 'block')::INT) AS b, '' AS prefix, FALSE AS done FROM j GROUP BY host, segs){levels},
 g AS (SELECT (sum(a) + 1) / (sum(a) + sum(b) + 2)::DOUBLE AS p0 FROM {last}),
 h AS (SELECT host, sum(a)::DOUBLE AS ha, sum(b)::DOUBLE AS hb FROM {last} GROUP BY host),
 f AS (SELECT host, prefix, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM {last} GROUP BY host, prefix),

@@ -12,12 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, cut, pick
+from .common import UPPER, pick, remove, stored
 
 ALLOW, BLOCK = "allow", "block"
-#: Segments of a path that the tree tells apart; what lies below is one branch.
-DEPTH = 3
-#: With more children than this, those of less than this share of their parent's pages become a wildcard.
+#: With more children than this, those of less than this share of their parent's pages, and of too few labelled ones to tell, become a wildcard.
 MAX_CHILDREN = 20
 MIN_SHARE = 0.05
 #: Standard errors within which a branch's labelled rate is that of its siblings.
@@ -71,43 +69,53 @@ def rule_of(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     )
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The first segments; numbers, hexadecimal ids and long slugs are wildcards already."""
-    parts = F.array_remove(F.split(path, "/"), "")
-    short = F.transform(
-        F.slice(parts, 1, depth),
+def segments(path: Column) -> Column:
+    """All segments; numbers, hexadecimal ids and long slugs are wildcards already."""
+    return F.transform(
+        F.array_remove(F.split(path, "/"), ""),
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[a-z]{1,5})?$"), "{n}")
         .when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), "{x}")
         .when((F.length(s) > 40) | s.rlike("-.*-.*-"), "{s}")
         .otherwise(s),
     )
-    return F.concat(short, F.when(F.size(parts) > depth, F.array(F.lit("{more}"))).otherwise(F.array().cast("array<string>")))
 
 
-def templates(judged: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(judged: DataFrame) -> DataFrame:
     """``host``, ``segs`` (as ``segments`` gives them), ``template`` and its ``purity`` and ``labelled`` pages.
 
     ``judged`` has ``host``, ``segs`` and ``label`` (null: none). Works on counts per
-    host and path, one level of the tree after another.
+    host and path, one level of the tree after another, for as long as there are
+    branches to tell apart: those with three labelled pages or more, some of them
+    blocked, and some pages without a label. Other branches are one template,
+    ``/**``: no part of them could be rejected, or there is nothing in them to judge,
+    or all that is known of them is allowed.
     """
     good, bad = F.col("label") == ALLOW, F.col("label") == BLOCK
-    tree = cut(judged.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum(good.cast("long")).alias("a"), F.sum(bad.cast("long")).alias("b")))
-    tree = tree.fillna(0, ["a", "b"]).withColumn("prefix", F.lit(""))
-    for level in range(depth):
-        named = tree.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
+    tree, path = stored(judged.groupBy("host", "segs").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(good.cast("long")), F.lit(0)).alias("a"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("b"),
+        F.lit("").alias("prefix"), F.lit(False).alias("done"),
+    ))
+    level = 0
+    while tree.where(~F.col("done")).limit(1).count():
+        named = tree.where(~F.col("done")).withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
         nodes = named.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
         parents = nodes.groupBy("host", "prefix").agg(F.count("*").alias("k"), F.sum("n").alias("all_n"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
-        pooled = F.col("all_a") / (F.col("all_a") + F.col("all_b"))
+        whole = F.col("all_a") + F.col("all_b")
+        pooled = F.col("all_a") / whole
         m = F.col("a") + F.col("b")
+        differs = (whole >= MIN_LABELLED) & (F.col("all_b") > 0) & (F.col("all_n") > whole)
         # a pool of one kind only has no spread: then any other rate differs
         similar = (m >= MIN_LABELLED) & (F.abs(F.col("a") / m - pooled) <= SIMILAR * F.sqrt(pooled * (1 - pooled) / m) + 1e-12)
-        rare = (F.col("k") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all_n"))
+        rare = (F.col("k") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all_n")) & (m < MIN_LABELLED)
         merged = nodes.join(parents, ["host", "prefix"]).select(
-            "host", "prefix", "seg",
-            F.when(F.col("seg") == "", "").when(rare | (similar & (F.col("k") > 1)), "/*").otherwise(F.concat(F.lit("/"), "seg")).alias("name"),
+            "host", "prefix", "seg", (~differs | (F.col("seg") == "")).alias("ends"),
+            F.when(~differs, "/**").when(F.col("seg") == "", "").when(rare | (similar & (F.col("k") > 1)), "/*").otherwise(F.concat(F.lit("/"), "seg")).alias("name"),
         )
-        tree = named.join(merged, ["host", "prefix", "seg"]).select("host", "segs", "n", "a", "b", F.concat("prefix", "name").alias("prefix"))
-        tree = cut(tree)
+        grown = named.join(merged, ["host", "prefix", "seg"]).select("host", "segs", "n", "a", "b", F.concat("prefix", "name").alias("prefix"), F.col("ends").alias("done"))
+        before = path
+        tree, path = stored(grown.unionByName(tree.where("done")))
+        remove(tree.sparkSession, before)
+        level += 1
     totals = tree.agg(((F.sum("a") + 1) / (F.sum("a") + F.sum("b") + 2)).alias("p0"))
     hosts = tree.groupBy("host").agg(F.sum("a").alias("ha"), F.sum("b").alias("hb"))
     leaves = tree.groupBy("host", "prefix").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from cohortloom.llm.license_scan import BASE, CONFIDENCE, SPAN, license_scan, signatures
-from cohortloom.llm.url_filter import DEPTH, MAX_CHILDREN, MIN_LABELLED, MIN_SHARE, RULES, SIMILAR, SMOOTHING, url_filter
+from cohortloom.llm.url_filter import MAX_CHILDREN, MIN_LABELLED, MIN_SHARE, RULES, SIMILAR, SMOOTHING, url_filter
 
 
 def plain_scan(text):
@@ -70,39 +70,47 @@ def plain_urls(rows):
         rule = max(fits, key=lambda r: len(r.name), default=None)
         segs = []
         parts = [p for p in path.split("/") if p]
-        for s in parts[:DEPTH]:
+        for s in parts:
             segs.append("{n}" if re.fullmatch(r"[0-9]+(\.[a-z]{1,5})?", s) else "{x}" if re.fullmatch(r"[0-9a-fA-F-]{8,}", s) else "{s}" if len(s) > 40 or re.search("-.*-.*-", s) else s)
-        if len(parts) > DEPTH:
-            segs.append("{more}")
         parsed.append((i, host, path, rule, tuple(segs)))
     prefix = {(h, s): "" for _, h, _, _, s in parsed}
+    live = set(prefix)
 
-    def count(keys):
+    def count(keys, some=lambda h, s: True):
         c = defaultdict(lambda: [0, 0, 0])
-        for _, h, _, r, s in parsed:
+        for _, h, _, r, s in (p for p in parsed if some(p[1], p[4])):
             x = c[keys(h, s)]
             x[0] += 1
             x[1] += r is not None and r.verdict == "allow"
             x[2] += r is not None and r.verdict == "block"
         return c
 
-    for level in range(DEPTH):
+    level = 0
+    while live:
         def seg(s, level=level):
             return s[level] if len(s) > level else ""
 
-        nodes = count(lambda h, s: (h, prefix[h, s], seg(s)))
-        parents = count(lambda h, s: (h, prefix[h, s]))
+        nodes = count(lambda h, s: (h, prefix[h, s], seg(s)), lambda h, s: (h, s) in live)
+        parents = count(lambda h, s: (h, prefix[h, s]), lambda h, s: (h, s) in live)
         children = Counter((h, p) for h, p, _ in nodes)
-        names = {}
+        names, ends = {}, set()
         for (h, p, g), (n, a, b) in nodes.items():
             all_n, all_a, all_b = parents[h, p]
-            similar = False
-            if a + b >= MIN_LABELLED:
-                pooled = all_a / (all_a + all_b)
-                similar = abs(a / (a + b) - pooled) <= SIMILAR * (pooled * (1 - pooled) / (a + b)) ** 0.5 + 1e-12 and children[h, p] > 1
-            rare = children[h, p] > MAX_CHILDREN and n < MIN_SHARE * all_n
+            if all_a + all_b < MIN_LABELLED or not all_b or all_n == all_a + all_b:
+                names[h, p, g] = "/**"
+                ends.add((h, p, g))
+                continue
+            if g == "":
+                ends.add((h, p, g))
+            pooled = all_a / (all_a + all_b)
+            told = a + b >= MIN_LABELLED
+            similar = told and abs(a / (a + b) - pooled) <= SIMILAR * (pooled * (1 - pooled) / (a + b)) ** 0.5 + 1e-12 and children[h, p] > 1
+            rare = children[h, p] > MAX_CHILDREN and n < MIN_SHARE * all_n and not told
             names[h, p, g] = "" if g == "" else "/*" if rare or similar else "/" + g
-        prefix = {(h, s): p + names[h, p, seg(s)] for (h, s), p in prefix.items()}
+        at = {(h, s): (h, prefix[h, s], seg(s)) for h, s in live}
+        prefix |= {k: prefix[k] + names[x] for k, x in at.items()}
+        live = {k for k, x in at.items() if x not in ends}
+        level += 1
     leaves, hosts = count(lambda h, s: (h, prefix[h, s])), count(lambda h, s: h)
     a, b = sum(x[1] for x in hosts.values()), sum(x[2] for x in hosts.values())
     p0 = (a + 1) / (a + b + 2)
@@ -135,3 +143,20 @@ def test_urls_against_plain_loop(spark):
 ])
 def test_rules(spark, url, want):
     assert urls(spark, [(1, url)])[0][3:5] == want
+
+
+def test_templates_below_any_level(spark):
+    """Pages far down a path are told apart there; a large blocked branch among many is no wildcard."""
+    from pyspark.sql import functions as F
+
+    from cohortloom.llm.url_filter import templates
+
+    rows = [("h", ["a", "b", "c", "d", "e", f"good{i % 3}"], "allow") for i in range(60)] + [("h", ["a", "b", "c", "d", "e", "bad"], "block") for _ in range(30)]
+    rows += [("h", ["a", "b", "c", "d", "e", "bad"], None), ("h", ["a", "b", "c", "d", "e", "good1"], None)]
+    rows += [("w", [f"clean{i % 30}"], "allow") for i in range(3000)] + [("w", ["spam"], "block")] * 80 + [("w", ["spam"], None), ("w", ["clean7"], None)]
+    rows += [("deep", [str(i) for i in range(3000)], "allow")] * 5
+    t = templates(spark.createDataFrame(rows, "host string, segs array<string>, label string"))
+    got = {(r.host, r.segs[-1]): r for r in t.collect()}
+    assert got["h", "bad"].template == "h/a/b/c/d/e/bad" and got["h", "bad"].purity < 0.5 < got["h", "good1"].purity
+    assert got["w", "spam"].template == "w/spam" and got["w", "spam"].purity < 0.5 < got["w", "clean7"].purity
+    assert got["deep", "2999"].template == "deep/**" and t.agg(F.count("*")).first()[0] == len({(h, tuple(s)) for h, s, _ in rows})
