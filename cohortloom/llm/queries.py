@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
-from .license_scan import BASE, BASE_CONFIDENCE, CONFIDENCE, SPAN, license_scan, signatures
+from .license_scan import BASE, BASE_CONFIDENCE, BEFORE, CONFIDENCE, GRANT, SPAN, license_scan, signatures
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality
@@ -158,26 +158,37 @@ def _op9() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    rules = ", ".join(f"({quoted(s.keyword)}, {quoted(f'^({s.pattern})( |$)')}, {quoted(s.label)}, {s.priority})" for s in signatures())
+    ordered = list(enumerate(signatures()))
+    rules = ", ".join(f"({n}, {quoted(f'^ (?:{s.ahead}) ')}, {quoted(f' (?:{s.before})$')}, {quoted(s.label)}, {s.priority})" for n, s in ordered)
+    keys = ", ".join(f"({quoted(w)}, {n})" for n, s in ordered for w in s.keywords)
     base = ", ".join(f"({quoted(p)}, {quoted(label)}, {len(p.split())})" for p, label in BASE)
     firsts = ", ".join(quoted(p.split()[0]) for p, _ in BASE)
     score = " ".join(f"WHEN {p} THEN {c}" for p, c in CONFIDENCE.items())
+
+    def around(begin: str, end: str) -> str:
+        return f"' ' || CASE WHEN {end} > {begin} THEN array_to_string(words[{begin} + 1:{end}], ' ') || ' ' ELSE '' END"
+
     return rf"""
-WITH rules(keyword, pattern, label, priority) AS (VALUES {rules}), phrases(phrase, label, k) AS (VALUES {base}),
+WITH keys(word, rule) AS (VALUES {keys}), rules(rule, ahead_of, before_of, label, priority) AS (VALUES {rules}), phrases(phrase, label, k) AS (VALUES {base}),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
 i AS (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w),
-k AS (SELECT doc_id, i, words[i + 1] AS word, array_to_string(words[i + 1:i + {SPAN}], ' ') AS ahead FROM i WHERE words[i + 1] IN (SELECT keyword FROM rules) OR words[i + 1] IN ({firsts})),
-b AS (SELECT doc_id, i, label FROM k, phrases WHERE ahead = phrase OR starts_with(ahead, phrase || ' ')),
-d AS (SELECT doc_id, i AS a, i + len(string_split(regexp_extract(ahead, pattern, 1), ' ')) AS z, priority, label FROM k JOIN rules ON word = keyword WHERE regexp_extract(ahead, pattern, 1) <> ''),
-e AS (SELECT DISTINCT * FROM d),
+f AS (SELECT doc_id, i, array_to_string(words[i + 1:i + {SPAN}], ' ') AS ahead FROM i WHERE words[i + 1] IN ({firsts})),
+b AS (SELECT doc_id, i, label FROM f, phrases WHERE ahead = phrase OR starts_with(ahead, phrase || ' ')),
+c AS (SELECT doc_id, list_transform(words, lambda x: CASE x WHEN 'licence' THEN 'license' ELSE x END) AS words FROM w),
+p AS (SELECT doc_id, words, unnest(range(len(words))) AS i FROM c),
+k AS (SELECT doc_id, words, i, words[i + 1] AS word, {around(f"greatest(i - {BEFORE}, 0)", "i")} AS before, {around("i", f"least(i + {SPAN}, len(words))")} AS ahead FROM p WHERE words[i + 1] IN (SELECT word FROM keys)),
+m AS (SELECT doc_id, words, i, label, priority, regexp_extract(ahead, ahead_of) AS ahead, regexp_extract(before, before_of) AS before FROM k JOIN keys USING (word) JOIN rules USING (rule)),
+d AS (SELECT doc_id, words, i - (len(string_split(before, ' ')) - 2) AS a, i + len(string_split(ahead, ' ')) - 2 AS z, priority, label FROM m WHERE ahead <> '' AND before <> ''),
+g AS (SELECT *, len(string_split(regexp_extract({around(f"greatest(a - {BEFORE}, 0)", "a")}, {quoted(f' (?:{GRANT} )$')}), ' ')) - 2 AS n FROM d),
+e AS (SELECT DISTINCT doc_id, CASE WHEN priority > 2 AND n > 0 THEN a - n ELSE a END AS a, z, CASE WHEN priority > 2 AND n > 0 THEN 2 ELSE priority END AS priority, label FROM g),
 s AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.z >= x.z AND y.priority <= x.priority
       AND (y.a < x.a OR y.z > x.z OR y.priority < x.priority OR y.label < x.label))),
-m AS (SELECT doc_id, min(priority) AS best FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, min(priority) AS best FROM s GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
 o AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM s) GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        CASE best {score} ELSE CASE WHEN n_base > 0 THEN {BASE_CONFIDENCE} ELSE 0 END END::DOUBLE AS score
-FROM w LEFT JOIN m USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
 
