@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from .token_counts import byte_symbols
 
 WINDOW = 2048
 END_ID = 1
-#: Words and parts of words whose ids a Python worker remembers, each in two generations of so many.
-WORDS, PARTS = 30_000, 60_000
+#: Words and parts of words whose ids a Python worker remembers, in two generations of so many.
+WORDS = 80_000
 #: Windows that are open at a time in one task: at most 16 MB of ids.
 MOST_OPEN = 2048
 #: Sequence ids of one task: its partition's number in the upper bits.
@@ -37,37 +38,19 @@ BATCH = 20_000
 #: How the vocabulary splits a word (fixed value of its file), on letters up to ``PLAIN``; other words it splits itself.
 PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = "\u024f"
+MARKS = frozenset(".,;:!?")
 SYMBOLS = byte_symbols()
 SPACES = str.maketrans("\n\t\r\x0b\x0c", "     ")
 
 
-class Recent:
-    """What was computed of late, in bounded memory: the last ``most`` to ``2 * most`` distinct keys that were asked for."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, value: bytes) -> None:
-        self.new[key] = value
-        if len(self.new) >= self.most:
-            self.new, self.old = {}, self.new
-
-
 class WordIds:
     """Token ids of whole texts from the ids of their words.
 
     The vocabulary's splitter never joins characters across white space, and its
     normaliser works on each side alone, so the ids of a text are those of its
     white-space separated words, one after another, and those of a word are its
-    parts'. Ids are kept as bytes, which are joined to the text's.
+    parts'. Ids are kept as bytes, which are joined to the text's. What is kept are
+    the last ``WORDS`` to twice as many distinct words and parts, in two generations.
     """
 
     def __init__(self, path: str):
@@ -76,28 +59,31 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.parts = Recent(WORDS), Recent(PARTS)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
+    def _symbols(self, part: str) -> bytes:
         """Ids of one lower-case part, which the model takes with a symbol for each byte."""
-        found = self.parts.get(part)
-        if found is None:
-            symbols = part if part.isascii() else "".join([SYMBOLS[b] for b in part.encode()])
-            found = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
-            if len(part) < 64:
-                self.parts.put(part, found)
-        return found
+        symbols = part if part.isascii() else "".join([SYMBOLS[b] for b in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def _known(self, word: str) -> bytes:
+        found = self.new.get(word)
+        return self._learn(word) if found is None else found
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def _learn(self, word: str) -> bytes:
+        found = self.old.get(word)
         if found is None:
-            if "<" in word or word != word.lower() or not word.isprintable() or (not word.isascii() and max(word) > PLAIN):
-                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            core = word[:-1] if word[-1:] in MARKS else word
+            if core.isalpha() and core.islower() and (core.isascii() or max(core) <= PLAIN):  # most words, and told quickly
+                found = self._symbols(core) if core is word else self._known(core) + self._known(word[-1])
+            elif "<" in word or word != word.lower() or not word.isprintable() or (not word.isascii() and max(word) > PLAIN):
+                found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
             else:
                 parts = PART.findall(word)
-                found = self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
-            if len(word) < 64:
-                self.words.put(word, found)
+                found = self._symbols(parts[0]) if len(parts) == 1 else b"".join(map(self._known, parts))
+        if len(word) < 64:
+            self.new[word] = found
         return found
 
     def ids(self, text: str) -> np.ndarray:
@@ -106,9 +92,11 @@ class WordIds:
         text = text.lower() if plain else text
         odd = any(c in text for c in "\t\r\x0b\x0c")
         words = (text.translate(SPACES) if odd else text.replace("\n", " ")).split(" ")
-        found = list(map(self.words.new.get, words))
+        found = list(map(self.new.get, words))
         for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self._word(words[i])
+            found[i] = self._known(words[i])
+        if len(self.new) >= WORDS:
+            self.new, self.old = {}, self.new
         return np.frombuffer(b"".join(found), "<u4")
 
 

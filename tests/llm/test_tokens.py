@@ -58,7 +58,6 @@ def test_caches_that_overflow(monkeypatch, exact):
     import cohortloom.llm.token_counts as c
 
     monkeypatch.setattr(p, "WORDS", 5)
-    monkeypatch.setattr(p, "PARTS", 3)
     monkeypatch.setattr(c, "REMEMBERED", 5)
     w, n = p.WordIds(WORDS), c.PairCounter(BYTES)
     for t in ODD + ["one two three four five six seven eight nine ten " * 3]:
