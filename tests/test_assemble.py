@@ -4,7 +4,7 @@ from cohortloom.plans.assemble import join_tables, panelize, panelize_pf
 from cohortloom.plans.catalog import TABLES, cardinality, data_source, form_family, resolve_tables, table_catalog
 from cohortloom.plans.frame import create_frame
 from cohortloom.sources.stage import budget, download_manifest, download_tables, fetch, retrieval_log, write_log
-from cohortloom.sources.tables import cast_audit, cast_declared, read_manifest, read_tables, stack
+from cohortloom.sources.tables import cast_audit, cast_declared, common_kind, read_manifest, read_table, read_tables, stack
 
 HEADER, SUMMARY, MANY = "F9-P00-T00-HEADER", "F9-P01-T00-SUMMARY", "F9-P03-T01-PROGRAMS-OTHER"
 
@@ -148,3 +148,87 @@ def test_staging(spark, tmp_path):
     assert not (tmp_path / "x").exists() and not (tmp_path / "x.part").exists()
     assert (budget(10), budget(10, 512 * 1024 * 100), budget(10, floor=50), budget(1e12)) == (10, 100, 50, 2147483)
     assert [r.status for r in read_tables(spark, "P00", [2021], s, first)] == ["downloaded"]
+
+
+@pytest.mark.parametrize("kinds_of, want", [
+    ({"decimal(10,2)", "decimal(12,2)"}, "decimal(12,2)"), ({"decimal(10,4)", "decimal(12,2)"}, "decimal(14,4)"), ({"decimal(10,2)", "double"}, "double"), ({"decimal(10,2)", "bigint"}, "decimal(21,2)"),
+    ({"decimal(38,0)", "decimal(38,10)"}, "double"), ({"int", "bigint"}, "double"), ({"decimal(10,2)", "string"}, "string"), ({"date", "int"}, "string"),
+])
+def test_common_kinds(kinds_of, want):
+    assert common_kind(kinds_of) == want
+
+
+def test_decimals_stack_exactly(spark):
+    a = spark.sql("select cast(1.25 as decimal(10,2)) x")
+    b = spark.sql("select cast(9999999999.99 as decimal(12,2)) x")
+    out = stack([a, b])
+    assert dict(out.dtypes)["x"] == "decimal(12,2)" and sorted(str(r.x) for r in out.collect()) == ["1.25", "9999999999.99"]
+
+
+def test_listed_and_tabled_entities_read_the_same(spark):
+    raw = spark.createDataFrame([(" ein-1",), ("EIN-1 ",), ("EIN-2",), (None,)], "EIN2 string")
+    listed = read_table(raw, 2020, filters={"EIN2": ["Ein-1"]})
+    tabled = read_table(raw, 2020, ids=spark.createDataFrame([("eIN-1 ",)], "k string"))
+    assert sorted(r.EIN2 for r in listed.collect()) == sorted(r.EIN2 for r in tabled.collect()) == [" ein-1", "EIN-1 "]
+
+
+def test_staged_sizes_are_verified(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    put(spark, tmp_path / "src", HEADER, 2021, [("1", "o")], "EIN2 string, OBJECTID string")
+    s = data_source(str(tmp_path / "src"))
+    name = s.filename(HEADER, 2021)
+    bad = download_tables([2021], "P00", s, str(tmp_path / "cache"), retry_max=1, backoff=0, expected_bytes={name: 1})
+    assert [x.status for x in bad] == ["failed"] and "expected 1 bytes" in bad[0].error
+    import os
+
+    size = os.path.getsize(s.path(HEADER, 2021))
+    assert [x.status for x in download_tables([2021], "P00", s, str(tmp_path / "cache"), expected_bytes={name: size})] == ["downloaded"]
+    assert [x.status for x in download_tables([2021], "P00", s, str(tmp_path / "cache"), expected_bytes={name: size})] == ["reused"]
+
+
+def test_staged_dimension(spark, tmp_path):
+    import json
+
+    from cohortloom.sources.dimension import retrieve, stage_dimension
+
+    root = tmp_path / "build"
+    root.mkdir()
+    (root / "bmf_unified.csv").write_text("EIN2,org_name_display\nein-1,one\n")
+    (root / "manifest.json").write_text(json.dumps({"files": {"bmf_unified.csv": {"bytes": 3}}}))
+    assert stage_dimension(spark, str(root), str(tmp_path / "cache"), "csv", retry_max=1, backoff=0).status == "failed"
+    (root / "manifest.json").write_text(json.dumps({"files": {"bmf_unified.csv": {"bytes": (root / "bmf_unified.csv").stat().st_size}}}))
+    got = stage_dimension(spark, str(root), str(tmp_path / "cache"), "csv", retry_max=1, backoff=0)
+    assert got.status == "downloaded"
+    assert [tuple(r) for r in retrieve(spark, got.path, ("EIN2", "org_name_display")).df.collect()] == [("EIN-1", "one")]
+
+
+def test_state_files_that_lag_or_lack(spark, tmp_path, monkeypatch):
+    from cohortloom.sources import dimension
+
+    for s in ("CA", "NY"):
+        spark.createDataFrame([(f"ein-{s}", "x")], "EIN2 string, org_name_display string").write.parquet(str(tmp_path / f"state={s}.parquet"))
+    with pytest.warns(UserWarning, match="left out"):
+        assert dimension.retrieve(spark, str(tmp_path), ("EIN2", "org_name_display"), states=["CA", "NY", "TX"]).df.count() == 2
+    with pytest.raises(ValueError):
+        dimension.retrieve(spark, str(tmp_path), ("EIN2",), states=["TX"])
+    monkeypatch.setattr(dimension, "STATES", ("CA", "NY"))
+    with pytest.warns(UserWarning, match="3 rows less"):
+        dimension.retrieve(spark, str(tmp_path), ("EIN2", "org_name_display"), states=["CA", "NY"], manifest={"rows": 5})
+    with pytest.warns(UserWarning, match="may be older"):
+        dimension.retrieve(spark, str(tmp_path), ("EIN2", "org_name_display"), states=["CA", "NY"])
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from cohortloom.sources import shared
+
+    class Far:
+        master = "spark://far:7077"
+
+    class Session:
+        sparkContext = Far()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Session(), "x")

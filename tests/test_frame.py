@@ -99,3 +99,25 @@ def test_panel_ledger_and_freshness(spark):
     assert [r[0] for r in ledger] == ["describe", "filter", "impute"]
     assert ledger[1][2:6] == (10, 7, 3, 30.0) and ledger[2][2:5] == (7, 10, -3)
     assert isinstance(full, Panel)
+
+
+@pytest.mark.parametrize("n", [999, 1000, 1001, 5000])
+def test_subset_means_the_same_for_any_number_of_ids(spark, n):
+    """Whole-number ids against text keys, some of them no numbers."""
+    df = spark.createDataFrame([("123",), ("0123",), ("none",), ("4",), (None,)], "id string")
+    ids = [123, *range(10_000, 10_000 + n - 1)]
+    f = create_frame(entity="id", time="t").add_rule("subset", ids=ids)
+    assert [r.id for r in apply_frame(df, f).df.collect()] == ["123"]
+    got = conform(df.withColumn("t", df.id), f)
+    assert (got.rows_total, got.rows_violating) == (5, 4)
+    table = spark.createDataFrame([(i,) for i in ids] + [(None,)], "k bigint")
+    assert [r.id for r in apply_frame(df, create_frame(entity="id", time="t").add_rule("subset", ids=table)).df.collect()] == ["123"]
+
+
+def test_group_stat_keeps_rows_without_a_group(spark):
+    rows = [("a", 1.0), ("a", 3.0), ("b", None), ("b", 2.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    f = create_frame(entity="g", time="t").add_refresh(action="group_stat", by="g", value="v", fun="mean", into="m")
+    assert sorted(map(str, [tuple(r) for r in apply_frame(df, f).df.collect()])) == sorted(map(str, [("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", None, None), ("b", 2.0, None), (None, 5.0, 5.0)]))
+    over = create_frame(entity="g", time="t").add_refresh(action="group_stat", by="g", value="v", fun="sum", into="v")
+    assert sorted(map(str, [tuple(r) for r in apply_frame(df, over).df.collect()])) == sorted(map(str, [("a", 4.0), ("a", 4.0), ("b", None), ("b", None), (None, 5.0)]))

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import cohortloom.queries.sources  # noqa: F401  registers its queries
 from cohortloom.queries.core import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
