@@ -15,10 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, at, flat, pick, remove, stored, within
+from .common import arrow_batches, at, cut, flat, pick, remove, stored, within
 from .sparse import Rows, fista, sigmoid
 
 BAD, GOOD, NONE = 0, 1, 2
@@ -113,12 +113,12 @@ class Reader:
             places = list(map(self.known.__getitem__, words))
         return np.array(places, np.int64)
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shares by labeller (empty if there is too little text), and the features' buckets and weights."""
+    def read(self, text: str | None) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """Shares by labeller (empty if there is too little text), words, and the features' buckets and counts."""
         words = text.split() if text else []
         n = len(words)
         if not n:
-            return np.empty(0), np.empty(0, np.int64), np.empty(0)
+            return np.empty(0), 0, np.empty(0, np.int64), np.empty(0, np.int64)
         seen = self._rows(words)
         echoes = seen[1:] == seen[:-1]
         distinct, times = np.unique(seen, return_counts=True)
@@ -129,18 +129,13 @@ class Reader:
         if not counts[-1]:
             buckets, counts = buckets[:-1], counts[:-1]
         if n < MIN_WORDS:
-            return np.empty(0), buckets, counts / n
+            return np.empty(0), n, buckets, counts
         symbol, shout, bar, unclean, odd, chars, marks, letters, capitals = times @ t[:, :-1].astype(np.int64)
         top = times.max()
         lines = [x for line in text.split("\n") if (x := line.rstrip())]
         open_lines = sum(not x.endswith(ENDS) for x in lines) / max(len(lines), 1)
         shares = [symbol / n, capitals / max(letters, 1), shout / n, bar / n, marks / chars, unclean / n, echoes.mean(), (echoes[1:] & echoes[:-1]).mean(), ((seen[3:] == seen[1:-2]) | (seen[3:] == seen[:-3])).mean(), top / n, open_lines, odd / n]
-        return np.array(shares, float), buckets, counts / n
-
-    def votes(self, text: str | None) -> int:
-        """The labellers' votes as one number to the base three."""
-        shares, _, _ = self.read(text)
-        return pattern(shares)
+        return np.array(shares, float), n, buckets, counts
 
 
 def pattern(shares: np.ndarray) -> int:
@@ -227,50 +222,62 @@ def reader() -> Reader:
     return _readers[0]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED, max_gathered: int = MAX_GATHERED) -> tuple[LabelModel, Scorer]:
-    """EM on the vote patterns of all documents (3^12 at most), then the scorer on a bounded sample of them, one row an id."""
-    arrow_batches(docs.sparkSession)
+SEEN = "votes int, words int, buckets binary, counts binary"
+
 
-    @F.pandas_udf("int")
-    def votes(texts: pd.Series) -> pd.Series:
+def _seen():
+    """A UDF of texts: their votes, and their features in some hundred bytes."""
+
+    @F.pandas_udf(SEEN)
+    def seen(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         r = reader()
-        return pd.Series([r.votes(t) for t in texts], dtype=np.int32)
-
-    @F.pandas_udf("votes int, buckets array<int>, shares array<double>")
-    def features(texts: pd.Series) -> pd.DataFrame:
-        got = [reader().read(t) for t in texts]
-        return pd.DataFrame({
-            "votes": np.array([pattern(s) for s, _, _ in got], np.int32),
-            "buckets": pd.Series([b.astype(np.int32) for _, b, _ in got], dtype=object),
-            "shares": pd.Series([v for _, _, v in got], dtype=object),
-        })
-
-    src = pick(docs, id=id_col, text=text_col)
-    seen = src.select(votes("text").alias("v")).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").toPandas()
-    model = fit_labellers(seen["v"].to_numpy(), seen["n"].to_numpy())
-    chosen = src.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_fitted).withColumnRenamed("id", "key")
-    one_each = src.join(F.broadcast(chosen), F.col("id") == F.col("key")).groupBy("id").agg(F.min("text").alias("text"))
-    drawn, path = stored(one_each.select("id", features("text").alias("f")).select("id", "f.*"))
-    drawn = drawn.withColumn("size", 12 * F.size("buckets"))
-    sample = within(drawn, "size", max_gathered).select("votes", "buckets", "shares").toPandas()
+        for texts in batches:
+            got = [r.read(t) for t in texts]
+            yield pd.DataFrame({
+                "votes": np.array([pattern(s) for s, _, _, _ in got], np.int32), "words": np.array([n for _, n, _, _ in got], np.int32),
+                "buckets": [b.astype("<u2").tobytes() for _, _, b, _ in got], "counts": [c.astype("<u4").tobytes() for _, _, _, c in got],
+            })
+
+    return seen
+
+
+def _features(words: int, buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(buckets, "<u2").astype(np.int64), np.frombuffer(counts, "<u4") / max(words, 1)
+
+
+def train(seen: DataFrame, max_fitted: int = MAX_FITTED, max_gathered: int = MAX_GATHERED) -> tuple[LabelModel, Scorer]:
+    """EM on the vote patterns of all documents (3^12 at most), then the scorer on a bounded sample of them, one row an id.
+
+    ``seen`` has ``id`` and ``seen``, as ``_seen`` makes it, and is read several times.
+    """
+    votes = seen.groupBy(F.col("seen.votes").alias("v")).agg(F.count("*").alias("n")).orderBy("v").toPandas()
+    model = fit_labellers(votes["v"].to_numpy(), votes["n"].to_numpy())
+    chosen = seen.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_fitted).withColumnRenamed("id", "key")
+    drawn, path = stored(seen.join(F.broadcast(chosen), F.col("id") == F.col("key")).groupBy("id").agg(F.min("seen").alias("seen")).select("id", "seen.*"))
+    # buckets and counts are gathered as bytes, and unpacked to sixteen of them each
+    sample = within(drawn.withColumn("size", 8 * F.octet_length("buckets")), "size", max_gathered).select("votes", "words", "buckets", "counts").toPandas()
     remove(drawn.sparkSession, path)
-    arrays = [(v, np.asarray(b, np.int64), np.asarray(x, float)) for v, b, x in zip(sample["votes"], sample["buckets"], sample["shares"])]
+    arrays = [(v, *_features(n, b, c)) for v, n, b, c in zip(sample["votes"], sample["words"], sample["buckets"], sample["counts"])]
     rows = sorted(arrays, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     target = model.posterior(np.array([r[0] for r in rows], np.int64)) if rows else np.empty(0)
     return model, fit_scorer([r[1] for r in rows], [r[2] for r in rows], target)
 
 
-def quality_score(docs: DataFrame, scorer: Scorer, text_col: str = "text"):
-    """A column with P(good) of ``text_col``, by its name in ``docs``; a text without words has the bias alone."""
+def read_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and ``seen``, written to the shared folder: texts are read once, by the labellers and for the scorer."""
     arrow_batches(docs.sparkSession)
+    return cut(pick(docs, id=id_col, text=text_col).select("id", _seen()("text").alias("seen")))
+
+
+def quality_score(scorer: Scorer, seen: Column) -> Column:
+    """P(good) of what ``_seen`` has told of a text; a text without words has the bias alone."""
 
     @F.pandas_udf("double")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        r = reader()
-        for texts in batches:
-            yield pd.Series([round(scorer.score(*r.read(t)[1:]), 9) for t in texts], dtype="float64")
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([round(scorer.score(*_features(*x)), 9) for x in zip(b["words"], b["buckets"], b["counts"])], dtype="float64")
 
-    return apply(docs[text_col])
+    return apply(seen)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> DataFrame:
@@ -280,17 +287,23 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     * rows that share an id are scored each; null ids are scored, and are not in the fitted sample;
     * an empty table gives an empty result; extra columns are not read.
 
-    Two passes over the texts, no shuffle but of pattern counts. The model that goes
-    to the tasks has 2^14 weights, whatever the input.
+    One pass over the texts, whose features are written to the shared folder in some
+    hundred bytes each; no shuffle but of pattern counts and the sample. The model that
+    goes to the tasks has 2^14 weights, whatever the input.
     """
-    _, scorer = train(docs, id_col, text_col, max_fitted)
-    src = pick(docs, id=id_col, text=text_col)
-    out = src.select("id", quality_score(src, scorer).alias("quality"))
+    seen = read_texts(docs, id_col, text_col)
+    _, scorer = train(seen, max_fitted)
+    out = seen.select("id", quality_score(scorer, F.col("seen")).alias("quality"))
     return out.select(F.col("id").alias(id_col), "quality", (F.col("quality") >= 0.5).alias("kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> DataFrame:
-    """``docs`` without the rows that the scorer rejects; all columns stay."""
-    _, scorer = train(docs, id_col, text_col, max_fitted)
+    """``docs`` without the rows that the scorer rejects; all columns stay.
+
+    Whole rows are written to the shared folder with their features, as ids need not tell them apart.
+    """
+    arrow_batches(docs.sparkSession)
     rows, names = flat(docs)
-    return rows.where(quality_score(rows, scorer, at(docs, text_col)) >= 0.5).toDF(*names)
+    rows = cut(rows.withColumn("seen", _seen()(at(docs, text_col))))
+    _, scorer = train(rows.select(F.col(at(docs, id_col)).alias("id"), "seen"), max_fitted)
+    return rows.where(quality_score(scorer, F.col("seen")) >= 0.5).drop("seen").toDF(*names)

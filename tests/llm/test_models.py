@@ -136,9 +136,9 @@ def test_reader_forgets_and_tells_the_same(monkeypatch):
     want = [whole.read(t) for t in texts]
     monkeypatch.setattr(q, "REMEMBERED", 25)
     small = q.Reader()
-    for t, (s, b, v) in zip(texts, want):
+    for t, (s, n, b, v) in zip(texts, want):
         got = small.read(t)
-        assert got[0].tolist() == s.tolist() and dict(zip(got[1], got[2])) == dict(zip(b, v))
+        assert got[0].tolist() == s.tolist() and got[1] == n and dict(zip(got[2], got[3])) == dict(zip(b, v))
     assert len(small.known) < 120
 
 
@@ -212,12 +212,12 @@ def test_quality_against_brute_force(spark):
         s = plain_shares(text)
         v = tuple([2] * 12 if s is None else [1 if a <= g else 0 if a >= b else 2 for a, (_, g, b) in zip(s, q.LABELLERS)])
         patterns[v] = patterns.get(v, 0) + 1
-        assert q.Reader().votes(text) == sum(k * 3**j for j, k in enumerate(v))
+        assert q.pattern(q.Reader().read(text)[0]) == sum(k * 3**j for j, k in enumerate(v))
     votes, weights = list(patterns), list(patterns.values())
     codes = np.array([sum(k * 3**j for j, k in enumerate(v)) for v in votes])
     model = fit_labellers(codes, np.array(weights), rounds=30)
     assert np.abs(model.posterior(codes) - plain_em(votes, weights, 30)).max() < 1e-6
-    _, scorer = q.train(docs)
+    _, scorer = q.train(q.read_texts(docs))
     got = {r.doc_id: (r.quality, r.kept) for r in quality(docs).collect()}
     for i, text in texts.items():
         words = (text or "").split()
@@ -241,5 +241,5 @@ def test_many_rows_of_one_id(docs_of, spark):
     out = toxicity(docs_of(rows), labels)
     assert out.count() == len(rows) and out.where("toxic").count() == 3020
     assert x.train(docs_of(rows), labels, max_gathered=0).weights == {}
-    _, scorer = q.train(docs_of(rows), max_gathered=0)
+    _, scorer = q.train(q.read_texts(docs_of(rows)), max_gathered=0)
     assert scorer.bias == 35.0 and quality(docs_of(rows)).count() == len(rows)
