@@ -98,3 +98,10 @@ def test_hash_of_kept_text(docs_of):
 
     out = line_dedup(docs_of(["é\nx"])).select(F.sha2("text", 256).alias("h")).first()
     assert out.h == hashlib.sha256("é\nx".encode()).hexdigest()
+
+
+def test_hot_and_very_long_texts(docs_of):
+    """A line that fills most of the table, and a text of very many lines."""
+    rows = [(i, "\n".join([LONG] * 40 + [f"a line of its own, number {i}"])) for i in range(120)]
+    rows += [(500, "\n".join(f"line {k} of a very long text" for k in range(20_000))), (501, "\n".join([LONG] * 20_000)), (502, "x" * 3_000_000)]
+    assert got(line_dedup(docs_of(rows))) == sorted(plain_line_dedup(rows), key=str)

@@ -277,3 +277,12 @@ def test_decontamination_against_all_pairs(spark, sf):
     recall = len(got & want) / len(want)
     print(f"recall {recall:.3f} of {len(want)}")
     assert recall >= 0.95
+
+
+def test_very_long_texts(docs_of):
+    rnd = random.Random(1)
+    long = " ".join(f"w{rnd.randrange(50_000)}" for _ in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "short")]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_groups(docs_of(rows)).collect()}
+    assert got[1][0] == f"{plain_fingerprint(long):016x}" and got[2][1] == 1 and got[3][1] == 3
+    assert {r.doc_id for r in one_per_group(docs_of(rows)).collect()} == {1, 3}

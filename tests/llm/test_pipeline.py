@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from cohortloom.llm.queries import oracle_sql, queries
 
@@ -39,3 +41,88 @@ def test_sql_twins(spark, sf):
         order = [cols.index(k) for k in sorted(df.columns)]
         want = sorted((tuple(r[i] for i in order) for r in q.fetchall()), key=str)
         assert got == want, name
+
+
+def kept_lines(rows):
+    from test_lines_and_rules import plain_line_dedup
+
+    return {i: t for i, t, _, _ in plain_line_dedup(rows)}
+
+
+def near_copies(texts):
+    """Ids that go: all but the smallest of each group of pairs of 0.8 and more, or two bits and fewer."""
+    from test_links import Groups, plain_fingerprint
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, fp, g = {i: shingles(t) for i, t in texts.items()}, {i: plain_fingerprint(t) for i, t in texts.items()}, Groups()
+    for a in sets:
+        for b in sets:
+            if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fp[a] ^ fp[b]).bit_count() <= 2):
+                g.join(a, b)
+    return {i for i in sets if g.find(i) != i}
+
+
+def test_run_against_brute_force(spark, sf):
+    """All stages again by plain loops, on two hundred documents."""
+    import math
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from test_tokens import check_packing
+    from tokenizers import Tokenizer
+
+    from cohortloom.llm import quality as q
+    from cohortloom.llm.decontaminate import align
+    from cohortloom.llm.tokens import plain_words
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    _, scorer = q.train(q.read_texts(docs))
+
+    def score(text):
+        words = text.split()
+        b = [zlib.crc32(q.shape(w).encode()) % (q.BUCKETS - 1) for w in words] + [q.BUCKETS - 1 for x, y in zip(words, words[1:]) if x == y]
+        return scorer.bias + sum(scorer.weights[k] for k in b) / max(len(words), 1)
+
+    good = {i: t for i, t in texts.items() if 1 / (1 + math.exp(-max(-35, min(35, score(t))))) >= 0.5}
+    assert 0.7 * len(texts) < len(good) < len(texts)
+    unlike = kept_lines(list(good.items()))
+    gone = near_copies(unlike)
+    assert gone
+    items = [w for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (w := plain_words(r.text))]
+
+    def leaks(text):
+        words = plain_words(text)
+        for item in items:
+            code = {w: k for k, w in enumerate(dict.fromkeys(item))}
+            need = len(item) if len(item) < 8 else 0.5 * len(item)
+            if align(np.array([code[w] for w in item]), np.array([code.get(w, -1) for w in words], np.int64))[0] >= need:
+                return True
+        return False
+
+    want = {i: t for i, t in unlike.items() if i not in gone and not leaks(t)}
+    assert len(want) < len(unlike) - len(gone)
+    pieces = [tuple(r) for r in corpus_pipeline.run(spark, sf).collect()]
+    check_packing(pieces, want, Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+@pytest.mark.parametrize("rows", [
+    [],
+    [(None, None), (None, "no id"), (1, None), (1, ""), (2, "same words here"), (2, "same words here"), (3, "same words here"), (4, "long " * 60_000), (5, "\n" * 3000)],
+])
+def test_run_on_odd_tables(spark, tmp_path, rows):
+    """No rows; null ids and texts, repeated rows, ties, long texts and columns with the stages' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, mark int, seen int, hits string, c0 int"
+    full = [(i, t, "en", None, None, "x", 1, 2, "y", None) for i, t in rows]
+    spark.createDataFrame(full, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "an item of the benchmark that no text holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {i for i, _ in rows} and (not rows or None in {r.doc_id for r in got})
+    by_doc = {}
+    for r in got:
+        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.length
+    assert 3 not in by_doc
