@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +15,20 @@ from .membership import pairs, panel_years, semi
 
 @dataclass(frozen=True)
 class Balanced:
+    """The rows kept and their years. How many ids were kept and dropped is counted when asked for."""
+
     df: DataFrame
     years: list
-    orgs_kept: int
-    orgs_dropped: int
+    kept: DataFrame
+    observed: DataFrame
+
+    @cached_property
+    def orgs_kept(self) -> int:
+        return self.kept.count()
+
+    @cached_property
+    def orgs_dropped(self) -> int:
+        return self.observed.count() - self.orgs_kept
 
     @property
     def n_years(self) -> int:
@@ -38,16 +49,16 @@ def _window_counts(positions: DataFrame, k: int) -> dict[tuple[int, int], int]:
     return {(i, j): sum(n for (a, b), n in counts.items() if a <= i and b >= j) for i in range(k) for j in range(i, k)}
 
 
-def balance(df: DataFrame, years=None, strategy: str = "window", min_years: int = 2, id: str = "EIN2", time: str = "TAX_YEAR") -> Balanced:
+def balance(df: DataFrame, years=None, strategy: str = "window", min_years: int = 2, id: str = "EIN2", time: str = "TAX_YEAR", observed: list | None = None) -> Balanced:
     """Keep the ids observed in every target year, and those years alone.
 
     ``window`` targets the requested years that were observed, or all. ``max_rectangle``
     takes the run of them that makes ids times years largest; of equals the longer,
-    then the earlier.
+    then the earlier. ``observed`` are the panel's years, if they are known.
     """
     if strategy not in ("window", "max_rectangle"):
         raise ValueError("strategy must be window or max_rectangle")
-    observed = panel_years(df, time, id)
+    observed = panel_years(df, time, id) if observed is None else observed
     if not observed:
         raise ValueError("no observations with both an id and a time")
     universe = observed if years is None else [y for y in observed if y in set(years)]
@@ -57,12 +68,12 @@ def balance(df: DataFrame, years=None, strategy: str = "window", min_years: int
     axis = F.array(*[F.lit(y) for y in universe]).cast(f"array<{kind}>")
     held = pairs(df, time, id).groupBy("id").agg(F.sort_array(F.collect_set(F.array_position(axis, F.col("t")).cast("int") - 1)).alias("at"))
     held = held.withColumn("at", F.filter("at", lambda p: p >= 0))
-    counts = _window_counts(held, len(universe))
     if strategy == "window":
         if len(universe) < min_years:
             warnings.warn("the balanced window spans fewer than min_years years", stacklevel=2)
         best = (0, len(universe) - 1)
     else:
+        counts = _window_counts(held, len(universe))
         wide = [w for w in counts if w[1] - w[0] + 1 >= min_years]
         if not wide:
             raise ValueError(f"no window of at least {min_years} years")
@@ -71,4 +82,4 @@ def balance(df: DataFrame, years=None, strategy: str = "window", min_years: int
     target = universe[i : j + 1]
     covering = held.where(F.size(F.filter("at", lambda p: p.between(i, j))) == j - i + 1).select(F.col("id").alias("kept_id"))
     out = semi(df.where(quoted(time).isin(*target)), covering, id)
-    return Balanced(out, target, counts[best], held.count() - counts[best])
+    return Balanced(out, target, covering, held)

@@ -27,14 +27,15 @@ def fill(method: str, at: Column, before: Column, after: Column, a: Column, b: C
 
 
 def impute(df: DataFrame, classification: DataFrame | None = None, types=("persistent",), method: str = "mean", max_gap_size: float | None = None,
-           max_gap_count: float | None = None, vars: list[str] | None = None, time: str = "TAX_YEAR", id: str = "EIN2", as_integers: bool = False) -> DataFrame:
+           max_gap_count: float | None = None, vars: list[str] | None = None, time: str = "TAX_YEAR", id: str = "EIN2", as_integers: bool = False, years: list | None = None) -> DataFrame:
     """``df`` and, for segmented ids of ``types`` within the gap limits, a row for each panel year missing inside their span.
 
     ``vars`` (default: all numbers but the time and ``panel_`` columns) are filled
     from the observed rows around the gap; other columns are null. ``imputed_row``
     tells the new rows, and is always there. Filled integers become doubles unless
     ``as_integers`` rounds them, half to even. Where an id has several rows in a year,
-    the one with the smallest values brackets the gap: deduplicate first.
+    the one with the smallest values brackets the gap: deduplicate first. ``years`` are
+    the panel's, if they are known.
     """
     need(df, id, time)
     if method not in METHODS:
@@ -47,7 +48,7 @@ def impute(df: DataFrame, classification: DataFrame | None = None, types=("persi
         vars = [c for c in df.columns if is_number(kind[c]) and c not in (id, time) and not re.match("panel_", c)]
     if not vars or any(v not in kind or not is_number(kind[v]) for v in vars):
         raise ValueError("vars must name numeric columns")
-    years = panel_years(df, time, id)
+    years = panel_years(df, time, id) if years is None else years
     cls = classify(df, time, id, years) if classification is None else classification
     fits = F.col("panel_type").isin(*types) & (F.col("panel_spell") == "segmented")
     if max_gap_size is not None:
@@ -89,9 +90,9 @@ def impute(df: DataFrame, classification: DataFrame | None = None, types=("persi
 
 def complete(df: DataFrame, method: str = "interpolate", types=("persistent", "entrant", "exit", "transient"), max_gap_size: float | None = None,
              max_gap_count: float | None = None, vars: list[str] | None = None, time: str = "TAX_YEAR", id: str = "EIN2", as_integers: bool = False,
-             classification: DataFrame | None = None, reconcile: bool = False, reconcile_fixed=None, reconcile_section=None, identities=None) -> DataFrame:
+             classification: DataFrame | None = None, reconcile: bool = False, reconcile_fixed=None, reconcile_section=None, identities=None, years: list | None = None) -> DataFrame:
     """``impute`` for every type, interpolating; ``reconcile`` then moves the new rows onto the accounting identities."""
-    out = impute(df, classification, types, method, max_gap_size, max_gap_count, vars, time, id, as_integers)
+    out = impute(df, classification, types, method, max_gap_size, max_gap_count, vars, time, id, as_integers, years)
     if reconcile:
         from .accounting import reconcile as adjust
 

@@ -53,6 +53,16 @@ def smooth(df: DataFrame, vars: list[str] | str, window: int = 3, weights: str =
     return _calendar(df, vars, int(window), weights, align, time, id)
 
 
+#: Parts that rows without an id are dealt into: they keep their values, so that it doesn't matter which stand together.
+PARTS = 1024
+
+
+def _dealt(df: DataFrame, vars: list[str], time: str, id: str) -> list[Column]:
+    """The id, and for rows without one a number: no window holds all of these."""
+    part = F.pmod(F.xxhash64(quoted(time), *[quoted(v) for v in vars]), F.lit(PARTS))
+    return [quoted(id), F.when(missing(quoted(id), kinds(df)[id]), part)]
+
+
 def _replaced(df: DataFrame, new: dict[str, Column], rows: DataFrame) -> DataFrame:
     return rows.select(*[new[c].alias(c) if c in new else quoted(c) for c in df.columns])
 
@@ -65,8 +75,9 @@ def _center(df: DataFrame, vars: list[str], window: int, weights: str, time: str
     """
     kind = kinds(df)
     half = window // 2
-    by = Window.partitionBy(quoted(id)).orderBy(quoted(time).asc_nulls_last(), *[quoted(v) for v in vars])
-    n = F.count(F.lit(1)).over(Window.partitionBy(quoted(id)))
+    key = _dealt(df, vars, time, id)
+    by = Window.partitionBy(*key).orderBy(quoted(time).asc_nulls_last(), *[quoted(v) for v in vars])
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
     rows = df.select("*", F.row_number().over(by).alias("__at"), n.alias("__n"))
     at, size = F.col("__at"), F.least(F.lit(window).cast("long"), F.col("__n"))
     reach = F.floor(size / 2)
@@ -98,7 +109,7 @@ def _calendar(df: DataFrame, vars: list[str], window: int, weights: str, align:
     rows = df.withColumn("__year", F.when(~F.isnan(year), year))
     order = F.col("__year") if align == "right" else -F.col("__year")
     rows = rows.withColumn("__order", order.cast("double"))
-    by = Window.partitionBy(quoted(id)).orderBy("__order")
+    by = Window.partitionBy(*_dealt(df, vars, time, id)).orderBy("__order")
     new: dict[str, Column] = {}
     for v in vars:
         value = present(quoted(v), kind[v]).cast("double")

@@ -44,20 +44,26 @@ class Panel:
     def deduplicate(self, **args) -> Panel:
         return self._with("deduplicate", dedup.deduplicate(self.df, self.entity, self.time, **args), True, **args)
 
+    def _known(self) -> dict:
+        """What ``describe`` has found out about these very rows, for verbs that would find it out again."""
+        return {"classification": self.summary.classification, "years": self.summary.years} if self.summary else {}
+
     def impute(self, **args) -> Panel:
-        return self._with("impute", impute.impute(self.df, time=self.time, id=self.entity, **args), True, **args)
+        return self._with("impute", impute.impute(self.df, time=self.time, id=self.entity, **{**self._known(), **args}), True, **args)
 
     def complete(self, **args) -> Panel:
-        return self._with("complete", impute.complete(self.df, time=self.time, id=self.entity, **args), True, **args)
+        return self._with("complete", impute.complete(self.df, time=self.time, id=self.entity, **{**self._known(), **args}), True, **args)
 
     def balance(self, **args) -> Panel:
-        return self._with("balance", balance.balance(self.df, time=self.time, id=self.entity, **args).df, True, **args)
+        observed = self.summary.years if self.summary else None
+        return self._with("balance", balance.balance(self.df, time=self.time, id=self.entity, **{"observed": observed, **args}).df, True, **args)
 
     def smooth(self, vars, **args) -> Panel:
         return self._with("smooth", smooth.smooth(self.df, vars, time=self.time, id=self.entity, **args), False, vars=vars, **args)
 
     def label(self, **args) -> Panel:
-        return self._with("label", membership.label(self.df, time=self.time, id=self.entity, **args), False)
+        known = {"classification": self.summary.classification} if self.summary else {}
+        return self._with("label", membership.label(self.df, time=self.time, id=self.entity, **{**known, **args}), False)
 
     def normalize(self, **args) -> Panel:
         return self._with("normalize", normalize.panel_normalize(self.df, **args).df, False, **args)

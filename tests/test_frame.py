@@ -121,3 +121,17 @@ def test_group_stat_keeps_rows_without_a_group(spark):
     assert sorted(map(str, [tuple(r) for r in apply_frame(df, f).df.collect()])) == sorted(map(str, [("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", None, None), ("b", 2.0, None), (None, 5.0, 5.0)]))
     over = create_frame(entity="g", time="t").add_refresh(action="group_stat", by="g", value="v", fun="sum", into="v")
     assert sorted(map(str, [tuple(r) for r in apply_frame(df, over).df.collect()])) == sorted(map(str, [("a", 4.0), ("a", 4.0), ("b", None), ("b", None), (None, 5.0)]))
+
+
+def test_verbs_after_describe_need_no_second_look(spark):
+    """What describe found is passed on: the same rows come out, and it goes once rows change."""
+    rows = [(i, y, float(ord(i) + y)) for i in "abcdef" for y in range(2000, 2004) if (i, y) not in (("a", 2001), ("b", 2003), ("c", 2000))]
+    p = Panel(spark.createDataFrame(rows, "id string, t int, v double"), create_frame(entity="id", time="t"))
+    known, _ = p.describe()
+    assert known.summary is not None and known._known()["years"] == [2000, 2001, 2002, 2003]
+    for verb in ("impute", "complete", "balance", "label"):
+        a, b = getattr(known, verb)(), getattr(p, verb)()
+        assert sorted(map(str, a.df.collect())) == sorted(map(str, b.df.collect()))
+        assert (a.summary is None) == (verb != "label")
+    assert sorted(map(str, known.filter(panel_type="persistent").df.collect())) == sorted(map(str, p.filter(panel_type="persistent").df.collect()))
+    assert known.filter(min_obs=2).summary is None and known.update().summary is not None

@@ -102,3 +102,12 @@ def test_right_never_looks_ahead(spark):
     whole = smooth(frame(spark, data), "x", 3, "decay", "right").where("TAX_YEAR <= 2017")
     part = smooth(frame(spark, [d for d in data if d[1] <= 2017]), "x", 3, "decay", "right")
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, part.collect()))
+
+
+@pytest.mark.parametrize("align", ["center", "right", "left"])
+def test_rows_without_an_id_stand_in_no_common_window(spark, align):
+    rows = [(None, 2000 + i % 5, float(i)) for i in range(500)] + [("a", 2000, 1.0), ("a", 2001, 3.0), ("a", 2002, 5.0)]
+    df = spark.createDataFrame(rows, "EIN2 string, TAX_YEAR int, v double")
+    out = smooth(df, "v", 3, "equal", align)
+    assert sorted(r.v for r in out.where("EIN2 is null").collect()) == [float(i) for i in range(500)]
+    assert "CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
