@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -59,17 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_stored: list[tuple[SparkSession, str]] = []
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read again, and where; what is still there goes when the driver ends."""
+    """``df`` written to the shared folder and read again, and where; what is still there goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _stored:
-        atexit.register(_clear)
-    _stored.append((spark, path))
+    file_system, p = _file_system(spark, path)
+    file_system.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -78,12 +73,6 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df)[0]
 
 
-def _clear() -> None:
-    for spark, path in _stored:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
-
-
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
     """Hand texts to Python in small batches, so that a worker holds a few MB at a time.
 
@@ -97,8 +86,13 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this job wrote, on whatever file system it lies."""
+    file_system, p = _file_system(spark, path)
+    file_system.delete(p, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def within(sample: DataFrame, size: str, most: int) -> DataFrame:
