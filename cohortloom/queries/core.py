@@ -154,10 +154,11 @@ def label_filter(spark: SparkSession, sf: str) -> DataFrame:
     return apply_frame(filings(spark, sf), f, segment="building").df.select("rec", "id")
 
 
-@query(f"WITH {F_SQL}, s AS (SELECT id, avg(v) AS v_mean FROM f GROUP BY id) SELECT rec, round(v_mean, 2) AS v_mean FROM f JOIN s USING (id)")
+@query(f"WITH {F_SQL}, s AS (SELECT id, avg(round(v * 100)::BIGINT) AS cents_mean FROM f GROUP BY id) SELECT rec, cents_mean FROM f JOIN s USING (id)")
 def group_stat(spark: SparkSession, sf: str) -> DataFrame:
-    f = create_frame(entity="id", time="t").add_refresh(action="group_stat", by="id", value="v", fun="mean")
-    return apply_frame(filings(spark, sf), f).df.select("rec", F.round("v_mean", 2).alias("v_mean"))
+    """Means of whole cents, whose sums are exact in whatever order they are added."""
+    f = create_frame(entity="id", time="t").add_refresh(action="group_stat", by="id", value="cents", fun="mean")
+    return apply_frame(filings(spark, sf).withColumn("cents", F.round(F.col("v") * 100).cast("long")), f).df.select("rec", "cents_mean")
 
 
 @query("SELECT l_orderkey, l_quantity FROM lineitem")
