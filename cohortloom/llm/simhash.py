@@ -138,12 +138,13 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id. All columns stay.
 
-    Documents link by fingerprints at two or fewer differing bits, as in
-    ``simhash_groups``; but fingerprints of texts that share 80 % of their five-word
-    shingles mostly differ in more bits than any ball can span. So documents also
-    link if sketches of their shingle sets meet in a band and the sets then overlap
-    by ``similarity``. Sketches that agree clearly more or less often tell that
-    alone; for the others, where they aren't linked anyhow, the sets are compared.
+    Documents are compared if their fingerprints meet in a ball, at two or fewer
+    differing bits, as in ``simhash_groups``; but fingerprints of texts that share
+    80 % of their five-word shingles mostly differ in more bits than any ball can
+    span. So they also are if sketches of their shingle sets meet in a band. They
+    link if the sets overlap by ``similarity``. Sketches that agree clearly more or
+    less often tell that alone; for the others, where they aren't linked anyhow, and
+    for those that met in a ball, the sets are compared.
     Within a band's bucket each document is first compared with the smallest and the
     largest id. Where that leaves documents that meet, by however many steps, in
     several groups, ``_rest`` compares all pairs across groups by their sets.
@@ -183,8 +184,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = cut(_met(sketches))
     met = cut(_sketches_that_agree(pairs, sketches, similarity - MARGIN))
     sure = met.where(F.col("agreement") >= similarity + MARGIN).select("a", "b")
-    groups = cut(components(sure.unionByName(same).unionByName(close)))
-    open_pairs = met.where(F.col("agreement") < similarity + MARGIN).select("a", "b")
+    groups = cut(components(sure))
+    open_pairs = met.where(F.col("agreement") < similarity + MARGIN).select("a", "b").unionByName(same).unionByName(close)
     for end in ("a", "b"):
         group = groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
         open_pairs = open_pairs.join(group, end, "left").withColumn(f"{end}_group", F.coalesce(f"{end}_group", end))
