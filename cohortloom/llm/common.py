@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within the block go at its end: whatever is lazy must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read again, and where; what is still there goes when the driver's JVM ends."""
     spark = df.sparkSession
@@ -65,6 +81,8 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     df.write.parquet(path)
     file_system, p = _file_system(spark, path)
     file_system.deleteOnExit(p)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

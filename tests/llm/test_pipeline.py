@@ -126,3 +126,16 @@ def test_run_on_odd_tables(spark, tmp_path, rows):
     for r in got:
         by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.length
     assert 3 not in by_doc
+
+
+def test_tables_between_stages_go(spark, sf):
+    """A run leaves its result in the shared folder and nothing else."""
+    from pathlib import Path
+
+    from cohortloom.llm.common import checkpoint_dir
+
+    root = Path(checkpoint_dir(spark).removeprefix("file://"))
+    before = set(root.iterdir())
+    corpus_pipeline.run(spark, sf)
+    new = set(root.iterdir()) - before
+    assert len(new) == 1 and [p.name for p in new.pop().iterdir()] == [str(len(corpus_pipeline.STAGES) - 1)]
