@@ -10,9 +10,8 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cohortloom.llm.common import checkpoint_dir, remove, table
+from cohortloom.llm.common import checkpoint_dir, remove, scratch, table
 from cohortloom.llm.decontaminate import drop_leaking
 from cohortloom.llm.line_dedup import dedup_lines
 from cohortloom.llm.packing import pack
@@ -58,11 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each table between them lies in the shared checkpoint folder until the next is written."""
+    """All stages over ``documents``; each table between them, and whatever a stage stores for itself, lies in the shared checkpoint folder until the next is written."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             remove(spark, f"{folder}/{k - 1}")
