@@ -49,14 +49,20 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+#: The temporary folder of each application that names none.
+_folders: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one where none is set and all runs on one machine (tests)."""
+    """The shared folder that the cluster names; a temporary one, the same for an application's life, where none is set and all runs on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        app = spark.sparkContext
+        if app.master.startswith("local-cluster") or not app.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if app.applicationId not in _folders:
+            _folders[app.applicationId] = tempfile.mkdtemp(prefix="checkpoints-")
+        at = _folders[app.applicationId]
     return at.rstrip("/")
 
 

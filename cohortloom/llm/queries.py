@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .exact_dedup import exact_dedup
 from .license_scan import BASE, BASE_CONFIDENCE, BEFORE, CONFIDENCE, GRANT, SPAN, license_scan, signatures
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality
 from .quality_rules import quality_rules
+from .resampling import BUCKETS, MIN_WORDS, PERCENT, SEED, importance
 from .simhash import simhash_groups
+from .spelling import MIN_COUNT, MIN_LETTERS, RATIO, TYPO, spelling_variants
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filter import MAX_CHILDREN, MIN_LABELLED, MIN_PURITY, MIN_SHARE, RULES, SIMILAR, SMOOTHING, url_filter
@@ -64,8 +67,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_line_dedup, op2_toxicity, op3_packing, op4_quality, op5_url_filter, op6_quality_rules, op7_simhash, op8_decontaminate, op9_license_scan, op10_token_counts)
+    own = (
+        op1_line_dedup, op2_toxicity, op3_packing, op4_quality, op5_url_filter, op6_quality_rules, op7_simhash, op8_decontaminate, op9_license_scan, op10_token_counts,
+        op11_importance, op12_spelling, op13_exact_dedup,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -192,5 +210,60 @@ FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN o USING (
 """
 
 
+def _crc32(text: str) -> str:
+    """The checksum of a text's UTF-8 bytes, byte by byte over the table that its polynomial makes."""
+    steps = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        steps.append(n)
+    byte = "16 * instr('123456789ABCDEF', substr(x.h, 2 * i + 1, 1)) + instr('123456789ABCDEF', substr(x.h, 2 * i + 2, 1))"
+    return f"""(SELECT xor(list_reduce(list_transform(range(len(x.h) // 2), lambda i: {byte}), lambda a, b: xor(a >> 8, list_extract({steps}, (xor(a, b) & 255) + 1)), 4294967295::BIGINT), 4294967295::BIGINT)
+  FROM (SELECT hex({text}) AS h) x)"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM documents),
+b AS (SELECT unnest(list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM benchmark),
+w AS (SELECT word, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (SELECT word, 1 AS s, 0 AS t FROM d UNION ALL SELECT word, 0, 1 FROM b) GROUP BY word),
+h AS (SELECT word, s, t, {_crc32("word")} % {BUCKETS} AS bucket FROM w),
+n AS (SELECT coalesce(sum(s), 0)::BIGINT AS all_s, coalesce(sum(t), 0)::BIGINT AS all_t FROM w),
+g AS (SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * (all_s + {BUCKETS})::DOUBLE / ((sum(s) + 1)::DOUBLE * (all_t + {BUCKETS})::DOUBLE)))::BIGINT AS gain FROM h, n GROUP BY bucket, all_s, all_t),
+v AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM d JOIN h USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN v USING (doc_id)),
+o AS (SELECT *, n_features >= {MIN_WORDS} AS enough, row_number() OVER (PARTITION BY n_features >= {MIN_WORDS} ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= {MIN_WORDS}) OVER () AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= {PERCENT} * n // 100 THEN place END AS rank FROM o
+"""
+
+#: Words are near if one of them with a letter less is the other, or both with a letter less at the same place are equal.
+_OP12 = rf"""
+WITH RECURSIVE u AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT run, n, {_crc32("doc_id || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM u WHERE length(run) >= {MIN_LETTERS} GROUP BY ALL)),
+t AS (SELECT CASE WHEN h % {TYPO} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM c),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM t WHERE length(word) >= {MIN_LETTERS} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT x.word AS a, x.n AS n_a, w.word AS b, w.n AS n_b FROM x JOIN w ON x.less = w.word
+      UNION SELECT w.word, w.n, x.word, x.n FROM x JOIN w ON x.less = w.word
+      UNION SELECT x.word, x.n, y.word, y.n FROM x JOIN x y ON x.less = y.less AND x.i = y.i AND x.word <> y.word),
+m AS (SELECT a, count(*) AS n_near, arg_min(b, (-n_b, b)) AS best, max(n_b) AS best_n FROM p GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {RATIO} * n THEN best END AS form, CASE WHEN best_n >= {RATIO} * n THEN best_n END AS form_n FROM w LEFT JOIN m ON a = word),
+s(word, root) AS (SELECT word, word FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL),
+e AS (SELECT s.word, s.root FROM s JOIN f ON f.word = s.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
+_OP13 = rf"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_BLANK}+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY norm)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op5_url_filter": _op5(), "op6_quality_rules": _OP6, "op9_license_scan": _op9()}
+    return {
+        "op1_line_dedup": _OP1, "op5_url_filter": _op5(), "op6_quality_rules": _OP6, "op9_license_scan": _op9(),
+        "op11_importance": _OP11, "op12_spelling": _OP12, "op13_exact_dedup": _OP13,
+    }
