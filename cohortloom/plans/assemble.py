@@ -9,52 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import as_list
-from ..functions.values import kinds, quoted
+from ..functions.values import quoted
 from ..operators.dimension import FIELDS, join_dimension
 from ..sources.dimension import retrieve
+from ..sources.keyed import folded_values
 from ..sources.stage import download_tables
 from ..sources.tables import READABLE, TableYear, read_tables, stack
 from .catalog import DataSource, data_source, form_family, resolve_tables
 from .dictionary import FILING_KEYS, Dictionary
 from .frame import SampleFrame, apply_frame, check_form_scope, create_frame, wanted_columns
+from .merge import join_tables, merge_unique, right_names, shared_keys
 from .panel import Panel
 from .requirements import resolve_frame
 
 
-def join_tables(left: DataFrame, right: DataFrame, right_name: str, keys=FILING_KEYS, collision: str = "error") -> DataFrame:
-    """Full outer join on the filing keys that both have; null keys match each other.
-
-    Other columns of the same name are an error, or get the right table's name as a prefix.
-    """
-    if collision not in ("error", "prefix"):
-        raise ValueError("collision must be error or prefix")
-    by = [k for k in keys if k in left.columns and k in right.columns]
-    if not by:
-        raise ValueError(f"no shared join keys for {right_name}")
-    same = [c for c in right.columns if c in left.columns and c not in by]
-    if same and collision == "error":
-        raise ValueError(f"fields of {right_name} are there already: {', '.join(same)}")
-    lk, rk = kinds(left), kinds(right)
-    other = right.select(*[quoted(c).alias(f"__r{by.index(c)}") if c in by else quoted(c).alias(f"{right_name}__{c}" if c in same else c) for c in right.columns])
-    # in an equi-join null-safe equality is still a hash or merge join on the keys
-    on = None
-    for i, k in enumerate(by):
-        a, b = quoted(k), F.col(f"__r{i}")
-        if lk[k] != rk[k]:
-            a, b = a.cast("string"), b.cast("string")
-        on = a.eqNullSafe(b) if on is None else on & a.eqNullSafe(b)
-    joined = left.join(other, on, "full")
-
-    def key(k: str):
-        i = by.index(k)
-        if lk[k] == rk[k]:
-            return F.coalesce(quoted(k), F.col(f"__r{i}")).alias(k)
-        return F.coalesce(quoted(k).cast("string"), F.col(f"__r{i}").cast("string")).alias(k)
-
-    order = [*by, *[c for c in left.columns if c not in by], *[c for c in other.columns if not c.startswith("__r")]]
-    return joined.select(*[key(c) if c in by else quoted(c) for c in order])
-
-
 def duplicate_keys(df: DataFrame, keys=FILING_KEYS) -> DataFrame | None:
     """``d``: how many rows of a table have filing keys that another has already. None without keys."""
     by = [quoted(k) for k in keys if k in df.columns]
@@ -86,20 +54,26 @@ def merge_tables(tables: list[TableYear], keys=FILING_KEYS, include_many: bool =
     years: dict[int, DataFrame] = {}
     joins = []
     for year in sorted({t.year for t in tables if t.status in READABLE}):
-        left, name = None, ""
-        for t in (t for t in tables if t.year == year and t.df is not None):
-            if t.table.cardinality != "1x1" and not include_many:
-                continue
-            if left is None:
-                left, name = t.df, t.table.table
+        of_year = [t for t in tables if t.year == year and t.df is not None and (t.table.cardinality == "1x1" or include_many)]
+        if not of_year:
+            continue
+        names, columns = of_year[0].table.table, of_year[0].df.columns
+        for t in of_year[1:]:
+            by = shared_keys(columns, t.df.columns, t.table.table, keys)
+            named = right_names(columns, t.df.columns, t.table.table, by, collision)
+            joins.append({"year": year, "left": names, "right": t.table.table, "keys": ";".join(by), "expected_cardinality": t.table.cardinality, "collisions": ";".join(c for c, new in named.items() if c != new)})
+            names, columns = f"{names}+{t.table.table}", [*by, *[c for c in columns if c not in by], *named.values()]
+        # a run of verified tables is merged in one shuffle; tables with many rows a filing are joined in their place
+        done: DataFrame | None = None
+        run: list[tuple[str, DataFrame]] = []
+        for t in of_year:
+            if verify and t.table.cardinality == "1x1" and done is None:
+                run.append((t.table.table, t.df))
                 continue
-            out = join_tables(left, t.df, t.table.table, keys, collision)
-            by = [k for k in keys if k in left.columns and k in t.df.columns]
-            same = [c for c in t.df.columns if c in left.columns and c not in by]
-            joins.append({"year": year, "left": name, "right": t.table.table, "keys": ";".join(by), "expected_cardinality": t.table.cardinality, "collisions": ";".join(same)})
-            left, name = out, f"{name}+{t.table.table}"
-        if left is not None:
-            years[year] = left
+            if done is None and run:
+                done = merge_unique(run, keys, collision)
+            done = t.df if done is None else join_tables(done, t.df, t.table.table, keys, collision)
+        years[year] = (merge_unique(run, keys, collision) if done is None else done).select(*[quoted(c) for c in columns])
     return years, joins
 
 
@@ -167,8 +141,12 @@ def panelize(spark: SparkSession, tables, years, source: DataSource, frame: Samp
 
 
 def _narrow(filters: dict[str, list], column: str, values) -> dict[str, list]:
-    have = filters.get(column)
-    return {**filters, column: [str(v) for v in values] if have is None else [v for v in map(str, have) if v in set(map(str, values))]}
+    """``filters`` with ``column`` among ``values`` too; entities are compared as at the scan, without regard to case and blanks around."""
+    asked, have = folded_values(values), filters.get(column)
+    if have is not None:
+        also = set(asked)
+        asked = [v for v in folded_values(have) if v in also]
+    return {**filters, column: asked}
 
 
 def panelize_pf(spark: SparkSession, tables, years, root: str, format: str = "parquet", **options) -> Panel:

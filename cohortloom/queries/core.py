@@ -16,10 +16,10 @@ from ..operators.impute import complete, impute
 from ..operators.membership import classify, describe, filter_members, label
 from ..operators.normalize import normalize
 from ..operators.smooth import smooth
-from ..plans.assemble import join_tables
 from ..plans.dictionary import Dictionary, Field, concordance
 from ..plans.frame import SampleFrame, apply_frame, conform, create_frame, run_checks, views
 from ..plans.identities import parse
+from ..plans.merge import join_tables, merge_unique
 from ..plans.panel import Panel
 from ..plans.requirements import satisfying
 from ..sources.tables import cast_audit, cast_declared, stack
@@ -367,6 +367,23 @@ def merge_prefix_collision(spark: SparkSession, sf: str) -> DataFrame:
     return longs(join_tables(_header(spark, sf), _summary(spark, sf).withColumnRenamed("quantity", "price"), "S", collision="prefix"))
 
 
+@query(f"""WITH {_HS}, r AS (SELECT l_orderkey AS OBJECTID, CASE WHEN l_orderkey % 10 <> 0 THEN o_orderstatus END AS VERSION, max(l_extendedprice) AS dearest, count(*) AS lines
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 25 GROUP BY ALL),
+c AS (SELECT o_orderkey AS OBJECTID, o_orderstatus AS VERSION, o_custkey AS customer, o_orderpriority AS price FROM orders WHERE o_orderpriority < '3'),
+k AS (SELECT OBJECTID, VERSION FROM h UNION SELECT OBJECTID, VERSION FROM s UNION SELECT OBJECTID, VERSION FROM r UNION SELECT OBJECTID, VERSION FROM c)
+SELECT k.OBJECTID AS "OBJECTID", k.VERSION AS "VERSION", round(h.price, 4) AS price, round(quantity, 4) AS quantity, round(dearest, 4) AS dearest, lines, customer, c.price AS "C__price" FROM k
+LEFT JOIN h ON k.OBJECTID = h.OBJECTID AND k.VERSION IS NOT DISTINCT FROM h.VERSION LEFT JOIN s ON k.OBJECTID = s.OBJECTID AND k.VERSION IS NOT DISTINCT FROM s.VERSION
+LEFT JOIN r ON k.OBJECTID = r.OBJECTID AND k.VERSION IS NOT DISTINCT FROM r.VERSION LEFT JOIN c ON k.OBJECTID = c.OBJECTID AND k.VERSION IS NOT DISTINCT FROM c.VERSION""")
+def merge_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Four tables with one row a key, side by side after one shuffle."""
+    orders = table(spark, sf, "orders")
+    version = F.when(F.col("l_orderkey") % 10 != 0, F.col("o_orderstatus")).alias("VERSION")
+    lines = table(spark, sf, "lineitem").where("l_quantity > 25").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("dearest"), F.count("*").alias("lines"))
+    dear = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("OBJECTID"), version, "dearest", "lines")
+    urgent = orders.where("o_orderpriority < '3'").select(F.col("o_orderkey").alias("OBJECTID"), F.col("o_orderstatus").alias("VERSION"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("price"))
+    return longs(merge_unique([("H", _header(spark, sf)), ("S", _summary(spark, sf)), ("R", dear), ("C", urgent)], collision="prefix"))
+
+
 @query("""SELECT o_orderkey AS k, o_totalprice::VARCHAR <> '' AS priced, o_orderpriority AS pri, NULL::VARCHAR AS only_late FROM orders WHERE year(o_orderdate) <= 1996
 UNION ALL SELECT o_orderkey, TRUE, NULL, o_orderstatus FROM orders WHERE year(o_orderdate) > 1996""")
 def stack_years(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..plans.dictionary import Dictionary, Field
 from ..plans.frame import apply_frame, create_frame
 from ..plans.panel import Panel
 from ..sources.dimension import build_manifest, dimension_url, manifest_bytes, resolve_states, retrieve
+from ..sources.keyed import store_keyed
 from ..sources.shared import shared_folder
 from ..sources.stage import budget, download_manifest, download_tables, retrieval_log, write_log
 from ..sources.tables import dims, read_manifest, read_table, read_tables, scan, stack
@@ -71,6 +72,24 @@ def distinct_wide_rows(spark: SparkSession, sf: str) -> DataFrame:
     return longs(read_table(raw.unionAll(raw), 1995).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"))
 
 
+@query("SELECT * REPLACE (l_linenumber::BIGINT AS l_linenumber, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice, round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax, l_shipdate::DATE::VARCHAR AS l_shipdate) FROM (SELECT DISTINCT * FROM lineitem)")
+def distinct_few_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line, and those of every fiftieth order once again: whole rows are compared only where their hashes repeat."""
+    raw = table(spark, sf, "lineitem")
+    raw = raw.select(*[F.col(c).cast("date").cast("string").alias(c) if k.startswith("timestamp") else c for c, k in raw.dtypes])
+    return longs(read_table(raw.unionAll(raw.where("l_orderkey % 50 = 0")), 1995).drop("TAX_YEAR"))
+
+
+@query("SELECT 'EIN-' || o_custkey AS \"EIN2\", count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY ALL")
+def read_keyed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders stored by entity; those of a table of entities, found by the stored key."""
+    at = f"{shared_folder(spark, 'keyed')}/{HEADER}"
+    store_keyed(_text_orders(spark, sf), at)
+    ids = table(spark, sf, "customer").where("c_acctbal > 0").select(F.concat(F.lit(" ein-"), F.col("c_custkey").cast("string")).alias("id"))
+    rows = read_table(scan(spark, at, "parquet"), 1995, ids=ids)
+    return rows.groupBy("EIN2").agg(F.count("*").alias("n"), F.round(F.sum(F.col("amount").cast("double")), 2).alias("amount"))
+
+
 @query("""SELECT year(o_orderdate)::BIGINT AS year, '1x1' AS cardinality, 'virtual' AS status, 2 * count(*) AS rows_source, 6::BIGINT AS cols_source, count(*) AS rows_selected, 6::BIGINT AS cols_selected,
 count(*) AS exact_duplicates_removed FROM orders GROUP BY ALL""")
 def read_counts(spark: SparkSession, sf: str) -> DataFrame:

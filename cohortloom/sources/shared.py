@@ -7,12 +7,26 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: The temporary folder of each application that names none.
+_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where none is set and all runs on one machine (tests)."""
+    """A new folder under the one that the cluster names in ``spark.checkpoint.dir``; under a temporary one where none is set and all runs on one machine (tests).
+
+    It is there, empty, and goes with all it holds when the driver's JVM ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        app = spark.sparkContext
+        if app.master.startswith("local-cluster") or not app.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="shared-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if app.applicationId not in _folders:
+            _folders[app.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        root = _folders[app.applicationId]
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system.mkdirs(p)
+    file_system.deleteOnExit(p)
+    return path

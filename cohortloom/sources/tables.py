@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import fold, quoted, trim
+from ..functions.values import quoted, trim
 from ..plans.catalog import DataSource, Resolved, format_of, resolve_tables
 from ..plans.dictionary import Dictionary
+from .distinct import WIDE, RowProfile, count_rows, distinct_rows, profile_rows
+from .keyed import LISTED, keep_entities, visible
 from .stage import Staged, exists
 
 READABLE = ("downloaded", "reused", "virtual")
@@ -69,56 +71,89 @@ class TableYear:
     status: str
     df: DataFrame | None
     raw: DataFrame | None
+    profile: RowProfile | None = None
+    filtered: bool = False
+    unique: bool = True
 
 
-def read_table(raw: DataFrame, year: int, columns: list[str] | None = None, filters: dict[str, list] | None = None, unique_rows: bool = True,
-               dictionary: Dictionary | None = None, ids: DataFrame | None = None, entity: str = "EIN2") -> DataFrame:
-    """Distinct rows that pass the filters, their wanted columns, in their declared types, with a ``TAX_YEAR``.
-
-    Filters are exact, but for blanks and case at the entity key, listed or in ``ids``, a table of
-    entities to keep. Without ``unique_rows`` filter and projection reach the scan; with it, all columns are read,
-    as distinctness of whole rows needs them.
-    """
+def filtered_rows(raw: DataFrame, filters: dict[str, list] | None = None, ids: DataFrame | None = None, entity: str = "EIN2") -> DataFrame:
+    """Rows that pass, with all columns of the table."""
     for f in filters or {}:
         if f not in raw.columns:
             raise ValueError(f"filter field not found: {f}")
-    df = raw.dropDuplicates() if unique_rows else raw
+    df = raw
     for f, values in (filters or {}).items():
-        c = quoted(f)
-        listed = [str(v) for v in values]
-        df = df.where(fold(c.cast("string")).isin(*[v.strip().upper() for v in listed]) if f == entity else c.cast("string").isin(*listed))
+        if f == entity:
+            df = keep_entities(df, entity, values)
+            continue
+        c, listed = quoted(f).cast("string"), list(dict.fromkeys(str(v) for v in values))
+        if len(listed) <= LISTED:
+            df = df.where(c.isin(*listed))
+        else:
+            df = df.join(raw.sparkSession.createDataFrame([(v,) for v in listed], "__listed string"), c == F.col("__listed"), "left_semi")
     if ids is not None and entity in raw.columns:
-        key = ids.select(fold(quoted(ids.columns[0]).cast("string")).alias("__id")).distinct()
-        df = df.join(key, fold(quoted(entity).cast("string")) == F.col("__id"), "left_semi")
+        df = keep_entities(df, entity, ids=ids)
+    return visible(df)
+
+
+def read_table(raw: DataFrame, year: int, columns: list[str] | None = None, filters: dict[str, list] | None = None, unique_rows: bool = True,
+               dictionary: Dictionary | None = None, ids: DataFrame | None = None, entity: str = "EIN2", profile: RowProfile | None = None) -> DataFrame:
+    """Distinct rows that pass the filters, their wanted columns, in their declared types, with a ``TAX_YEAR``.
+
+    Filters are exact, but for blanks and case at the entity key, listed or in ``ids``, a table of
+    entities to keep. Filters reach the scan, and so does the projection where rows needn't be made distinct, or no
+    row hash repeats: ``profile`` tells of the rows that pass; without it a wide table is profiled now.
+    """
+    df = filtered_rows(raw, filters, ids, entity)
+    if unique_rows:
+        df = distinct_rows(df, profile)
     if columns is not None:
-        df = df.select(*[quoted(c) for c in raw.columns if c in set(columns)])
+        wanted = set(columns)
+        df = df.select(*[quoted(c) for c in df.columns if c in wanted])
     df = cast_declared(df, dictionary)
     return df if "TAX_YEAR" in df.columns else df.withColumn("TAX_YEAR", F.lit(int(year)))
 
 
-def read_tables(spark: SparkSession, tables, years, source: DataSource, staged: list[Staged] | None = None, **options) -> list[TableYear]:
-    """Plans for every table-year, staged or in place. What can't be read is recorded with its status, not raised."""
-    out = []
+def read_tables(spark: SparkSession, tables, years, source: DataSource, staged: list[Staged] | None = None, filters: dict[str, list] | None = None, unique_rows: bool = True,
+                ids: DataFrame | None = None, entity: str = "EIN2", **options) -> list[TableYear]:
+    """Plans for every table-year, staged or in place. What can't be read is recorded with its status, not raised.
+
+    Wide tables are profiled by their row hashes, all of them in one job.
+    """
+    found = []
     by_key = {(s.table, s.year): s for s in staged or ()}
     for year in sorted({int(y) for y in years}):
         for t in resolve_tables(tables, source):
             s = by_key.get((t.table, year))
             path, status = (s.path, s.status) if s else (source.path(t.table, year), "virtual")
-            if status not in READABLE or (s is None and not exists(spark, path)):
-                out.append(TableYear(t, year, path, "failed", None, None))
-                continue
-            raw = scan(spark, path)
-            out.append(TableYear(t, year, path, status, read_table(raw, year, **options), raw))
+            there = status in READABLE and (s is not None or exists(spark, path))
+            found.append((t, year, path, status if there else "failed", scan(spark, path) if there else None))
+    narrowed = {i: filtered_rows(raw, filters, ids, entity) for i, (*_, raw) in enumerate(found) if raw is not None and unique_rows}
+    wide = [i for i, df in narrowed.items() if len(df.columns) >= WIDE]
+    profiles = dict(zip(wide, profile_rows([narrowed[i] for i in wide])))
+    out = []
+    for i, (t, year, path, status, raw) in enumerate(found):
+        df = None
+        if raw is not None:
+            df = read_table(raw, year, filters=filters, unique_rows=unique_rows, ids=ids, entity=entity, profile=profiles.get(i), **options)
+            raw = visible(raw)
+        out.append(TableYear(t, year, path, status, df, raw, profiles.get(i), bool(filters) or ids is not None, unique_rows))
     return out
 
 
 def read_manifest(spark: SparkSession, tables: list[TableYear]) -> DataFrame:
-    """Rows and columns of each table-year before and after reading; counted now, all in one job."""
-    asked = {(i, what): d for i, t in enumerate(tables) if t.raw is not None for what, d in (("n", t.raw), ("m", t.df), ("distinct", t.raw.dropDuplicates()))}
-    counts = counted(asked)
+    """Rows and columns of each table-year before and after reading.
+
+    Rows and distinct rows come from one pass over row hashes, unless reading has counted them already; rows after filters are counted, all in one job.
+    """
+    rows_of = {i: (t.profile.rows, t.profile.distinct) for i, t in enumerate(tables) if t.profile is not None and not t.filtered}
+    asked = [i for i, t in enumerate(tables) if t.raw is not None and i not in rows_of]
+    rows_of |= dict(zip(asked, count_rows([tables[i].raw for i in asked])))
+    selected = counted({i: t.df for i, t in enumerate(tables) if t.raw is not None and t.filtered})
     rows = []
     for i, t in enumerate(tables):
-        n, m, distinct = (counts.get((i, what)) for what in ("n", "m", "distinct"))
+        n, distinct = rows_of.get(i, (None, None))
+        m = selected.get(i, distinct if t.unique else n)
         rows.append((t.year, t.table.request, t.table.table, t.table.cardinality, t.path, t.status, n, len(t.raw.columns) if t.raw is not None else None,
                      m, len(t.df.columns) if t.df is not None else None, n - distinct if n is not None else None))
     return spark.createDataFrame(rows, "year int, request string, table string, cardinality string, path string, status string, rows_source long, cols_source int, rows_selected long, cols_selected int, exact_duplicates_removed long")
