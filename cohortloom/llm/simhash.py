@@ -109,8 +109,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Shingles of the similarity that near copies are told by, and its least value.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-#: Three standard errors of the agreement of two sketches at this similarity: within it the sets are compared.
-MARGIN = 0.075
+#: Five standard errors of the agreement of two sketches below this similarity, and three above it: in between the sets are compared.
+BELOW, ABOVE = 0.125, 0.075
 #: Least hashes in a sketch, and how many of them make a band key: 32 bands of 8.
 SKETCH, BAND = 256, 8
 #: Shingles in a block of documents that are compared in one task.
@@ -135,25 +135,8 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(32))) * _ODD[1, 1]).view(np.int64)
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest id. All columns stay.
-
-    Documents are compared if their fingerprints meet in a ball, at two or fewer
-    differing bits, as in ``simhash_groups``; but fingerprints of texts that share
-    80 % of their five-word shingles mostly differ in more bits than any ball can
-    span. So they also are if sketches of their shingle sets meet in a band. They
-    link if the sets overlap by ``similarity``. Sketches that agree clearly more or
-    less often tell that alone; for the others, where they aren't linked anyhow, and
-    for those that met in a ball, the sets are compared.
-    Within a band's bucket each document is first compared with the smallest and the
-    largest id. Where that leaves documents that meet, by however many steps, in
-    several groups, ``_rest`` compares all pairs across groups by their sets.
-
-    Texts of the same shingles fold into one before anything else. Empty texts are
-    one group; rows with a null id stay, as do extra columns; of rows that share an
-    id one stays; an empty table gives an empty result.
-    """
-    arrow_batches(docs.sparkSession)
+def _reader():
+    """Fingerprint, and of the set of shingles its size, hash, sketch and band keys."""
 
     @F.pandas_udf("fp long, size int, whole string, sketch binary, bands array<long>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -163,52 +146,111 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 s = np.unique(shingle_hashes(t, SIMILAR_WORDS))
                 k = sketch(s)
                 fp = np.array([simhash(shingle_hashes(t))], np.uint64).view(np.int64)[0]
-                rows.append((int(fp), len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), k.tobytes(), band_keys(k)))
+                rows.append((int(fp), len(s), _whole(s), k.tobytes(), band_keys(k)))
             yield pd.DataFrame(rows, columns=["fp", "size", "whole", "sketch", "bands"])
 
+    return read
+
+
+def _setter():
+    """The set of shingles, as 32 bits of their hashes, and its hash.
+
+    32 bits may take two shingles for one where documents have 10^5 of them, and hardly move a share of so many.
+    """
+
+    @F.pandas_udf("whole string, s binary")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                s = np.unique(shingle_hashes(t, SIMILAR_WORDS)) if t is not None else np.empty(0, np.uint64)
+                rows.append((_whole(s), np.unique((s >> np.uint64(32)).astype("<u4")).tobytes()))
+            yield pd.DataFrame(rows, columns=["whole", "s"])
+
+    return sets
+
+
+def _whole(s: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(s.tobytes())
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id. All columns stay.
+
+    Documents meet if their fingerprints share a ball, at two or fewer differing
+    bits, as in ``simhash_groups``; but fingerprints of texts that share 80 % of
+    their five-word shingles mostly differ in more bits than any ball can span. So
+    they also meet if sketches of their shingle sets share a band. Documents that
+    meet link if their sets overlap by ``similarity``, equal fingerprints too: sketches that agree
+    clearly more or less often tell that alone, for the others the sets are compared.
+    In a ball's or band's bucket each document is first compared with two of its
+    members, the same for all. Where that leaves a bucket in several groups, ``_rest`` compares
+    all pairs across them.
+
+    Texts with one set of shingles fold into one before anything else, and are told by that set: rows that
+    share an id but not a text are judged each by itself.
+
+    * null and empty texts, and those without words, have the empty set and are one group;
+    * rows with a null id stay;
+    * of rows that share id and set, the one whose columns have the least hash stays;
+    * an empty table gives an empty result; extra columns stay, whatever their names; texts are read whole.
+    """
+    arrow_batches(docs.sparkSession)
     rows, names = flat(docs)
     key, text = at(docs, id_col), at(docs, text_col)
     known = rows.where(F.col(key).isNotNull())
-    read_all = cut(known.select(F.col(key).alias("id"), read(text).alias("x")).select("id", "x.*"))
-    first = read_all.groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size"))
-    one_each = cut(first.select("id", "fp", "size"))
-    sketches = cut(read_all.select("id", "sketch", "bands").join(one_each.select("id"), "id", "left_semi").dropDuplicates(["id"]))
-
-    by_fp = one_each.groupBy("fp").agg(F.min("id").alias("named"))
-    same = one_each.join(by_fp, "fp").where(F.col("id") != F.col("named")).select(F.col("named").alias("a"), F.col("id").alias("b"))
-    close = links(by_fp.select("fp"))
-    of_a, of_b = by_fp.toDF("a", "na"), by_fp.toDF("b", "nb")
-    close = close.join(of_a, "a").join(of_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-
     texts = known.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    pairs = cut(_met(sketches))
-    met = cut(_sketches_that_agree(pairs, sketches, similarity - MARGIN))
-    sure = met.where(F.col("agreement") >= similarity + MARGIN).select("a", "b")
-    groups = cut(components(sure))
-    open_pairs = met.where(F.col("agreement") < similarity + MARGIN).select("a", "b").unionByName(same).unionByName(close)
+    read = cut(texts.select("id", _reader()(F.coalesce("text", F.lit(""))).alias("x")).select("id", "x.*"))
+    first = read.groupBy("whole").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "size", "sketch", "bands")])
+    nodes = cut(first.withColumn("node", F.monotonically_increasing_id()))
+    buckets = cut(_buckets(nodes))
+
+    sketches = nodes.select("node", "sketch")
+    met = cut(_sketches_that_agree(_met(buckets), sketches, similarity - BELOW))
+    groups = cut(components(met.where(F.col("agreement") >= similarity + ABOVE).select("a", "b")))
+    open_pairs = met.where(F.col("agreement") < similarity + ABOVE).select("a", "b")
     for end in ("a", "b"):
         group = groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
         open_pairs = open_pairs.join(group, end, "left").withColumn(f"{end}_group", F.coalesce(f"{end}_group", end))
     open_pairs = cut(open_pairs.where(F.col("a_group") != F.col("b_group")))
-    more = components(_overlap(texts, open_pairs, similarity))
-
-    members = components(pairs.select("a", "b")).toDF("id", "cluster").join(one_each.select("id", "size"), "id")
-    members = members.join(groups.toDF("id", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
-    members = members.join(more.toDF("g", "h"), "g", "left").select("id", "cluster", "size", F.coalesce("h", "g").alias("grp"))
-    rest = components(_rest(texts, cut(members), similarity))
-
-    others = groups.unionByName(more).unionByName(rest).where(F.col("node") != F.col("component")).select("node")
-    kept_ids = one_each.join(others, one_each["id"] == others["node"], "left_anti").select(F.col("id").alias("kept_id"))
-    kept = known.join(kept_ids, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(rows.where(F.col(key).isNull())).toDF(*names)
-
-
-def _met(sketches: DataFrame) -> DataFrame:
-    """``a``, ``b`` of documents that meet in a band where ``b`` is an end of the bucket: they join all of it."""
-    bands = sketches.select("id", F.explode("bands").alias("key"))
-    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi"))
-    met = bands.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("id") != F.col("end"))
-    pairs = met.groupBy(F.least("id", "end").alias("x"), F.greatest("id", "end").alias("y")).agg(F.max("end").alias("b"))
+    named = nodes.select("node", "id", "whole", "size")
+    more = components(_overlap(texts, named, open_pairs, similarity))
+
+    labelled = named.join(groups.toDF("node", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    labelled = cut(labelled.join(more.toDF("g", "h"), "g", "left").select("node", "id", "whole", "size", F.coalesce("h", "g").alias("grp")))
+    rest = components(_rest(texts, labelled, buckets, similarity))
+    # of a group the least id stays, and of its rows, if they differ, the one that is in the group
+    final = labelled.join(rest.toDF("grp", "r"), "grp", "left").groupBy(F.coalesce("r", "grp").alias("grp"))
+    kept = cut(final.agg(F.min(F.struct("id", "whole")).alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.whole").alias("kept_whole")))
+
+    often = cut(read.groupBy("id").count().where("count > 1").select(F.col("id").alias("often_id")))
+    once = kept if often.isEmpty() else kept.join(often, F.col("kept_id") == F.col("often_id"), "left_anti")
+    out = known.join(once, F.col(key) == F.col("kept_id"), "left_semi")
+    if not often.isEmpty():
+        several = known.join(often, F.col(key) == F.col("often_id"), "left_semi").withColumn("whole", _setter()(F.coalesce(text, F.lit("")))["whole"])
+        mine = several.join(kept, (F.col(key) == F.col("kept_id")) & (F.col("whole") == F.col("kept_whole")), "left_semi")
+        one = mine.groupBy(key, "whole").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("row"))
+        out = out.unionAll(one.select("row.*"))
+    return out.unionAll(rows.where(F.col(key).isNull())).toDF(*names)
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``key`` and ``node``: band keys, and variants at which different fingerprints or several documents of one meet; of buckets with the same members one."""
+    by_fp = nodes.groupBy("fp").agg(F.count("*").alias("n"))
+    ball = F.concat(F.array(F.col("fp")), *[F.array(F.col("fp").bitwiseXOR(F.lit(np.int64(np.uint64(1) << np.uint64(b)).item()).cast("long"))) for b in range(BITS)])
+    variants = by_fp.select("fp", "n", F.explode(ball).alias("variant"))
+    shared = variants.groupBy("variant").agg(F.sum("n").alias("n"), F.collect_set("fp").alias("fps")).where((F.size("fps") > 1) | ((F.col("n") > 1) & F.array_contains("fps", F.col("variant"))))
+    balls = shared.select(F.xxhash64(F.lit("ball"), "variant").alias("key"), F.explode("fps").alias("fp"))
+    rows = nodes.select(F.explode("bands").alias("key"), "node").unionAll(balls.join(nodes.select("fp", "node"), "fp").select("key", "node")).distinct()
+    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"), F.min("node").alias("lo")).where("n > 1")
+    return rows.join(held.groupBy("n", "mark", "lo").agg(F.min("key").alias("key")).select("key", "n"), "key")
+
+
+def _met(buckets: DataFrame) -> DataFrame:
+    """``a``, ``b`` of nodes that share a bucket where ``b`` is the least or the greatest of it."""
+    ends = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    met = buckets.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("node") != F.col("end"))
+    pairs = met.groupBy(F.least("node", "end").alias("x"), F.greatest("node", "end").alias("y")).agg(F.max("end").alias("b"))
     return pairs.select(F.when(F.col("b") == F.col("y"), F.col("x")).otherwise(F.col("y")).alias("a"), "b")
 
 
@@ -225,31 +267,35 @@ def _sketches_that_agree(pairs: DataFrame, sketches: DataFrame, least: float) ->
             out = pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(share)], ["a", "b", "agreement"])
             yield out.filter(pa.array(share >= least))
 
-    of_a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    of_b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    of_a, of_b = sketches.toDF("a", "sa"), sketches.toDF("b", "sb")
     both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sa", "sb")
     # one operator that compares and filters: a filter on a UDF's column would be run below it, with a second UDF beside it
     schema = StructType([both.schema["a"], both.schema["b"], StructField("agreement", DoubleType())])
     return both.mapInArrow(agreeing, schema)
 
 
-def _overlap(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Edges between the groups of ``a`` and ``b`` whose shingle sets overlap by ``similarity``.
+def _sets_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``node`` and its set ``s``, for ``asked`` (``node``, ``id``, ``whole``): from the row of that id that has the set."""
+    read = texts.join(asked, "id").select("node", F.col("whole").alias("want"), _setter()(F.coalesce("text", F.lit(""))).alias("x"))
+    return read.where(F.col("x.whole") == F.col("want")).select("node", F.col("x.s").alias("s")).dropDuplicates(["node"])
 
-    Shingles are compared by 32 bits of their hashes, which may take two for one
-    where documents have 10^5 of them, and hardly moves a share of so many.
-    """
 
-    @F.pandas_udf("array<int>")
-    def shingles(batch: pd.Series) -> pd.Series:
-        return pd.Series([np.unique((shingle_hashes(t, SIMILAR_WORDS) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch], dtype=object)
+def _overlap(texts: DataFrame, named: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Edges between the groups of ``a`` and ``b`` whose shingle sets overlap by ``similarity``."""
 
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(texts.join(asked, "id", "left_semi").dropDuplicates(["id"]).select("id", shingles("text").alias("s")))
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = []
+            for p, q in zip(x.column("sa").to_pylist(), x.column("sb").to_pylist()):
+                p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= similarity * (len(p) + len(q) - shared))
+            yield pa.RecordBatch.from_arrays([x.column("a_group"), x.column("b_group")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = cut(_sets_of(texts, named.join(asked, "node").select("node", "id", "whole")))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
-    return both.where(alike).select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
+    return both.select("a_group", "b_group", "sa", "sb").mapInArrow(alike, "a long, b long")
 
 
 def joined(sets: list[np.ndarray], groups: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -290,37 +336,34 @@ def joined(sets: list[np.ndarray], groups: np.ndarray, similarity: float) -> lis
     return out
 
 
-def _rest(texts: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """Edges between groups of a cluster that hold two documents whose shingle sets overlap by ``similarity``.
+def _rest(texts: DataFrame, labelled: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """Edges between groups that hold two documents which share a bucket and whose shingle sets overlap by ``similarity``.
 
-    ``members`` has ``id``, ``cluster``, ``grp`` and ``size``. Of two documents of
-    different groups one at least lies outside the cluster's largest group. So the
-    documents outside it are dealt into blocks of about ``UNIT`` shingles, all of the
-    cluster into others, and each block meets each in a task of its own. A cluster
-    that is one group already costs nothing.
+    ``labelled`` has ``node``, ``id``, ``whole``, ``grp`` and ``size``. Only buckets with more than three members, of several groups, are
+    asked: in smaller ones all pairs have been compared. Of two documents of different groups
+    one at least lies outside the bucket's largest group. So the documents outside it
+    are dealt into blocks of about ``UNIT`` shingles, all of the bucket into others,
+    and each block meets each in a task of its own.
     """
-    by_group = members.groupBy("cluster", "grp").agg(F.sum("size").alias("size"))
-    whole = by_group.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("grp", "size").alias("main"))
+    members = buckets.where("n > 3").join(labelled.select("node", "grp", "size"), "node")
+    by_group = members.groupBy("key", "grp").agg(F.sum("size").alias("size"))
+    whole = by_group.groupBy("key").agg(F.count("*").alias("k"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("grp", F.struct("size", "grp")).alias("main"))
     whole = whole.where(F.col("k") > 1).select(
-        "cluster", "main", F.ceil(F.col("all") / UNIT).cast("int").alias("n_all"),
+        "key", "main", F.ceil(F.greatest("all", F.lit(1)) / UNIT).cast("int").alias("n_all"),
         F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / UNIT).cast("int")).alias("n_out"),
     )
-    dealt = members.join(whole, "cluster").withColumn("i", F.pmod(F.xxhash64("id"), "n_out").cast("int")).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), "n_all").cast("int"))
+    dealt = members.join(whole, "key").withColumn("i", F.pmod(F.xxhash64("node"), "n_out").cast("int")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "n_all").cast("int"))
     as_any = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j")))
     as_outer = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j")))
     units = F.array_distinct(F.when(F.col("grp") == F.col("main"), as_any).otherwise(F.concat(as_any, as_outer)))
-    dealt = cut(dealt.select("id", "cluster", "grp", units.alias("units")))
-
-    @F.pandas_udf("binary")
-    def shingles(batch: pd.Series) -> pd.Series:
-        return pd.Series([np.unique((shingle_hashes(t, SIMILAR_WORDS) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch], dtype=object)
+    dealt = cut(dealt.select("node", "key", "grp", units.alias("units")))
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
         groups = unit["grp"].to_numpy()
         found = joined([np.frombuffer(x, "<u4") for x in unit["s"]], groups, similarity)
         return pd.DataFrame({"a": groups[[a for a, _ in found]], "b": groups[[b for _, b in found]]})
 
-    sets = cut(texts.join(dealt.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", shingles("text").alias("s")))
-    unit = dealt.join(sets, "id").select("cluster", "grp", "s", F.explode("units").alias("u")).select("cluster", "u.i", "u.j", "grp", "s")
-    kind = members.schema["grp"].dataType
-    return unit.groupBy("cluster", "i", "j").applyInPandas(compare, StructType([StructField("a", kind), StructField("b", kind)]))
+    asked = labelled.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "id", "whole")
+    sets = cut(_sets_of(texts, asked))
+    unit = dealt.join(sets, "node").select("key", "grp", "s", F.explode("units").alias("u")).select("key", "u.i", "u.j", "grp", "s")
+    return unit.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
