@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, pick
 
 NOT_WORD_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words before a keyword, and from it on, that a signature can span.
-BEFORE, SPAN = 16, 24
 #: (words of a phrase, label): fixed values of the contract.
 BASE = (
     ("gnu general public license", "gpl"),
@@ -424,6 +422,40 @@ def signatures() -> tuple[Signature, ...]:
     return tuple(sorted(out, key=lambda s: (s.priority, s.label, s.ahead, s.before)))
 
 
+def most_spaces(pattern: str) -> int:
+    """The most spaces that a pattern can match: literals, groups, classes without a space, and bounded repeats."""
+
+    def branch(i: int) -> tuple[int, int]:
+        best = now = 0
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                best, now, i = max(best, now), 0, i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                n, i = branch(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                n, i = 0, pattern.index("]", i) + 1
+            else:
+                n, i = int(pattern[i] == " "), i + 1
+            if pattern[i:i + 1] == "{":
+                end = pattern.index("}", i)
+                n, i = n * int(pattern[i + 1:end].split(",")[-1]), end + 1
+            elif pattern[i:i + 1] in ("?", "+", "*") and pattern[i:i + 1]:
+                if n and pattern[i] != "?":
+                    raise ValueError(f"a signature has no bound: {pattern}")
+                i += 1
+            now += n
+        return max(best, now), i
+
+    return branch(0)[0]
+
+
+#: Words before a keyword, or before a name for a grant, and from a keyword on, that are looked at: as many as the longest signature spans.
+BEFORE = max(max(most_spaces(s.before) for s in signatures()), most_spaces(GRANT) + 1)
+SPAN = max(most_spaces(s.ahead) + 1 for s in signatures())
+
+
 def keywords() -> list[str]:
     """Words at which something is tried; the base phrases' are the last of theirs but for "cc by"."""
     return sorted({w for s in signatures() for w in s.keywords} | {"license", "licence", "cc"})

@@ -203,3 +203,59 @@ def test_templates_below_any_level(spark):
     assert got["h", "bad"].template == "h/a/b/c/d/e/bad" and got["h", "bad"].purity < 0.5 < got["h", "good1"].purity
     assert got["w", "spam"].template == "w/spam" and got["w", "spam"].purity < 0.5 < got["w", "clean7"].purity
     assert got["deep", "2999"].template == "deep/**" and t.agg(F.count("*")).first()[0] == len({(h, tuple(s)) for h, s, _ in rows})
+
+
+def spoken(pattern, choose):
+    """A text that a signature's pattern matches; ``choose`` picks among alternatives and numbers of repeats."""
+
+    def branch(i):
+        options, now = [], ""
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                options.append(now)
+                now, i = "", i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                one, i = branch(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                end = pattern.index("]", i)
+                inside = pattern[i + 1:end]
+                one, i = ("x" if inside.startswith("^") else inside[0]), end + 1
+            else:
+                one, i = pattern[i], i + 1
+            least = most = 1
+            if i < len(pattern) and pattern[i] == "{":
+                end = pattern.index("}", i)
+                bounds = pattern[i + 1:end].split(",")
+                least, most, i = int(bounds[0]), int(bounds[-1]), end + 1
+            elif i < len(pattern) and pattern[i] in "?+*":
+                least, most = {"?": (0, 1), "+": (1, 2), "*": (0, 2)}[pattern[i]]
+                i += 1
+            now += one * choose([least, most])
+        return choose([*options, now]), i
+
+    return branch(0)[0]
+
+
+def test_every_rule_finds_its_own_text(spark):
+    """A rule's shortest, longest and some other texts, between other words: it is detected with its label and priority."""
+    import random
+
+    from cohortloom.llm.license_scan import detections, most_spaces
+
+    rnd = random.Random(7)
+    rows = []
+    for n, s in enumerate(signatures()):
+        texts = {spoken(s.before + s.ahead, c) for c in (lambda x: min(x, key=lambda v: (v if isinstance(v, int) else len(v))), lambda x: max(x, key=lambda v: (v if isinstance(v, int) else len(v))), rnd.choice, rnd.choice)}
+        rows += [(n, ("some other words " + t + " and more").split(), s.label, s.priority) for t in texts]
+    assert len({r[0] for r in rows}) == len(signatures()) and max(len(r[1]) for r in rows) > BEFORE
+    df = spark.createDataFrame(rows, "n int, words array<string>, label string, priority int")
+    known = ", ".join(f"'{k}'" for k in keywords())
+    df = df.selectExpr("*", f"filter(transform(words, (w, i) -> CASE WHEN array_contains(array({known}), w) THEN i END), i -> i IS NOT NULL) AS places")
+    got = df.select("n", "words", "label", "priority", detections("words", "places").alias("found")).collect()
+    lost = [(r.n, " ".join(r.words)) for r in got if not any(d.label == r.label and d.priority <= r.priority for d in r.found)]
+    assert not lost, lost[:5]
+    assert [most_spaces(p) for p in ("a b", "a(?: b(?: c){0,3})? d|e", "[^ ]+ [0-9]+", "")] == [1, 5, 1, 0]
+    with pytest.raises(ValueError):
+        most_spaces("a(?: b)+")
