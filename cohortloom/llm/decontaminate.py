@@ -25,7 +25,7 @@ MIN_SCORE = 0.5
 SHORT = 8
 #: Bytes of benchmark text in one block; each block is one pass with its own broadcast, which takes some hundred MB at most in a worker.
 BLOCK_BYTES = 8 << 20
-HIT = "array<struct<item_id:long,score:double,start:long,words:long>>"
+HIT = "array<struct<item_id:{},score:double,start:long,words:long>>"
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -49,8 +49,10 @@ class Seeds:
     """
 
     numbers: dict[bytes, int]
-    item_ids: list[int]
+    item_ids: list
     items: list[np.ndarray]
+    words: np.ndarray
+    sizes: np.ndarray
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -82,8 +84,29 @@ class Seeds:
             begins.append(np.repeat(places, times) - self.place[which])
         return np.concatenate(items), np.concatenate(begins)
 
-
-def all_seeds(items: list[tuple[int, list[bytes]]], n: int) -> Seeds:
+    def met(self, text: np.ndarray, min_score: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that the text has seeds of, and where they would begin; only such of whose words the text holds enough, wherever they stand."""
+        items, begins = self.found(text)
+        if not len(items):
+            return
+        order = np.lexsort((begins, items))
+        items, begins = items[order], begins[order]
+        first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
+        asked = items[first]
+        here = np.zeros(len(self.numbers) + 1, bool)
+        here[text] = True
+        here[-1] = False  # words of no item are -1
+        sizes = self.sizes[asked]
+        ends = np.cumsum(sizes)
+        places = np.repeat((np.cumsum(self.sizes) - self.sizes)[asked] - ends + sizes, sizes) + np.arange(ends[-1])
+        held = np.add.reduceat(here[self.words[places]].astype(np.int64), ends - sizes)
+        enough = held >= np.where(sizes < SHORT, sizes, min_score * sizes)
+        last = np.append(first[1:], len(items))
+        for k, a, z in zip(asked[enough].tolist(), first[enough].tolist(), last[enough].tolist()):
+            yield k, np.unique(begins[a:z])
+
+
+def all_seeds(items: list[tuple[object, list[bytes]]], n: int) -> Seeds:
     """``items`` are ids and words, each of one word or more."""
     numbers: dict[bytes, int] = {}
     coded = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32) for _, words in items]
@@ -94,7 +117,8 @@ def all_seeds(items: list[tuple[int, list[bytes]]], n: int) -> Seeds:
     order = np.argsort(key, kind="stable")
     item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]) if sizes else item
-    return Seeds(numbers, [i for i, _ in items], coded, key[order], item[order], place[order], tuple(sorted(set(lengths))))
+    words = np.concatenate(coded) if coded else np.empty(0, np.int32)
+    return Seeds(numbers, [i for i, _ in items], coded, words, np.array([len(x) for x in coded], np.int64), key[order], item[order], place[order], tuple(sorted(set(lengths))))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -128,19 +152,18 @@ def most_matches(item: np.ndarray, text: np.ndarray) -> int:
     return int(np.minimum(np.bincount(item, minlength=n), np.bincount(text[text >= 0], minlength=n)).sum())
 
 
-def passages(words: list[bytes], seeds: Seeds, min_score: float = MIN_SCORE) -> list[tuple[int, float, int, int]]:
+def passages(words: list[bytes], seeds: Seeds, min_score: float = MIN_SCORE) -> list[tuple[object, float, int, int]]:
     """(item_id, score, first word, words) of the best passage for every item that the text holds enough of."""
     numbered = seeds.numbered(words)
-    items, begins = seeds.found(numbered)
     out = []
-    for k in np.unique(items).tolist():
+    for k, begins in seeds.met(numbered, min_score):
         numbers, item = np.unique(seeds.items[k], return_inverse=True)
         m = len(item)
         pad = m // 2 + 4
         need = m if m < SHORT else min_score * m
         best = (0, 0, 0)
         windows: list[list[int]] = []
-        for b in np.unique(begins[items == k]).tolist():
+        for b in begins.tolist():
             lo, hi = max(0, b - pad), min(len(words), b + m + pad)
             if windows and lo <= windows[-1][1]:
                 windows[-1][1] = max(hi, windows[-1][1])
@@ -160,20 +183,20 @@ def passages(words: list[bytes], seeds: Seeds, min_score: float = MIN_SCORE) ->
     return sorted(out)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, list[bytes]]]]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, list[bytes]]]]:
     """The benchmark in blocks of about ``block_bytes`` of text, so that what is broadcast has a bound."""
     items = pick(benchmark, id=id_col, text=text_col).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // block_bytes
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        got = [(int(r["id"]), plain_words(r["text"])) for r in part.sort("id", "text").collect()]
+        got = [(r["id"], plain_words(r["text"])) for r in part.sort("id", "text").collect()]
         if got := [x for x in got if x[1]]:
             yield got
 
 
-def _finder(sent, min_score: float):
-    @F.pandas_udf(HIT)
+def _finder(sent, min_score: float, kind: str):
+    @F.pandas_udf(HIT.format(kind))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([
@@ -194,13 +217,14 @@ def _hits(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    done, last, sent = [], docs.select("id", F.explode(F.array().cast(HIT)).alias("hit")), None
+    kind = pick(benchmark, id=item_id).dtypes[0][1]
+    done, last, sent = [], docs.select("id", F.explode(F.array().cast(HIT.format(kind))).alias("hit")), None
     for items in blocks(benchmark, item_id, item_text, block_bytes):
         if sent is not None:
             done.append(cut(last))
             sent.unpersist(blocking=True)
         sent = spark.sparkContext.broadcast(all_seeds(items, seed_words))
-        last = docs.select("id", F.explode(_finder(sent, min_score)(F.col("text"))).alias("hit"))
+        last = docs.select("id", F.explode(_finder(sent, min_score, kind)(F.col("text"))).alias("hit"))
     return reduce(DataFrame.unionAll, [*done, last])
 
 
@@ -213,6 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     * null and empty texts hold nothing; items without words, or null ids, are not sought;
     * a row that repeats returns its rows again; an item that repeats counts as one more item;
+    * ids of documents and items may be of any type; very long texts are searched whole, a window about each seed at a time;
     * an empty table on either side gives no rows; extra columns are not read.
 
     One pass over the documents for each block of the benchmark, one after another,
@@ -229,11 +254,14 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                  seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns stay.
 
+    Null and empty texts hold nothing and stay, as do null ids; rows that repeat are judged each; an empty table on either side drops nothing.
+
     Each block of the benchmark but the last leaves a table of what it keeps in the shared folder, which the next one reads.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     rows, names = flat(docs)
+    kind = pick(benchmark, id=item_id).dtypes[0][1]
     sent, path = None, None
     for items in blocks(benchmark, item_id, item_text, block_bytes):
         if sent is not None:
@@ -243,5 +271,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             if before is not None:
                 remove(spark, before)
         sent = spark.sparkContext.broadcast(all_seeds(items, seed_words))
-        rows = rows.where(F.size(_finder(sent, min_score)(rows[at(docs, text_col)])) == 0)
+        rows = rows.where(F.size(_finder(sent, min_score, kind)(rows[at(docs, text_col)])) == 0)
     return rows.toDF(*names)

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from cohortloom.llm.components import components
-from cohortloom.llm.decontaminate import align, all_seeds, decontaminate, drop_leaking
+from cohortloom.llm.decontaminate import align, all_seeds, decontaminate, drop_leaking, passages
 from cohortloom.llm import simhash as near
 from cohortloom.llm.tokens import plain_words
 from cohortloom.llm.simhash import joined, one_per_group, shingle_hashes, simhash, simhash_groups, sketch
@@ -109,17 +109,50 @@ def test_one_per_group_against_brute_force(docs_of):
             rows.append(out)
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in rows}
-    fp = {i: plain_fingerprint(t) for i, t in rows}
     g = Groups()
     for a in sets:
         for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fp[a] ^ fp[b]).bit_count() <= 2:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 g.join(a, b)
     want = {i for i in sets if g.find(i) == i}
     assert 30 < len(want) < len(rows)
     assert {r.doc_id for r in one_per_group(docs_of(rows)).collect()} == want
 
 
+def test_rows_that_share_an_id(docs_of):
+    """Only copies go: a text on a repeated id is judged by itself."""
+    rnd = random.Random(5)
+    a, b, c = (" ".join(rnd.choices([f"w{k}" for k in range(3000)], k=120)) for _ in range(3))
+
+    def kept(*rows):
+        return sorted((r.doc_id, r[1]) for r in one_per_group(docs_of(list(rows))).collect())
+
+    assert kept((1, a), (1, b), (2, b)) == sorted([(1, a), (1, b)])
+    assert kept((1, a), (1, b), (2, c)) == sorted([(1, a), (1, b), (2, c)])
+    assert kept((2, a), (2, b), (1, b), (2, a), (3, a + " end")) == sorted([(2, a), (1, b)])
+    assert kept((1, a), (1, a), (1, a.upper())) in ([(1, a)], [(1, a.upper())])
+
+
+def test_unlike_texts_with_equal_fingerprints_stay(docs_of):
+    """One run of words repeated often settles the fingerprint, whatever else two texts hold."""
+    rows = [(i, "round and about " * 60 + " ".join(f"own{i}x{k}" for k in range(40))) for i in range(6)]
+    assert len({plain_fingerprint(t) for _, t in rows}) < 6
+    rows.append((9, rows[3][1] + " more"))
+    assert {r.doc_id for r in one_per_group(docs_of(rows)).collect()} == set(range(6))
+
+
+def test_a_chain_of_half_alike_texts_is_linear(spark, docs_of, monkeypatch):
+    """Neighbours share half their shingles: they meet in bands here and there, but no text is compared with more than a few."""
+    compared = []
+    monkeypatch.setattr(near, "_rest", lambda texts, labelled, buckets, similarity, f=near._rest: compared.append(buckets.where("n > 3").count()) or f(texts, labelled, buckets, similarity))
+    words = [f"w{k}" for k in range(40_000)]
+    rnd = random.Random(3)
+    rnd.shuffle(words)
+    rows = [(i, " ".join(words[i * 20:i * 20 + 60])) for i in range(1500)]
+    assert one_per_group(docs_of(rows)).count() == 1500
+    assert compared[0] < 1500
+
+
 @pytest.mark.parametrize("unit", [near.UNIT, 20_000])
 def test_copies_of_an_original_in_the_middle(docs_of, monkeypatch, unit):
     """Each copy is like the original only, whose id lies in the middle; in one task and in many."""
@@ -286,3 +319,27 @@ def test_very_long_texts(docs_of):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_groups(docs_of(rows)).collect()}
     assert got[1][0] == f"{plain_fingerprint(long):016x}" and got[2][1] == 1 and got[3][1] == 3
     assert {r.doc_id for r in one_per_group(docs_of(rows)).collect()} == {1, 3}
+
+
+def test_many_items_that_share_a_seed():
+    """Thousands of items with one opening: only those of whose words the text holds enough are looked at."""
+    import time
+
+    rnd = random.Random(2)
+    items = [(f"item{i}", [b"which", b"of", b"the", b"following", *[f"w{rnd.randrange(30_000)}".encode() for _ in range(8)]]) for i in range(16_000)]
+    seeds = all_seeds(items, 3)
+    text = [f"w{rnd.randrange(30_000)}".encode() for _ in range(300)]
+    text[50:54] = [b"which", b"of", b"the", b"following"]
+    text[100:112] = items[77][1]
+    passages(text, seeds)
+    began = time.process_time()
+    assert [(i, s) for i, s, _, _ in passages(text, seeds)] == [("item77", 1.0)]
+    assert time.process_time() - began < 0.5
+
+
+def test_ids_of_any_type_and_long_texts(spark, docs_of):
+    bench = spark.createDataFrame([("a-1", "one two three four five six seven eight nine"), ("b", "never said")], "item_id string, text string")
+    rows = [(1, "filler " * 100_000 + "one two three four five six seven eight nine " + "more " * 100_000), (2, "nothing")]
+    out = decontaminate(docs_of(rows), bench)
+    assert [(r.doc_id, r.item_id, r.start) for r in out.collect()] == [(1, "a-1", 100_000)]
+    assert {r.doc_id for r in drop_leaking(docs_of(rows), bench).collect()} == {2}
