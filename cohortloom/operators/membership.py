@@ -40,6 +40,11 @@ def classify(df: DataFrame, time: str = "TAX_YEAR", id: str = "EIN2", years: lis
         F.min("t").alias("first"), F.max("t").alias("last"),
         F.sort_array(F.collect_set(F.array_position(axis, F.col("t")).cast("int"))).alias("at"),
     )
+    return classes_of(seen, len(years), id)
+
+
+def classes_of(seen: DataFrame, n_years: int, id: str) -> DataFrame:
+    """``LABELS`` from ``id``, ``first``, ``last`` and ``at``, the places among a panel's ``n_years`` years in which an id is observed, from 1 and in order."""
     gaps = F.filter(F.transform("at", lambda p, i: F.when(i > 0, p - F.get("at", i - 1) - 1)), lambda g: g > 0)
     lo, hi = F.get("at", F.lit(0)), F.element_at("at", -1)
     return seen.select(
@@ -47,7 +52,7 @@ def classify(df: DataFrame, time: str = "TAX_YEAR", id: str = "EIN2", years: lis
         F.col("first").alias("panel_year_first"),
         F.col("last").alias("panel_year_last"),
         F.size("at").alias("panel_year_count"),
-        F.when((lo == 1) & (hi == len(years)), "persistent").when(hi == len(years), "entrant").when(lo == 1, "exit").otherwise("transient").alias("panel_type"),
+        F.when((lo == 1) & (hi == n_years), "persistent").when(hi == n_years, "entrant").when(lo == 1, "exit").otherwise("transient").alias("panel_type"),
         F.when(hi - lo + 1 == F.size("at"), "seamless").otherwise("segmented").alias("panel_spell"),
         F.size(gaps).alias("panel_gap_count"),
         F.coalesce(F.array_max(gaps), F.lit(0)).alias("panel_gap_size_max"),
@@ -99,8 +104,17 @@ def label(df: DataFrame, time: str = "TAX_YEAR", id: str = "EIN2", classificatio
     """``df`` with the classification's columns joined by id; label columns that it has are replaced."""
     cls = classify(df, time, id) if classification is None else classification
     new = [c for c in cls.columns if c != id]
-    right = cls.select(quoted(id).alias("label_id"), *new)
-    return df.drop(*new).join(right, quoted(id) == F.col("label_id"), "left").drop("label_id")
+    left = df.drop(*new)
+    a = left.toDF(*[f"a{i}" for i in range(len(left.columns))])
+    b = cls.select(quoted(id), *new).toDF("id", *[f"b{i}" for i in range(len(new))])
+    joined = a.join(b, F.col(place(left, id, "a")) == F.col("id"), "left").drop("id")
+    return joined.toDF(*left.columns, *new)
+
+
+def place(df: DataFrame, name: str, prefix: str = "c") -> str:
+    """What a column is called when all are named by their place: whatever else a table holds, nothing clashes with it."""
+    folded = [c.lower() for c in df.columns]
+    return f"{prefix}{df.columns.index(name) if name in df.columns else folded.index(name.lower())}"
 
 
 def _known(values, valid: tuple, name: str) -> list | None:
@@ -136,4 +150,5 @@ def filter_members(df: DataFrame, panel_type=None, spell=None, min_obs: int | No
 
 def semi(df: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """Rows of ``df`` whose id is in the one column of ``ids``. Whether that is broadcast, its size decides."""
-    return df.join(ids, quoted(id) == F.col(ids.columns[0]), "left_semi")
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return flat.join(ids.toDF("k"), F.col(place(df, id)) == F.col("k"), "left_semi").toDF(*df.columns)

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Predicate, as_list
 from ..functions.values import kinds, need, quoted
 from ..operators.dedup import deduplicate
-from ..operators.membership import classify
+from ..operators.levels import drop_levels, each_level, factor, levels_of
+from ..operators.membership import classify, place
+from ..operators.order_stats import group_medians, large_groups
 from .dictionary import FORM_SCOPES, Dictionary
 from .ledger import Ledger
 
@@ -352,7 +354,7 @@ def apply_frame(df: DataFrame, frame: SampleFrame, columns: bool = True, diction
 
 
 def refresh(df: DataFrame, rule: Rule) -> DataFrame:
-    """Values derived anew. Text has no levels in Spark, so ``droplevels`` and ``factor`` change nothing."""
+    """Values derived anew. ``factor`` makes the values of columns their levels, ``droplevels`` drops the levels that no row has."""
     o = rule.options
     if o.get("fn"):
         out = o["fn"](df)
@@ -361,23 +363,37 @@ def refresh(df: DataFrame, rule: Rule) -> DataFrame:
         return out
     if o["action"] == "factor" and not o.get("cols"):
         raise ValueError("a factor refresh needs cols")
-    if o["action"] != "group_stat":
-        return df
+    if o["action"] == "factor":
+        return factor(df, as_list(o["cols"]))
+    if o["action"] == "droplevels":
+        return drop_levels(df, as_list(o["cols"]) if o.get("cols") else None)
     if not o.get("by") or not o.get("value"):
         raise ValueError("group_stat needs by and value")
     fun = o.get("fun", "mean")
     if fun not in AGGREGATES:
         raise ValueError(f"fun must be one of {', '.join(AGGREGATES)}")
     by, value = quoted(o["by"]), quoted(o["value"])
-    stat = AGGREGATES[fun](value)
-    if fun in STRICT:
-        stat = F.when(F.count(value) == F.count(F.lit(1)), stat)
     into = o.get("into", f"{o['value']}_{fun}")
     # summed before the shuffle, then joined by the key: no group goes to one task whole
-    stats = df.where(by.isNotNull()).groupBy(by.alias("__by")).agg(stat.alias("__stat"))
+    stats = _stats(df, o["by"], o["value"], fun)
     told = df.drop(into) if into != o["value"] and into != o["by"] else df
-    joined = told.join(stats, by == F.col("__by"), "left").withColumn("__stat", F.when(by.isNull(), value.cast("double")).otherwise(F.col("__stat")))
-    return joined.withColumn(into, F.col("__stat")).drop("__by", "__stat")
+    flat = told.toDF(*[f"c{i}" for i in range(len(told.columns))])
+    own, mine = F.col(place(told, o["by"])), F.col(place(told, o["value"]))
+    joined = flat.join(stats, own == F.col("by"), "left").withColumn("stat", F.when(own.isNull(), mine.cast("double")).otherwise(F.col("stat")))
+    named = joined.drop("by").toDF(*told.columns, "__stat")
+    return named.withColumn(into, F.col("__stat")).drop("__stat")
+
+
+def _stats(df: DataFrame, by: str, value: str, fun: str) -> DataFrame:
+    """``by`` and ``stat``, a group's statistic; groups without a key are left out. Medians are exact whatever a group's size."""
+    rows, v = df.where(quoted(by).isNotNull()), quoted(value)
+    whole = F.count(v) == F.count(F.lit(1))
+    if fun == "median" and (large := large_groups(df, by, value)) is not None:
+        held = rows.groupBy(quoted(by).alias("key")).agg(whole.alias("whole"))
+        stats = held.join(group_medians(df, by, value, large=large), F.col("key") == F.col("by"), "left")
+        return stats.select(F.col("key").alias("by"), (F.when(F.col("whole"), F.col("stat")) if fun in STRICT else F.col("stat")).alias("stat"))
+    stat = AGGREGATES[fun](v)
+    return rows.groupBy(quoted(by).alias("by")).agg((F.when(whole, stat) if fun in STRICT else stat).alias("stat"))
 
 
 CHECKS = "check string, n long, pass long, fail long, ok boolean, note string"
@@ -406,7 +422,11 @@ def run_checks(df: DataFrame, frame: SampleFrame) -> DataFrame:
 
 
 def view(df: DataFrame, rule: Rule) -> DataFrame | None:
-    """Counts by ``rows``; by ``rows`` and ``cols`` (zeros filled in); or ``fun`` of ``value`` by ``rows``. Missing groups are left out."""
+    """Counts by ``rows``; by ``rows`` and ``cols`` (zeros filled in); or ``fun`` of ``value`` by ``rows``. Missing groups are left out.
+
+    Levels of a column that no row has count zero, and have a null statistic. Columns of a crosstab are its levels where it has
+    any, so that no job looks for its values.
+    """
     o = rule.options
     rows, cols, value = o.get("rows"), o.get("cols"), o.get("value")
     if not rows or rows not in df.columns or (cols and cols not in df.columns):
@@ -414,16 +434,13 @@ def view(df: DataFrame, rule: Rule) -> DataFrame | None:
     some = df.where(quoted(rows).isNotNull())
     if cols:
         some = some.where(quoted(cols).isNotNull())
-        return some.groupBy(quoted(rows)).pivot(cols).count().fillna(0)
+        return each_level(df, rows, some.groupBy(quoted(rows)).pivot(cols, levels_of(df, cols)).count().fillna(0))
     if value and value in df.columns:
         fun = o.get("fun", "length")
         if fun not in AGGREGATES:
             raise ValueError(f"fun must be one of {', '.join(AGGREGATES)}")
-        stat = AGGREGATES[fun](quoted(value))
-        if fun in STRICT:
-            stat = F.when(F.count(quoted(value)) == F.count(F.lit(1)), stat)
-        return some.groupBy(quoted(rows)).agg(stat.alias(fun))
-    return some.groupBy(quoted(rows)).agg(F.count("*").alias("count"))
+        return each_level(df, rows, _stats(df, rows, value, fun).toDF(rows, fun), fill=False)
+    return each_level(df, rows, some.groupBy(quoted(rows)).agg(F.count("*").alias("count")))
 
 
 def views(df: DataFrame, frame: SampleFrame) -> dict[str, DataFrame | None]:

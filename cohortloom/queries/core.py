@@ -13,8 +13,11 @@ from ..operators.balance import balance
 from ..operators.dedup import deduplicate
 from ..operators.dimension import join_dimension, prepare
 from ..operators.impute import complete, impute
+from ..operators.incremental import classify_state, membership_state, merge_states
+from ..operators.levels import set_levels
 from ..operators.membership import classify, describe, filter_members, label
 from ..operators.normalize import normalize
+from ..operators.order_stats import group_medians
 from ..operators.smooth import smooth
 from ..plans.dictionary import Dictionary, Field, concordance
 from ..plans.frame import SampleFrame, apply_frame, conform, create_frame, run_checks, views
@@ -393,6 +396,41 @@ def stack_years(spark: SparkSession, sf: str) -> DataFrame:
     return stack([a, b]).select("k", (F.col("x") != "").alias("priced"), "pri", "only_late")
 
 
+@query(f"WITH {C_SQL} SELECT {C_OUT} FROM c")
+def classify_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """A state of the first years, and after it each year's rows alone: the classification of all."""
+    rows = panel(spark, sf).select("id", "t")
+    years = [r["t"] for r in rows.select("t").distinct().sort("t").collect()]
+    base = years[0] - 1
+    state = membership_state(rows.where(F.col("t") <= years[2]), base, "t", "id")
+    for y in years[3:]:
+        state = merge_states(state, membership_state(rows.where(F.col("t") == y), base, "t", "id"))
+    return longs(classify_state(state, base, "id", years))
+
+
+@query(f"""WITH {F_SQL}, l AS (SELECT unnest(['5-LOW', '0-NONE', '1-URGENT']) AS pri), k AS (SELECT * FROM f WHERE form <> 'P')
+SELECT l.pri, count(*) FILTER (form = 'F') AS "F", count(*) FILTER (form = 'O') AS "O", count(*) FILTER (form = 'P') AS "P" FROM l LEFT JOIN k ON k.pri = l.pri GROUP BY l.pri""")
+def view_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """A crosstab of two columns with levels: those that no row has any more count zero."""
+    rows = set_levels(filings(spark, sf), {"form": ["F", "O", "P"], "pri": ["5-LOW", "0-NONE", "1-URGENT"]})
+    f = create_frame(entity="id", time="t").add_rule("filter", column="form", op="!=", values="P").add_view("v", rows="pri", cols="form")
+    return apply_frame(rows, f).views()["v"].select("pri", "F", "O", "P")
+
+
+@query(f"""WITH {F_SQL}, k AS (SELECT * FROM f WHERE form <> 'P') SELECT form, count(*) AS count FROM k GROUP BY form""")
+def refresh_droplevels(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels made of a column's values, a filter, then those without a row dropped."""
+    f = (create_frame(entity="id", time="t").add_refresh("levels", action="factor", cols="form").add_refresh("gone", fn=lambda df: df.where("form <> 'P'"))
+         .add_refresh("drop", action="droplevels").add_view("v", rows="form"))
+    return apply_frame(filings(spark, sf), f).views()["v"]
+
+
+@query("SELECT l_returnflag AS flag, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY ALL")
+def large_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians of groups with a third of all lines and more, by rank."""
+    return longs(group_medians(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", buffered=1000).toDF("flag", "median"))
+
+
 @query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber::BIGINT AS l_linenumber FROM lineitem")
 def distinct_rows(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.tables import read_table
