@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,15 @@ class Prepared:
     requested: tuple[str, ...]
     missing_fields: tuple[str, ...]
     id: str
+    origin: dict = field(default_factory=dict)
+
+    def vintage(self) -> str | None:
+        """The build's, or the newest that the rows name, before any are left out."""
+        whole = self.origin.get("whole", self.source)
+        if self.origin.get("vintage") or "bmf_vintage_ym" not in whole.columns:
+            return self.origin.get("vintage")
+        seen = F.col("bmf_vintage_ym").cast("string")
+        return whole.agg(F.max(F.when(seen != "", seen))).first()[0]
 
     def diagnostics(self) -> dict:
         key = fold(quoted(self.id))
@@ -39,7 +48,8 @@ class Prepared:
         ).first().asDict()
         kept = r["source_rows"] - (r["dropped_blank_keys"] or 0)
         return r | {"duplicate_rows_resolved": kept - r["distinct_ids"], "rows_prepared": r["distinct_ids"], "source_cols": len(self.source.columns),
-                    "requested_fields": self.requested, "missing_requested_fields": self.missing_fields, "selected_fields": tuple(self.df.columns)}
+                    "requested_fields": self.requested, "missing_requested_fields": self.missing_fields, "selected_fields": tuple(self.df.columns),
+                    "source_type": self.origin.get("source_type", "memory"), "format": self.origin.get("format"), "states": self.origin.get("states"), "bmf_vintage": self.vintage()}
 
 
 def prepare(dim: DataFrame, vars=FIELDS, strict: bool = False, id: str = "EIN2", tie: list[str] | None = None) -> Prepared:

@@ -135,7 +135,7 @@ def resolved_tables(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r.request, r.table, cardinality(r.table), r.known) for r in got], "request string, table string, cardinality string, known boolean")
 
 
-@query("""SELECT * FROM (VALUES ('release', '/m/efile_' || 'V' || '/F9-P00-T00-HEADER-2021.parquet'), ('csv', '/r/F9-P00-T00-HEADER-2021.CSV'), ('cache', '/c/990PF/2021/F9-P00-T00-HEADER-2021.parquet'), ('dimension', '/d/bmf_unified.parquet')) AS v(what, path)""")
+@query("""SELECT * FROM (VALUES ('release', '/m/efile_' || 'V' || '/F9-P00-T00-HEADER-2021.parquet'), ('csv', '/r/F9-P00-T00-HEADER-2021.CSV'), ('cache', '/c/990PF/2021/F9-P00-T00-HEADER-2021.parquet'), ('dimension', '/d/bmf_unified_geocoded.parquet')) AS v(what, path)""")
 def source_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Where files lie: the default release (its name as V), a root of CSV files, a cache, a dimension."""
     release = data_source(mirror="/m").path(HEADER, 2021).replace(data_source(mirror="/m").version or default_version(), "V")
@@ -189,13 +189,16 @@ def dim_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_DIM} SELECT "EIN2", org_name_display, geo_county, asset_amount, ruling_year FROM d""")
 def dim_states(spark: SparkSession, sf: str) -> DataFrame:
-    """From files of five states, stacked without their partition column."""
+    """From files of five states, Parquet and CSV, stacked without their partition column."""
     root, d = shared_folder(spark, "states"), _dimension(spark, sf)
     asked = resolve_states(["ca", "NY", "TX", "wa", "OR"])
     for k, s in enumerate(asked):
         part = d.where(F.pmod(F.hash(F.upper("EIN2")), F.lit(len(asked))) == k)
-        (part.withColumn("state", F.lit(s)) if k % 2 else part).write.parquet(f"{root}/state={s}.parquet")
-    return longs(retrieve(spark, root, _DIM_FIELDS, states=asked).df)
+        if s == "NY":
+            part.write.option("header", True).csv(f"{root}/bmf_master_{s}.csv")
+        else:
+            (part.withColumn("state", F.lit(s)) if k % 2 else part).write.parquet(f"{root}/state={s}")
+    return longs(retrieve(spark, root, _DIM_FIELDS, states=asked).df.withColumn("asset_amount", F.col("asset_amount").cast("double")))
 
 
 @query(f"""WITH {_DIM} SELECT "EIN2", org_name_display, geo_county, asset_amount, ruling_year FROM d WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
@@ -216,14 +219,30 @@ def dim_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-@query("SELECT * FROM (VALUES ('bmf_unified.parquet', 1200::BIGINT), ('bmf_unified.csv', 3400), ('else', NULL)) AS v(name, size)")
+@query("""SELECT 'bmf_unified_geocoded.parquet' AS name, count(*) AS size FROM customer UNION ALL SELECT 'bmf_unified_geocoded.csv', count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'else', NULL""")
 def dim_build(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes that a build's manifest publishes."""
-    at = f"{shared_folder(spark, 'build')}/manifest.json"
-    text = json.dumps({"files": {"bmf_unified.parquet": {"bytes": 1200}, "bmf_unified.csv": {"bytes": 3400}}}, indent=1)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(at)
-    m = build_manifest(spark, f"{at}/part-*")
-    return spark.createDataFrame([(n, manifest_bytes(m, n)) for n in ("bmf_unified.parquet", "bmf_unified.csv", "else")], "name string, size long")
+    """Sizes that a build's manifest publishes: here, counts of customers and of their nations."""
+    at = dimension_url(shared_folder(spark, "build"), "manifest")
+    names = [dimension_url("", f).lstrip("/") for f in ("parquet", "csv")]
+    sizes = table(spark, sf, "customer").agg(F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("k"))
+    sizes.select(F.format_string('{"files": {"%s": {"bytes": %d}, "%s": {"bytes": %d}}}', F.lit(names[0]), "n", F.lit(names[1]), "k").alias("value")).coalesce(1).write.text(at)
+    m = build_manifest(spark, at)
+    return spark.createDataFrame([(n, manifest_bytes(m, n)) for n in (*names, "else")], "name string, size long")
+
+
+@query(f"""WITH {_DIM} SELECT 'unified_parquet' AS source_type, count(*) AS rows_prepared, '2026-08' AS bmf_vintage, NULL::VARCHAR AS states FROM d
+UNION ALL SELECT 'unified_csv', count(*), '2026-06', NULL FROM d UNION ALL SELECT 'state_marts', count(*) FILTER (c_custkey % 2 = 0), '2026-06', 'CA' FROM d""")
+def dim_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds laid out as they are published: of Parquet and a manifest, of CSV alone, and one state's file."""
+    d = _dimension(spark, sf).withColumn("bmf_vintage_ym", F.lit("2026-06"))
+    roots = [shared_folder(spark, f"published-{k}") for k in range(3)]
+    d.write.parquet(dimension_url(roots[0]))
+    spark.createDataFrame([('{"vintage": "2026-08"}',)], "value string").coalesce(1).write.text(dimension_url(roots[0], "manifest"))
+    d.write.option("header", True).csv(dimension_url(roots[1], "csv"))
+    d.where(F.substring("EIN2", 5, 20).cast("long") % 2 == 0).write.parquet(f"{roots[2]}/state=CA")
+    found = [retrieve(spark, r, _DIM_FIELDS, states=s).diagnostics() for r, s in zip(roots, (None, None, "ca"))]
+    names = ("source_type", "rows_prepared", "bmf_vintage", "states")
+    return spark.createDataFrame([tuple(x[n] for n in names) for x in found], "source_type string, rows_prepared long, bmf_vintage string, states string")
 
 
 # ---- frames -------------------------------------------------------------------------

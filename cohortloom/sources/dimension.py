@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import warnings
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.values import fold, quoted
 from ..operators.dimension import FIELDS, HELPERS, Prepared, prepare
 from ..operators.membership import semi
 from ..plans.catalog import format_of
+from .keyed import keep_entities
 from .stage import Staged, exists, stage
 
 # Codes of the state files.
@@ -22,16 +24,26 @@ STATES = (
 )
 
 
+# How a build lies under its root, and its states' files under theirs.
+FILES = {"parquet": "bmf_unified_geocoded.parquet", "csv": "bmf_unified_geocoded.csv", "manifest": "_manifest.json"}
+STATE_FILES = ("state={}", "state={}/part-0.parquet", "state%3D{}/part-0.parquet", "state={}.parquet", "bmf_master_{}.csv")
+FORMATS = ("auto", "parquet", "states", "csv")
+
+
 def dimension_fields() -> tuple[str, ...]:
     return FIELDS
 
 
 def dimension_url(root: str, format: str = "parquet") -> str:
     """Where a build's file, or its manifest, lies under ``root``."""
-    names = {"parquet": "bmf_unified.parquet", "csv": "bmf_unified.csv", "manifest": "manifest.json"}
-    if format not in names:
-        raise ValueError(f"format must be one of {', '.join(names)}")
-    return f"{root.rstrip('/')}/{names[format]}"
+    if format not in FILES:
+        raise ValueError(f"format must be one of {', '.join(FILES)}")
+    return f"{root.rstrip('/')}/{FILES[format]}"
+
+
+def state_file(spark: SparkSession, root: str, state: str) -> str | None:
+    """A state's file, Parquet or CSV, in any of the published layouts; None if there is none."""
+    return next((at for f in STATE_FILES if exists(spark, at := f"{root.rstrip('/')}/{f.format(state)}")), None)
 
 
 def resolve_states(states=None) -> list[str]:
@@ -44,8 +56,23 @@ def resolve_states(states=None) -> list[str]:
 
 
 def build_manifest(spark: SparkSession, path: str) -> dict:
-    """A build's manifest, a JSON object, read through Spark."""
-    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    """A build's manifest, a JSON object, in a file or in the parts of a folder.
+
+    Read by the file system: Spark's readers pass over names that begin with an underscore.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.globStatus(at) or ()]
+    files = [y.getPath() for x in found for y in fs.listStatus(x) if y.isFile() and (y.getPath().equals(x) or not y.getPath().getName().startswith(("_", ".")))]
+    text = ""
+    for f in files:
+        stream = fs.open(f)
+        try:
+            text += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    return json.loads(text)
 
 
 def manifest_bytes(manifest: dict, name: str) -> int | None:
@@ -69,7 +96,7 @@ def stage_dimension(spark: SparkSession, root: str, folder: str, format: str = "
 
 def read_file(spark: SparkSession, path: str, vars=None) -> DataFrame:
     """Parquet or CSV; of ``vars`` and the helpers, those that the file has."""
-    if format_of(path) == "parquet":
+    if not path.lower().endswith(".csv"):
         df = spark.read.parquet(path)
     else:
         df = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
@@ -89,34 +116,54 @@ def stack_states(frames: list[DataFrame]) -> DataFrame:
     return out.drop("state")
 
 
-def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None, states=None, strict: bool = False, id: str = "EIN2", manifest: dict | None = None) -> Prepared:
-    """A prepared dimension from a table, a file, or a folder of ``state=XX`` files; ``ids`` (values or a table) narrows it first.
+def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None, states=None, strict: bool = False, id: str = "EIN2", manifest: dict | None = None, format: str = "auto") -> Prepared:
+    """A prepared dimension from a table, a file, or a build's folder; ``ids`` (values or a table) narrows it first.
 
-    State files that aren't there are left out with a warning. All of them together are a build of their own that may lag
-    behind the unified file: that is warned of, in numbers if the build's ``manifest`` is given (a job that counts them).
+    Of a folder ``auto`` takes the state files if ``states`` are asked for; else the unified Parquet file, the unified CSV
+    file, or all state files, whichever is there first. State files that aren't there are left out with a warning. All of them together
+    are a build of their own that may lag behind the unified file: that is warned of, in numbers if the build's
+    ``manifest`` tells them (a job that counts). The manifest that lies beside a unified file is read if none is given.
+    Diagnostics tell where the rows come from, and the manifest's vintage or else the newest in the data.
     """
+    if format not in FORMATS:
+        raise ValueError(f"format must be one of {', '.join(FORMATS)}")
+    origin: dict = {"source_type": "memory", "format": None, "states": None}
     if isinstance(source, DataFrame):
         df = source
-    elif states is not None:
-        asked = resolve_states(states)
-        paths = {s: f"{source.rstrip('/')}/state={s}.parquet" for s in asked}
-        there = [s for s in asked if exists(spark, paths[s])]
-        if not there:
-            raise ValueError(f"no state file of those asked for under {source}")
-        if len(there) < len(asked):
-            warnings.warn(f"state files left out, as they aren't there: {', '.join(s for s in asked if s not in there)}", stacklevel=2)
-        df = stack_states([read_file(spark, paths[s], vars) for s in there])
-        if len(there) == len(STATES):
-            warn_lag(manifest.get("rows") if manifest else None, df)
-    else:
+    elif states is None and format == "auto" and source.lower().endswith((".parquet", ".csv")):
         df = read_file(spark, source, vars)
+        origin |= {"source_type": "file", "format": format_of(source)}
+    else:
+        if format == "auto":
+            there = [f for f in ("parquet", "csv") if exists(spark, dimension_url(source, f))]
+            format = "states" if states is not None or not there else there[0]
+        if format == "states":
+            df, held = _states(spark, source, vars, states)
+            if len(held) == len(STATES):
+                warn_lag(manifest.get("rows") if manifest else None, df)
+            origin |= {"source_type": "state_marts", "format": "states", "states": ",".join(held)}
+        else:
+            at = dimension_url(source, "manifest")
+            manifest = manifest or (build_manifest(spark, at) if exists(spark, at) else None)
+            df = read_file(spark, dimension_url(source, format), vars)
+            origin |= {"source_type": f"unified_{format}", "format": format}
+    origin |= {"vintage": (manifest or {}).get("vintage"), "whole": df}
     if ids is not None:
         if isinstance(ids, DataFrame):
             df = semi(df.withColumn(id, fold(quoted(id))), ids.select(fold(quoted(ids.columns[0])).alias("kept_id")), id)
         else:
-            wanted = [str(i).strip().upper() for i in ids]
-            df = df.where(fold(quoted(id)).isin(*wanted) if wanted else F.lit(False))
-    return prepare(df, vars, strict, id)
+            df = keep_entities(df, id, list(ids))
+    return replace(prepare(df, vars, strict, id), origin=origin)
+
+
+def _states(spark: SparkSession, root: str, vars, states) -> tuple[DataFrame, list[str]]:
+    asked = resolve_states(states)
+    found = {s: at for s in asked if (at := state_file(spark, root, s)) is not None}
+    if not found:
+        raise ValueError(f"no state file of those asked for under {root}")
+    if len(found) < len(asked):
+        warnings.warn(f"state files left out, as they aren't there: {', '.join(s for s in asked if s not in found)}", stacklevel=3)
+    return stack_states([read_file(spark, at, vars) for at in found.values()]), list(found)
 
 
 def warn_lag(unified_rows: int | None, states: DataFrame) -> None:

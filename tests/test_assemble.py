@@ -193,10 +193,10 @@ def test_staged_dimension(spark, tmp_path):
 
     root = tmp_path / "build"
     root.mkdir()
-    (root / "bmf_unified.csv").write_text("EIN2,org_name_display\nein-1,one\n")
-    (root / "manifest.json").write_text(json.dumps({"files": {"bmf_unified.csv": {"bytes": 3}}}))
+    (root / "bmf_unified_geocoded.csv").write_text("EIN2,org_name_display\nein-1,one\n")
+    (root / "_manifest.json").write_text(json.dumps({"files": {"bmf_unified_geocoded.csv": {"bytes": 3}}}))
     assert stage_dimension(spark, str(root), str(tmp_path / "cache"), "csv", retry_max=1, backoff=0).status == "failed"
-    (root / "manifest.json").write_text(json.dumps({"files": {"bmf_unified.csv": {"bytes": (root / "bmf_unified.csv").stat().st_size}}}))
+    (root / "_manifest.json").write_text(json.dumps({"files": {"bmf_unified_geocoded.csv": {"bytes": (root / "bmf_unified_geocoded.csv").stat().st_size}}}))
     got = stage_dimension(spark, str(root), str(tmp_path / "cache"), "csv", retry_max=1, backoff=0)
     assert got.status == "downloaded"
     assert [tuple(r) for r in retrieve(spark, got.path, ("EIN2", "org_name_display")).df.collect()] == [("EIN-1", "one")]
@@ -232,3 +232,42 @@ def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.shared_folder(Session(), "x")
+
+
+def test_published_layouts_and_fallbacks(spark, tmp_path):
+    import json
+
+    from cohortloom.sources import dimension
+
+    vars = ("EIN2", "org_name_display")
+    rows = [(f"EIN-12-000000{i}", f"n{i}", "2026-06" if i else "2025-01", "current") for i in range(4)]
+    df = spark.createDataFrame(rows, "EIN2 string, org_name_display string, bmf_vintage_ym string, bmf_source string")
+    df.write.parquet(str(tmp_path / "bmf_unified_geocoded.parquet"))
+    df.limit(3).coalesce(1).toPandas().to_csv(tmp_path / "bmf_unified_geocoded.csv", index=False)
+    (tmp_path / "_manifest.json").write_text(json.dumps({"vintage": "2026_08", "files": {}}))
+    (tmp_path / "state=CA").mkdir()
+    df.limit(2).toPandas().to_parquet(tmp_path / "state=CA" / "part-0.parquet", index=False)
+    df.limit(1).toPandas().to_csv(tmp_path / "bmf_master_NY.csv", index=False)
+
+    def got(**options):
+        p = dimension.retrieve(spark, str(tmp_path), vars, **options)
+        d = p.diagnostics()
+        return p.df.count(), d["source_type"], d["format"], d["states"], d["bmf_vintage"]
+
+    assert got() == (4, "unified_parquet", "parquet", None, "2026_08")
+    assert got(format="csv") == (3, "unified_csv", "csv", None, "2026_08")
+    assert got(states="ca") == (2, "state_marts", "states", "CA", "2026-06")
+    assert got(states="ny") == (1, "state_marts", "states", "NY", "2025-01")
+    assert got(states="ny", ids=["nobody"]) == (0, "state_marts", "states", "NY", "2025-01")
+    with pytest.warns(UserWarning, match="left out"):
+        assert got(format="states") == (2, "state_marts", "states", "CA,NY", "2026-06")
+    only = tmp_path / "only"
+    only.mkdir()
+    df.toPandas().to_csv(only / "bmf_unified_geocoded.csv", index=False)
+    p = dimension.retrieve(spark, str(only), vars)
+    assert (p.df.count(), p.diagnostics()["source_type"], p.vintage()) == (4, "unified_csv", "2026-06")
+    assert dimension.retrieve(spark, df, vars).diagnostics()["source_type"] == "memory"
+    with pytest.raises(ValueError):
+        dimension.retrieve(spark, str(only), vars, format="xml")
+    with pytest.raises(ValueError):
+        dimension.retrieve(spark, str(tmp_path / "none"), vars)
