@@ -135,8 +135,8 @@ def panelize(spark: SparkSession, tables, years, source: DataSource, frame: Samp
         df = joined.df
     applied = apply_frame(df, frame, dictionary=d)
     ledger = frame.ledger
-    for step, detail, before, after in applied.steps:
-        ledger = ledger.add(step, detail, before, after)
+    for (step, detail, before, after), make in zip(applied.steps, applied.makes):
+        ledger = ledger.add(step, detail, before, after, make)
     return Panel(applied.df, replace(frame, ledger=ledger), False, tuple(reads), tuple(joins), source)
 
 

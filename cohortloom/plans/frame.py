@@ -309,6 +309,7 @@ class Applied:
     frame: SampleFrame
     steps: tuple[tuple[str, str, DataFrame, DataFrame], ...]
     skipped: tuple[str, ...] = ()
+    makes: tuple[Callable[[DataFrame], DataFrame] | None, ...] = ()
 
     def checks(self) -> DataFrame:
         return run_checks(self.df, self.frame)
@@ -325,32 +326,40 @@ def apply_frame(df: DataFrame, frame: SampleFrame, columns: bool = True, diction
     steps: list[tuple[str, str, DataFrame, DataFrame]] = []
     skipped: list[str] = []
 
-    def step(kind: str, rule: Rule, after: DataFrame) -> DataFrame:
-        steps.append((f"{kind}: {rule.name}", rule.detail(), df, after))
+    makes: list[Callable[[DataFrame], DataFrame] | None] = []
+
+    def step(name: str, detail: str, make: Callable[[DataFrame], DataFrame], lazy: bool = True) -> DataFrame:
+        after = make(df)
+        steps.append((name, detail, df, after))
+        makes.append(make if lazy else None)
         return after
 
+    def filtered(rule: Rule) -> Callable[[DataFrame], DataFrame]:
+        def make(d: DataFrame) -> DataFrame:
+            wide, keep = _evaluate(d, frame, rule)
+            return wide.where(keep).drop("__label")
+
+        return make
+
     for r in frame.of("subset"):
-        df = step("subset", r, keep_ids(df, r.ids, frame.entity))
+        df = step(f"subset: {r.name}", r.detail(), lambda d, r=r: keep_ids(d, r.ids, frame.entity))
     extra = [Rule(f"adhoc:{k}", "filter", predicate=Predicate.of(frame.column_of(k), "in", v)) for k, v in adhoc.items()]
     for r in frame.of("filter") + extra:
-        found = _evaluate(df, frame, r)
-        if found is None:
+        if _evaluate(df, frame, r) is None:
             skipped.append(r.name)
             continue
-        wide, keep = found
-        df = step("filter", r, wide.where(keep).drop("__label"))
+        df = step(f"filter: {r.name}", r.detail(), filtered(r))
     for r in frame.of("dedup"):
-        df = step("dedup", r, deduplicate(df, frame.entity, frame.time, **{k: v for k, v in r.options.items() if k in ("group", "partial", "amended", "timestamp")}))
+        some = {k: v for k, v in r.options.items() if k in ("group", "partial", "amended", "timestamp")}
+        df = step(f"dedup: {r.name}", r.detail(), lambda d, some=some: deduplicate(d, frame.entity, frame.time, **some))
     for r in frame.of("refresh"):
-        df = step("refresh", r, refresh(df, r))
+        df = step(f"refresh: {r.name}", r.detail(), lambda d, r=r: refresh(d, r), lazy=False)
     selects = frame.of("select")
     if columns and selects:
         pooled = {k: [x for r in selects for x in as_list(r.options.get(k))] for k in ("scope", "tables", "vars", "drop")}
         names = (dictionary or Dictionary()).select(df.columns, pooled["scope"], pooled["tables"], pooled["vars"], pooled["drop"])
-        after = df.select(*[quoted(c) for c in names])
-        steps.append(("select", "column selection", df, after))
-        df = after
-    return Applied(df, frame, tuple(steps), tuple(skipped))
+        df = step("select", "column selection", lambda d: d.select(*[quoted(c) for c in names]))
+    return Applied(df, frame, tuple(steps), tuple(skipped), tuple(makes))
 
 
 def refresh(df: DataFrame, rule: Rule) -> DataFrame:

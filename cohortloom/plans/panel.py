@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 
 from ..functions.predicates import as_list
+from ..functions.values import is_number, kinds
 from ..operators import accounting, balance, dedup, impute, membership, normalize, smooth
 from .frame import Applied, SampleFrame, apply_frame
 
@@ -36,40 +37,42 @@ class Panel:
     def time(self) -> str:
         return self.frame.time
 
-    def _with(self, step: str, df: DataFrame, stale: bool, **args) -> Panel:
+    def _with(self, step: str, make, stale: bool, lazy: bool = True, **args) -> Panel:
+        """``make`` gives the rows after the step; ``lazy`` if it does so without running a job."""
+        df = make(self.df)
         detail = "; ".join(f"{k}={','.join(map(str, as_list(v)[:3]))}" for k, v in args.items() if v is not None)
-        frame = replace(self.frame, ledger=self.frame.ledger.add(step, detail, self.df, df))
+        frame = replace(self.frame, ledger=self.frame.ledger.add(step, detail, self.df, df, make if lazy else None))
         return replace(self, df=df, frame=frame, fresh=self.fresh and not stale, summary=None if stale else self.summary)
 
     def deduplicate(self, **args) -> Panel:
-        return self._with("deduplicate", dedup.deduplicate(self.df, self.entity, self.time, **args), True, **args)
+        return self._with("deduplicate", lambda df: dedup.deduplicate(df, self.entity, self.time, **args), True, **args)
 
     def _known(self) -> dict:
         """What ``describe`` has found out about these very rows, for verbs that would find it out again."""
         return {"classification": self.summary.classification, "years": self.summary.years} if self.summary else {}
 
     def impute(self, **args) -> Panel:
-        return self._with("impute", impute.impute(self.df, time=self.time, id=self.entity, **{**self._known(), **args}), True, **args)
+        return self._with("impute", lambda df: impute.impute(df, time=self.time, id=self.entity, **{**self._known(), **args}), True, lazy=False, **args)
 
     def complete(self, **args) -> Panel:
-        return self._with("complete", impute.complete(self.df, time=self.time, id=self.entity, **{**self._known(), **args}), True, **args)
+        return self._with("complete", lambda df: impute.complete(df, time=self.time, id=self.entity, **{**self._known(), **args}), True, lazy=False, **args)
 
     def balance(self, **args) -> Panel:
         observed = self.summary.years if self.summary else None
-        return self._with("balance", balance.balance(self.df, time=self.time, id=self.entity, **{"observed": observed, **args}).df, True, **args)
+        return self._with("balance", lambda df: balance.balance(df, time=self.time, id=self.entity, **{"observed": observed, **args}).df, True, lazy=False, **args)
 
     def smooth(self, vars, **args) -> Panel:
-        return self._with("smooth", smooth.smooth(self.df, vars, time=self.time, id=self.entity, **args), False, vars=vars, **args)
+        return self._with("smooth", lambda df: smooth.smooth(df, vars, time=self.time, id=self.entity, **args), False, lazy=is_number(kinds(self.df).get(self.time, "")), vars=vars, **args)
 
     def label(self, **args) -> Panel:
         known = {"classification": self.summary.classification} if self.summary else {}
-        return self._with("label", membership.label(self.df, time=self.time, id=self.entity, **{**known, **args}), False)
+        return self._with("label", lambda df: membership.label(df, time=self.time, id=self.entity, **{**known, **args}), False, lazy=bool(known))
 
     def normalize(self, **args) -> Panel:
-        return self._with("normalize", normalize.panel_normalize(self.df, **args).df, False, **args)
+        return self._with("normalize", lambda df: normalize.panel_normalize(df, **args).df, False, **args)
 
     def reconcile(self, **args) -> Panel:
-        return self._with("reconcile", accounting.reconcile(self.df, **args), False, **args)
+        return self._with("reconcile", lambda df: accounting.reconcile(df, **args), False, **args)
 
     def accounting_check(self, **args) -> DataFrame:
         return accounting.accounting_check(self.df, id=self.entity, time=self.time, **args)
@@ -95,9 +98,13 @@ class Panel:
             if values is not None:
                 frame = govern(frame, column, as_list(values))
         known = at.summary.classification if at.summary else None
-        out = membership.filter_members(at.df, panel_type, spell, min_obs, known, at.time, at.entity)
+
+        def make(df: DataFrame) -> DataFrame:
+            return membership.filter_members(df, panel_type, spell, min_obs, known, at.time, at.entity)
+
+        out = make(at.df)
         detail = "; ".join(f"{k}={','.join(map(str, as_list(v)))}" for k, v in (("type", panel_type), ("spell", spell), ("min_obs", min_obs)) if v is not None)
-        return replace(at, df=out, frame=replace(frame, ledger=frame.ledger.add("filter", detail, at.df, out)), summary=None)
+        return replace(at, df=out, frame=replace(frame, ledger=frame.ledger.add("filter", detail, at.df, out, make if known is not None else None)), summary=None)
 
     def apply(self, **adhoc) -> Applied:
         return apply_frame(self.df, self.frame, **adhoc)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,12 @@ def _text_orders(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderkey").cast("string")).alias("number"))
 
 
+def _write_years(parts: list[tuple[DataFrame, str]]) -> None:
+    """Write table-years, some at a time: each is a small job that leaves most of a cluster idle."""
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda p: p[0].write.parquet(p[1]), parts))
+
+
 def _years(orders: DataFrame) -> list[int]:
     return [r["y"] for r in orders.select("y").distinct().sort("y").collect()]
 
@@ -96,9 +102,8 @@ def read_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows before and after reading, of table-years that hold each row twice."""
     root, o = shared_folder(spark, "counts"), _text_orders(spark, sf)
     years = _years(o)
-    for y in years:
-        part = o.where(F.col("y") == y).withColumnRenamed("y", "TAX_YEAR")
-        part.unionAll(part).write.parquet(f"{root}/{HEADER}-{y}.parquet")
+    parts = [(y, o.where(F.col("y") == y).withColumnRenamed("y", "TAX_YEAR")) for y in years]
+    _write_years([(p.unionAll(p), f"{root}/{HEADER}-{y}.parquet") for y, p in parts])
     return longs(read_manifest(spark, read_tables(spark, "P00", years, data_source(root))).select(
         "year", "cardinality", "status", "rows_source", "cols_source", "rows_selected", "cols_selected", "exact_duplicates_removed"))
 
@@ -122,31 +127,41 @@ def stack_decimals(spark: SparkSession, sf: str) -> DataFrame:
 # ---- catalog, as tables -----------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('990', 136::BIGINT), ('990PF', 84)) AS v(form, n)")
+@query("SELECT form, n, n * (SELECT count(DISTINCT year(o_orderdate)) FROM orders) AS table_years FROM (VALUES ('990', 136::BIGINT), ('990PF', 84)) AS v(form, n)")
 def catalog_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Published tables of both families."""
+    """Published tables of both families, and table-years over the years of all orders."""
+    years = table(spark, sf, "orders").agg(F.count_distinct(F.year("o_orderdate")).alias("k"))
     parts = [table_catalog(spark, form=f).agg(F.count("*").alias("n")).select(F.lit(form_family(f)).alias("form"), "n") for f in ("990", " pf")]
-    return parts[0].unionAll(parts[1])
+    return parts[0].unionAll(parts[1]).crossJoin(F.broadcast(years)).select("form", "n", (F.col("n") * F.col("k")).alias("table_years"))
 
 
-@query("SELECT * FROM (VALUES ('P00', 'F9-P00-T00-HEADER', '1x1', TRUE), ('P08', 'F9-P08-T00-REVENUE', '1x1', TRUE), ('new-p01-t02-x', 'NEW-P01-T02-X', '1xm', FALSE), ('sa-p06-t99-supplemental-info', 'SA-P06-T99-SUPPLEMENTAL-INFO', 'supplemental', TRUE)) AS v(request, \"table\", cardinality, known)")
+@query("""SELECT v.*, count(*) AS "rows" FROM (VALUES ('P00', 'F9-P00-T00-HEADER', '1x1', TRUE), ('new-p01-t02-x', 'NEW-P01-T02-X', '1xm', FALSE)) AS v(request, "table", cardinality, known), orders GROUP BY ALL""")
 def resolved_tables(spark: SparkSession, sf: str) -> DataFrame:
-    got = resolve_tables(["P00", "P08", "new-p01-t02-x", "sa-p06-t99-supplemental-info"], data_source("/data"))
-    return spark.createDataFrame([(r.request, r.table, cardinality(r.table), r.known) for r in got], "request string, table string, cardinality string, known boolean")
+    """A known and an unknown table, found and read for every year of the orders."""
+    root, o = shared_folder(spark, "resolved"), _text_orders(spark, sf)
+    years = _years(o)
+    _write_years([(o.where(F.col("y") == y).drop("y"), f"{root}/{t}-{y}.parquet") for y in years for t in (HEADER, "NEW-P01-T02-X")])
+    reads = read_tables(spark, ["P00", "new-p01-t02-x"], years, data_source(root), unique_rows=False)
+    m = read_manifest(spark, reads).groupBy("request", "table").agg(F.sum("rows_source").alias("rows"))
+    known = spark.createDataFrame([(r.request, cardinality(r.table), r.known) for r in resolve_tables(["P00", "new-p01-t02-x"], data_source(root))], "request string, cardinality string, known boolean")
+    return m.join(known, "request").select("request", "table", "cardinality", "known", "rows")
 
 
-@query("""SELECT * FROM (VALUES ('release', '/m/efile_' || 'V' || '/F9-P00-T00-HEADER-2021.parquet'), ('csv', '/r/F9-P00-T00-HEADER-2021.CSV'), ('cache', '/c/990PF/2021/F9-P00-T00-HEADER-2021.parquet'), ('dimension', '/d/bmf_unified_geocoded.parquet')) AS v(what, path)""")
+@query("""SELECT year(o_orderdate)::BIGINT AS year, '/m/efile_V/F9-P00-T00-HEADER-' || year(o_orderdate) || '.parquet' AS release, '/r/F9-P00-T00-HEADER-' || year(o_orderdate) || '.CSV' AS csv,
+'/c/990PF/' || year(o_orderdate) || '/F9-P00-T00-HEADER-' || year(o_orderdate) || '.parquet' AS cache, count(*) AS n FROM orders GROUP BY ALL""")
 def source_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Where files lie: the default release (its name as V), a root of CSV files, a cache, a dimension."""
-    release = data_source(mirror="/m").path(HEADER, 2021).replace(data_source(mirror="/m").version or default_version(), "V")
-    rows = [("release", release), ("csv", data_source("/r", format="CSV").path(HEADER, 2021)), ("cache", data_source("/x", form="PF").cache_path("/c", HEADER, 2021)), ("dimension", dimension_url("/d/"))]
-    return spark.createDataFrame(rows, "what string, path string")
+    """Where the files of each year of the orders lie: the default release (its name as V), a root of CSV files, a cache; and how many rows go there."""
+    counts = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    release, csv, cache = data_source(mirror="/m"), data_source("/r", format="CSV"), data_source("/x", form="PF")
+    rows = [(y, release.path(HEADER, y).replace(release.version or default_version(), "V"), csv.path(HEADER, y), cache.cache_path("/c", HEADER, y)) for y in _years(_text_orders(spark, sf))]
+    return longs(spark.createDataFrame(rows, "year int, release string, csv string, cache string").join(counts, "year"))
 
 
-@query("SELECT * FROM (VALUES (10.0::DOUBLE, NULL::BIGINT, 10::BIGINT), (10, 52428800, 100), (1e12, 1, 2147483)) AS v(timeout, size, seconds)")
+@query("SELECT o_orderpriority AS priority, count(*) * 1000000 AS size, least(greatest(30, ceil(count(*) * 1000000 / 524288)), 2147483)::BIGINT AS seconds FROM orders GROUP BY ALL")
 def transfer_budget(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(t, n, budget(t, n)) for t, n in ((10.0, None), (10.0, 100 * 512 * 1024), (1e12, 1))]
-    return spark.createDataFrame(rows, "timeout double, size long, seconds long")
+    """Seconds that files of a million bytes an order may take, one file a priority."""
+    sizes = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg((F.count("*") * 1_000_000).alias("size")).collect()
+    return spark.createDataFrame([(r["priority"], r["size"], budget(30.0, r["size"])) for r in sizes], "priority string, size long, seconds long")
 
 
 # ---- staging ----------------------------------------------------------------------
@@ -270,9 +285,13 @@ def frame_updated_rules(spark: SparkSession, sf: str) -> DataFrame:
     return apply_frame(filings(spark, sf), f.update_rule("price", values=200000.0).remove_rule("form")).df.select("rec", "id")
 
 
-@query("SELECT * FROM (VALUES ('entity', 'id'), ('time', 't'), ('unique_record', 'rec'), ('region', 'geo')) AS v(role, \"column\")")
+@query("SELECT 'entity' AS role, 'id' AS \"column\" UNION ALL SELECT 'time', 't' UNION ALL SELECT lower(r_name), 'nations_' || count(*) FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def frame_keys(spark: SparkSession, sf: str) -> DataFrame:
-    f = create_frame(entity="id", time="t").add_key("unique_record", "number").add_key("unique_record", "rec").add_key("region", "geo")
+    """A role for each region; the last column given to it counts."""
+    f = create_frame(entity="id", time="t")
+    held = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.lower("r_name").alias("role")).count()
+    for r in held.collect():
+        f = f.add_key(r["role"], "else").add_key(r["role"], f"nations_{r['count']}")
     return spark.createDataFrame([(k["role"], k["column"]) for k in f.get_keys()], "role string, column string")
 
 
@@ -320,10 +339,9 @@ def panelize_pf_orders(spark: SparkSession, sf: str) -> DataFrame:
     root, o = shared_folder(spark, "pf"), _text_orders(spark, sf)
     keys = ["EIN2", "OBJECTID", F.col("y").cast("string").alias("TAX_YEAR")]
     years = _years(o)
-    for y in years:
-        part = o.where(F.col("y") == y)
-        part.select(*keys, "RETURN_TYPE").write.parquet(f"{root}/{HEADER}-{y}.parquet")
-        part.select(*keys, F.col("amount").alias("PF_01_REV_TOT_BOOKS")).write.parquet(f"{root}/PF-P01-T00-REVENUE-EXPENSE-{y}.parquet")
+    parts = [(y, o.where(F.col("y") == y)) for y in years]
+    _write_years([(p.select(*keys, "RETURN_TYPE"), f"{root}/{HEADER}-{y}.parquet") for y, p in parts]
+                 + [(p.select(*keys, F.col("amount").alias("PF_01_REV_TOT_BOOKS")), f"{root}/PF-P01-T00-REVENUE-EXPENSE-{y}.parquet") for y, p in parts])
     frame = create_frame("pf", record="OBJECTID", eins=[f"ein-{k}" for k in (1, 2, 4, 5, 7, 10)]).add_rule("filter", column="PF_01_REV_TOT_BOOKS", op=">", values=1000.0)
     p = panelize_pf(spark, ["P00", "PF01"], years, root, frame=frame, filters={"EIN2": [f"ein-{k}" for k in (1, 2, 4, 5, 7, 8)]})
     return longs(p.df.select("EIN2", "OBJECTID", "TAX_YEAR", "PF_01_REV_TOT_BOOKS"))
@@ -334,9 +352,8 @@ def panelize_joins(spark: SparkSession, sf: str) -> DataFrame:
     """The record of a panel's joins."""
     root, o = shared_folder(spark, "joins"), _text_orders(spark, sf)
     years = _years(o)
-    for y in years:
-        part = o.where(F.col("y") == y).withColumn("TAX_YEAR", F.col("y").cast("string"))
-        part.select("EIN2", "OBJECTID", "TAX_YEAR", "RETURN_TYPE").write.parquet(f"{root}/{HEADER}-{y}.parquet")
-        part.select("EIN2", "OBJECTID", "TAX_YEAR", F.col("amount").alias("F9_01_REV_TOT_CY")).write.parquet(f"{root}/{SUMMARY}-{y}.parquet")
+    parts = [(y, o.where(F.col("y") == y).withColumn("TAX_YEAR", F.col("y").cast("string"))) for y in years]
+    _write_years([(p.select("EIN2", "OBJECTID", "TAX_YEAR", "RETURN_TYPE"), f"{root}/{HEADER}-{y}.parquet") for y, p in parts]
+                 + [(p.select("EIN2", "OBJECTID", "TAX_YEAR", F.col("amount").alias("F9_01_REV_TOT_CY")), f"{root}/{SUMMARY}-{y}.parquet") for y, p in parts])
     p = panelize(spark, ["P00", "P01"], years, data_source(root))
     return longs(spark.createDataFrame([(j["left"], j["right"], j["year"], j["expected_cardinality"]) for j in p.joins], "left string, right string, year long, expected_cardinality string"))
