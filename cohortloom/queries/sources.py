@@ -17,7 +17,7 @@ from ..plans.panel import Panel
 from ..sources.dimension import build_manifest, dimension_url, manifest_bytes, resolve_states, retrieve
 from ..sources.keyed import store_keyed
 from ..sources.shared import shared_folder
-from ..sources.stage import budget, download_manifest, download_tables, retrieval_log, write_log
+from ..sources.stage import Staged, budget, download_manifest, download_tables, retrieval_log, write_log
 from ..sources.tables import dims, read_manifest, read_table, read_tables, scan, stack
 from .core import C_SQL, F_SQL, _dimension, filings, longs, panel, query, table
 
@@ -180,6 +180,17 @@ def staged_tables(spark: SparkSession, sf: str) -> DataFrame:
     return longs(download_manifest(spark, staged).select("year", "status", "attempts"))
 
 
+@query("""SELECT kind, count(*) AS resources, count(*) FILTER (y % 2 = 0) AS downloaded, 0::BIGINT AS reused, count(*) FILTER (y % 2 = 1) AS failed, sum(n)::BIGINT AS bytes FROM
+(SELECT 'download' AS kind, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'dimension', year(o_orderdate), count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) GROUP BY kind""")
+def retrieval_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs in a log: files of each year of the orders, of as many bytes as there are orders; odd years failed."""
+    root, o = shared_folder(spark, "runs"), _text_orders(spark, sf)
+    for kind, rows in (("download", o), ("dimension", o.where("RETURN_TYPE = 'F'"))):
+        counts = rows.groupBy("y").count().collect()
+        write_log(root, [Staged(r["y"], "P00", HEADER, "1x1", "a", "b", "failed" if r["y"] % 2 else "downloaded", 1, r["count"]) for r in counts], kind)
+    return retrieval_log(spark, root).select("kind", "resources", "downloaded", "reused", "failed", "bytes")
+
+
 def _made(path: str) -> str:
     from pathlib import Path
 

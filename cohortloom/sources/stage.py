@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import csv
 import math
 import shutil
 import time
 import urllib.request
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields, replace
 from datetime import UTC, datetime
@@ -15,6 +15,7 @@ from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.catalog import DataSource, resolve_tables
 
@@ -117,25 +118,34 @@ def download_manifest(spark: SparkSession, staged: list[Staged]) -> DataFrame:
     return spark.createDataFrame([tuple(asdict(s).values()) for s in staged], SCHEMA)
 
 
-def write_log(folder: str, staged: list[Staged]) -> str:
-    """One CSV file a run and a line in ``runs-index.csv``; returns the run's id."""
-    run = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f")
-    at = Path(folder)
-    at.mkdir(parents=True, exist_ok=True)
-    with (at / f"run-{run}.csv").open("w", newline="", encoding="utf-8") as f:
-        w = csv.writer(f)
-        w.writerow([x.name for x in fields(Staged)])
-        w.writerows(asdict(s).values() for s in staged)
-    index = at / "runs-index.csv"
-    new = not index.exists()
-    with index.open("a", newline="", encoding="utf-8") as f:
-        w = csv.writer(f)
-        if new:
-            w.writerow(["run", "tables", "downloaded", "reused", "failed"])
-        w.writerow([run, len(staged), *[sum(s.status == k for s in staged) for k in ("downloaded", "reused", "failed")]])
+LOG = f"run_id string, kind string, recorded_at timestamp, {SCHEMA}"
+RUNS = "run_id string, kind string, recorded_at timestamp, resources long, downloaded long, reused long, failed long, bytes long, elapsed_seconds double, log_file string"
+
+
+def write_log(folder: str, staged: list[Staged], kind: str = "download") -> str:
+    """One Parquet folder a run under ``logs``, on any file system; returns the run's id.
+
+    Runs never write to the same place, so drivers may log at once; a run counts from when its folder has
+    its ``_SUCCESS`` marker, which is written last.
+    """
+    spark = SparkSession.active()
+    now = datetime.now(UTC)
+    run = f"{now.strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+    rows = [(run, kind, now, *asdict(s).values()) for s in staged]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{folder.rstrip('/')}/logs/{kind}-{run}")
     return run
 
 
 def retrieval_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The index of runs."""
-    return spark.read.option("header", True).schema("run string, tables int, downloaded int, reused int, failed int").csv(f"{folder}/runs-index.csv")
+    """A row for each whole run, in the order of their times; none if nothing was logged."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(f"{folder.rstrip('/')}/logs")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = [x.getPath() for x in fs.listStatus(root) if x.isDirectory()] if fs.exists(root) else []
+    whole = [p.toString() for p in runs if fs.exists(path(p, "_SUCCESS"))]
+    if not whole:
+        return spark.createDataFrame([], RUNS)
+    tally = [F.sum((F.col("status") == k).cast("long")).alias(k) for k in ("downloaded", "reused", "failed")]
+    rows = spark.read.schema(LOG).parquet(*whole).groupBy("run_id", "kind", "recorded_at").agg(
+        F.count("*").alias("resources"), *tally, F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.round(F.sum("elapsed_seconds"), 1).alias("elapsed_seconds"))
+    return rows.withColumn("log_file", F.concat_ws("-", "kind", "run_id")).orderBy("recorded_at", "run_id")

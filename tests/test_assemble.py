@@ -271,3 +271,20 @@ def test_published_layouts_and_fallbacks(spark, tmp_path):
         dimension.retrieve(spark, str(only), vars, format="xml")
     with pytest.raises(ValueError):
         dimension.retrieve(spark, str(tmp_path / "none"), vars)
+
+
+def test_a_log_that_two_drivers_write(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from cohortloom.sources.stage import Staged
+
+    at = str(tmp_path / "cache")
+    assert retrieval_log(spark, at).count() == 0
+    one = Staged(2021, "P00", HEADER, "1x1", "a", "b", "downloaded", 1, 100, 1.26)
+    with ThreadPoolExecutor(4) as pool:
+        runs = list(pool.map(lambda k: write_log(at, [one] * (k + 1) + [Staged(2022, "P00", HEADER, "1x1", "a", "c", "failed", 3, None, 0.5, "gone")], "bmf" if k else "download"), range(4)))
+    (tmp_path / "cache" / "logs" / "download-unfinished").mkdir()  # a driver that died before its marker
+    got = retrieval_log(spark, at).collect()
+    assert sorted(r.run_id for r in got) == sorted(set(runs)) and [r.recorded_at for r in got] == sorted(r.recorded_at for r in got)
+    assert sorted((r.resources, r.downloaded, r.failed, r.bytes, r.elapsed_seconds) for r in got) == [(k + 2, k + 1, 1, 100 * (k + 1), round(1.26 * (k + 1) + 0.5, 1)) for k in range(4)]
+    assert {r.log_file for r in got if r.kind == "bmf"} == {f"bmf-{r.run_id}" for r in got if r.kind == "bmf"}
