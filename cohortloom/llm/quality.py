@@ -62,11 +62,16 @@ def shape(word: str) -> str:
         s = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:12])
+    return "".join(out)
 
 
-@lru_cache(1 << 14)
 def bucket(shape_of: str) -> int:
+    """The bucket of a whole shape; short ones are remembered, long ones would fill the memory."""
+    return _short_bucket(shape_of) if len(shape_of) <= 32 else _short_bucket.__wrapped__(shape_of)
+
+
+@lru_cache(1 << 14)
+def _short_bucket(shape_of: str) -> int:
     return zlib.crc32(shape_of.encode()) % (BUCKETS - 1)
 
 
