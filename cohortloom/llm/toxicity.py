@@ -181,9 +181,11 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          n_grades: int | None = None, max_labelled: int = MAX_LABELLED, max_gathered: int = MAX_GATHERED) -> OrdinalModel:
+          n_grades: int | None = None, max_labelled: int = MAX_LABELLED, max_gathered: int = MAX_GATHERED, fit_copies: bool = False) -> OrdinalModel:
     """Fit on the driver: the features of at most ``max_labelled`` documents, and ``max_gathered`` bytes of them, are gathered there.
 
+    Of these rows near copies of one before (``unlike``) are left out of the fit, unless ``fit_copies``.
+
     ``label_col`` holds grades 0 to ``n_grades`` - 1; without that number it holds 0 or
     1, and ``severity_grades`` makes three grades of it.
     """
@@ -201,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a fixed order, for the same sums in every run
     got.sort(key=lambda r: (r["label"], len(r["buckets"]), r["buckets"], r["counts"]))
     rows = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in got]
-    kept = unlike([b for b, _ in rows])
+    kept = range(len(rows)) if fit_copies else unlike([b for b, _ in rows])
     x, grades = [rows[i] for i in kept], np.array([got[i]["label"] for i in kept], np.int64)
     if n_grades is None:
         return fit(x, severity_grades([b for b, _ in x], grades > 0), 3)
@@ -241,9 +243,9 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return out.select(F.col("id").alias(id_col), F.round("s.severity", 9).alias("severity"), F.round("s.p_toxic", 9).alias("p_toxic"), "s.grade", (F.col("s.p_toxic") >= 0.5).alias("toxic"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, fit_copies: bool = False) -> DataFrame:
     """Train on ``labels`` (id, ``toxic`` 0 or 1; rows without a label are left out) and score all of ``docs``.
 
     Without labels of both kinds nothing is toxic. See ``train`` and ``score``.
     """
-    return score(docs, train(docs, labels, id_col, text_col, "toxic", None, max_labelled), id_col, text_col)
+    return score(docs, train(docs, labels, id_col, text_col, "toxic", None, max_labelled, fit_copies=fit_copies), id_col, text_col)

@@ -85,6 +85,15 @@ def test_near_copies_are_fitted_once():
     assert len(x.unlike(base)) == 30 and len(x.unlike(base + copies)) <= 32
 
 
+def test_copies_are_fitted_when_asked(spark, monkeypatch):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fitted = []
+    monkeypatch.setattr(x, "fit", lambda rows, grades, n: fitted.append(len(rows)))
+    for copies in (False, True):
+        x.train(docs, labels, fit_copies=copies)
+    assert fitted[0] < fitted[1] == labels.join(docs, "doc_id").select("doc_id").distinct().count()
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(3)
     n, m = 20_000, len(q.LABELLERS)
@@ -123,11 +132,18 @@ def test_quality_edge_rows(docs_of):
     assert quality(docs_of([])).count() == 0
 
 
-@pytest.mark.parametrize("word, want", [("Hello", "Aa"), ("Of%%%", "Aa%"), ("ABC!!", "A!"), ("a1b22", "a0a0"), ("", "")])
+@pytest.mark.parametrize("word, want", [("Hello", "Aa"), ("Of%%%", "Aa%"), ("ABC!!", "A!"), ("a1b22", "a0a0"), ("a1" * 40, "a0" * 40), ("", "")])
 def test_shapes(word, want):
     assert q.shape(word) == want
 
 
+def test_long_shapes_tell_words_apart_and_are_not_remembered():
+    a, b = "a1" * 30 + "-", "a1" * 30 + "+"
+    before = q._short_bucket.cache_info().currsize
+    assert q.describe(a)[-1] == zlib.crc32(("a0" * 30 + "-").encode()) % (q.BUCKETS - 1) != q.describe(b)[-1]
+    assert q._short_bucket.cache_info().currsize == before
+
+
 def test_reader_forgets_and_tells_the_same(monkeypatch):
     rnd = random.Random(5)
     words = [f"{rnd.choice(['word', 'Odd%', 'BIG!!', '|', 'x1', '<a>'])}{k}" for k in range(60)] + ["|", "|"]
