@@ -14,7 +14,7 @@ from ..operators.dimension import FIELDS, HELPERS, Prepared, prepare
 from ..operators.membership import semi
 from ..plans.catalog import format_of
 from .keyed import keep_entities
-from .stage import Staged, exists, stage
+from .stage import Staged, exists, stage, write_log
 
 # Codes of the state files.
 STATES = (
@@ -75,23 +75,34 @@ def build_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(text)
 
 
-def manifest_bytes(manifest: dict, name: str) -> int | None:
-    """The published size of a file, if the manifest has it."""
+def manifest_entry(manifest: dict, name: str) -> dict:
+    """What the manifest tells of a file, as ``bytes`` and ``sha256``; nothing, if it doesn't have it."""
     files = manifest.get("files", {})
-    entries = files.values() if isinstance(files, dict) else files
     if isinstance(files, dict) and name in files:
         f = files[name]
-        return int(f["bytes"] if isinstance(f, dict) else f)
-    return next((int(f["bytes"]) for f in entries if isinstance(f, dict) and f.get("name") == name and "bytes" in f), None)
+        return f if isinstance(f, dict) else {"bytes": f}
+    entries = files.values() if isinstance(files, dict) else files
+    return next((f for f in entries if isinstance(f, dict) and f.get("name") == name), {})
+
+
+def manifest_bytes(manifest: dict, name: str) -> int | None:
+    """The published size of a file, if the manifest has it."""
+    size = manifest_entry(manifest, name).get("bytes")
+    return None if size is None else int(size)
 
 
 def stage_dimension(spark: SparkSession, root: str, folder: str, format: str = "parquet", overwrite: bool = False, **options) -> Staged:
-    """Copy a build's file into ``folder``, its size checked against the build's manifest where there is one; a whole copy is reused."""
+    """Copy a build's file into ``folder``, its size and SHA-256 checked against the build's manifest where that has them; a whole copy is reused."""
     url = dimension_url(root, format)
-    name = url.rsplit("/", 1)[1]
     at = dimension_url(root, "manifest")
-    size = manifest_bytes(build_manifest(spark, at), name) if exists(spark, at) else None
-    return stage(Staged(0, name, name, "1x1", url, f"{folder.rstrip('/')}/{name}", "failed"), overwrite, expected_bytes=size, **options)
+    return _staged(spark, [url], folder, build_manifest(spark, at) if exists(spark, at) else {}, overwrite, **options)[0]
+
+
+def _staged(spark: SparkSession, urls: list[str], folder: str, manifest: dict, overwrite: bool = False, **options) -> list[Staged]:
+    names = [u.rsplit("/", 1)[1] for u in urls]
+    published = {n: manifest_entry(manifest, n) for n in names}
+    wanted = [Staged(0, n, n, "1x1", u, f"{folder.rstrip('/')}/{n}", "failed") for n, u in zip(names, urls)]
+    return stage(wanted, overwrite, {n: int(e["bytes"]) for n, e in published.items() if "bytes" in e}, {n: e["sha256"] for n, e in published.items() if e.get("sha256")}, **options)
 
 
 def read_file(spark: SparkSession, path: str, vars=None) -> DataFrame:
@@ -116,7 +127,8 @@ def stack_states(frames: list[DataFrame]) -> DataFrame:
     return out.drop("state")
 
 
-def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None, states=None, strict: bool = False, id: str = "EIN2", manifest: dict | None = None, format: str = "auto") -> Prepared:
+def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None, states=None, strict: bool = False, id: str = "EIN2", manifest: dict | None = None, format: str = "auto",
+             path: str | None = None, overwrite: bool = False) -> Prepared:
     """A prepared dimension from a table, a file, or a build's folder; ``ids`` (values or a table) narrows it first.
 
     Of a folder ``auto`` takes the state files if ``states`` are asked for; else the unified Parquet file, the unified CSV
@@ -124,6 +136,9 @@ def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None
     are a build of their own that may lag behind the unified file: that is warned of, in numbers if the build's
     ``manifest`` tells them (a job that counts). The manifest that lies beside a unified file is read if none is given.
     Diagnostics tell where the rows come from, and the manifest's vintage or else the newest in the data.
+
+    With ``path`` a unified file is copied there first, verified against its manifest, and the copy is read; the run is logged
+    there, and a copy that fails raises. A copy that is there as published is reused unless ``overwrite``.
     """
     if format not in FORMATS:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}")
@@ -145,7 +160,12 @@ def retrieve(spark: SparkSession, source: DataFrame | str, vars=FIELDS, ids=None
         else:
             at = dimension_url(source, "manifest")
             manifest = manifest or (build_manifest(spark, at) if exists(spark, at) else None)
-            df = read_file(spark, dimension_url(source, format), vars)
+            if path is not None:
+                staged = _staged(spark, [dimension_url(source, format)], path, manifest or {}, overwrite)
+                write_log(path, staged, "dimension")
+                if staged[0].status == "failed":
+                    raise OSError(staged[0].error)
+            df = read_file(spark, dimension_url(source, format) if path is None else staged[0].path, vars)
             origin |= {"source_type": f"unified_{format}", "format": format}
     origin |= {"vintage": (manifest or {}).get("vintage"), "whole": df}
     if ids is not None:

@@ -1,28 +1,16 @@
-"""Staging files into a cache, with retries, and a log of it. Spark reads in place; this is for slow mirrors."""
+"""Staging files into a cache, and a log of it. Spark reads in place; this is for slow mirrors."""
 
 from __future__ import annotations
 
-import math
-import shutil
-import time
-import urllib.request
 import uuid
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, fields, replace
+from dataclasses import asdict, dataclass, replace
 from datetime import UTC, datetime
-from pathlib import Path
-from urllib.parse import urlparse
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import DataSource, resolve_tables
-
-#: The slowest transfer that a timeout allows for, and the longest timeout.
-BYTES_A_SECOND = 512 * 1024
-MAX_TIMEOUT = 2_147_483
-
+from .transfer import RANGE_BYTES, Copy, budget, copy_files  # noqa: F401  (budget is part of staging)
 
 SCHEMA = "year int, request string, table string, cardinality string, source string, path string, status string, attempts int, bytes long, elapsed_seconds double, error string"
 
@@ -51,67 +39,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def budget(timeout: float, size: int | None = None, floor: float = 0) -> int:
-    """Seconds to allow for ``size`` bytes."""
-    need = math.ceil(size / BYTES_A_SECOND) if size else 0
-    return int(min(max(timeout, need, floor), MAX_TIMEOUT))
+def fetch(url: str, destination: str, retry_max: int = 3, timeout: float = 1800, expected_bytes: int | None = None, backoff: float = 1.0) -> tuple[int, int]:
+    """(attempts, bytes). Waits ``backoff`` * 2^(k-1) after attempt k of a range; no partial file is ever at ``destination``."""
+    ((status, attempts, size, _, _, error),) = copy_files(SparkSession.active(), [Copy(url, destination, expected_bytes)], True, retry_max, timeout, backoff)
+    if status == "failed":
+        raise OSError(error)
+    return attempts, size
 
 
-def fetch(url: str, destination: str, retry_max: int = 3, timeout: float = 1800, expected_bytes: int | None = None, backoff: float = 1.0) -> tuple[int, int]:
-    """(attempts, bytes). Waits ``backoff`` * 2^(k-1) after attempt k; no partial file stays behind."""
-    target, part = Path(destination), Path(f"{destination}.part")
-    target.parent.mkdir(parents=True, exist_ok=True)
-    for attempt in range(1, retry_max + 1):
-        try:
-            if urlparse(url).scheme in ("", "file"):
-                shutil.copyfile(urlparse(url).path, part)
-            else:
-                with urllib.request.urlopen(url, timeout=budget(timeout, expected_bytes)) as r, part.open("wb") as f:
-                    shutil.copyfileobj(r, f)
-            size = part.stat().st_size
-            if expected_bytes is not None and size != expected_bytes:
-                raise OSError(f"expected {expected_bytes} bytes, got {size}")
-            part.replace(target)
-            return attempt, size
-        except OSError:
-            part.unlink(missing_ok=True)
-            if attempt == retry_max:
-                raise
-            time.sleep(backoff * 2 ** (attempt - 1))
-    raise ValueError("retry_max must be at least 1")
-
-
-def stage(wanted: Staged, overwrite: bool = False, retry_max: int = 3, timeout: float = 1800, backoff: float = 1.0, expected_bytes: int | None = None) -> Staged:
-    """Copy one file; one that is there, in its expected size, is reused, one that can't be got recorded as failed."""
-    began, local = time.monotonic(), Path(wanted.path)
-    if local.exists() and not overwrite and expected_bytes in (None, local.stat().st_size):
-        return replace(wanted, status="reused", bytes=local.stat().st_size)
-    try:
-        attempts, size = fetch(wanted.source, wanted.path, retry_max, timeout, expected_bytes, backoff)
-        return replace(wanted, status="downloaded", attempts=attempts, bytes=size, elapsed_seconds=round(time.monotonic() - began, 3))
-    except OSError as e:
-        return replace(wanted, status="failed", attempts=retry_max, elapsed_seconds=round(time.monotonic() - began, 3), error=str(e))
+def stage(wanted: list[Staged], overwrite: bool = False, expected_bytes: dict[str, int] | None = None, expected_sha256: dict[str, str] | None = None, **options) -> list[Staged]:
+    """Copy files; those that are there as published are reused, those that can't be got recorded as failed.
+
+    What is published is told by the names of the sources; ``options`` are those of ``copy_files``.
+    """
+    names = [w.source.rsplit("/", 1)[-1] for w in wanted]
+    copies = [Copy(w.source, w.path, (expected_bytes or {}).get(n), (expected_sha256 or {}).get(n)) for w, n in zip(wanted, names)]
+    done = copy_files(SparkSession.active(), copies, overwrite, **options)
+    return [replace(w, status=status, attempts=attempts, bytes=size, elapsed_seconds=seconds, error=error) for w, (status, attempts, size, _, seconds, error) in zip(wanted, done)]
 
 
 def download_tables(years, tables, source: DataSource, path: str, overwrite: bool = False, retry_max: int = 3, timeout: float = 1800, backoff: float = 1.0,
-                    expected_bytes: dict[str, int] | None = None) -> list[Staged]:
-    """Copy each table-year into the cache folder ``path``, which driver and executors share (a mount).
+                    expected_bytes: dict[str, int] | None = None, expected_sha256: dict[str, str] | None = None, range_bytes: int = RANGE_BYTES) -> list[Staged]:
+    """Copy each table-year into the cache folder ``path``, on any file system that driver and executors reach.
 
-    Each file is a task of its own, so that bytes don't pass the driver; what became
-    of each comes back to it. ``expected_bytes`` has sizes by file name, as a build's manifest does.
+    Each range of a file is a task of its own, so that bytes don't pass the driver; what became of each file comes
+    back to it. ``expected_bytes`` and ``expected_sha256`` go by file name, as in a build's manifest. A copy that was
+    broken off goes on at the next call.
     """
     wanted = [Staged(year, t.request, t.table, t.cardinality, source.path(t.table, year), source.cache_path(path, t.table, year), "failed")
               for year in sorted({int(y) for y in years}) for t in resolve_tables(tables, source)]
-    sizes = expected_bytes or {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = [stage(wanted[i], overwrite, retry_max, timeout, backoff, sizes.get(wanted[i].source.rsplit("/", 1)[-1])) for i in b["id"]]
-            yield pd.DataFrame([(i, *asdict(x).values()) for i, x in zip(b["id"], done)], columns=["id", *[f.name for f in fields(Staged)]]).astype({"bytes": "Int64"})
-
-    spark = SparkSession.active()
-    rows = spark.range(len(wanted), numPartitions=max(len(wanted), 1)).mapInPandas(run, f"id long, {SCHEMA}").collect() if wanted else []
-    return [Staged(*tuple(r)[1:]) for r in sorted(rows, key=lambda r: r["id"])]
+    return stage(wanted, overwrite, expected_bytes, expected_sha256, retry_max=retry_max, timeout=timeout, backoff=backoff, range_bytes=range_bytes)
 
 
 def download_manifest(spark: SparkSession, staged: list[Staged]) -> DataFrame:

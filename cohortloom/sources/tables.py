@@ -172,6 +172,23 @@ def dims(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 
 
+def footer_count(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of Parquet files (``n``), from their footers: the count is pushed to the scan, which reads no column.
+
+    The plan has a session of its own, as it takes settings that the caller's session keeps as they are.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_dims(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Rows and columns of a file or folder; of Parquet by its footers, of CSV by counting."""
+    raw = visible(scan(spark, path))
+    return (footer_count(spark, path).first()["n"] if format_of(path) == "parquet" else raw.count()), len(raw.columns)
+
+
 #: Digits that whole numbers can have.
 WHOLE = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 
