@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from ..functions.predicates import as_list
 from ..functions.values import is_number, kinds
 from ..operators import accounting, balance, dedup, impute, membership, normalize, smooth
+from ..sources.tables import read_manifest
 from .frame import Applied, SampleFrame, apply_frame
 
 
@@ -113,6 +114,10 @@ class Panel:
         """The ledger with its counts."""
         return self.frame.ledger.manifest(self.df.sparkSession)
 
+    def sources(self) -> DataFrame:
+        """The table-years that the panel was built from, with their rows and columns before and after reading; none if it was made of rows."""
+        return read_manifest(self.df.sparkSession, list(self.reads))
+
     def __repr__(self) -> str:
         return f"<panel> {self.frame.name}: {len(self.df.columns)} columns, labels {'fresh' if self.fresh else 'stale'}, {len(self.frame.ledger.entries)} steps"
 

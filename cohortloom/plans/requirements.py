@@ -15,6 +15,9 @@ from .catalog import DataSource, resolve_tables
 from .dictionary import Dictionary
 from .frame import Rule, SampleFrame
 
+#: Entities that may be gathered as values of a rule.
+MAX_CAPTURED = 100_000
+
 
 def satisfying(df: DataFrame, rule: Rule, entity: str, time: str, n_years: int) -> DataFrame:
     """Entities of ``df`` that meet the rule, one column: one aggregation, two or three columns read.
@@ -44,8 +47,8 @@ def resolve_frame(spark: SparkSession, frame: SampleFrame, years, source: DataSo
     """The frame with its require rules answered by one subset rule; they stay on record, inactive.
 
     The ids stay a lazy table that is semi-joined to whatever the frame is applied
-    to; ``capture`` gathers them as values at the driver, and is meant for some
-    thousands of them. Years without a file are passed over.
+    to; ``capture`` gathers them as values at the driver, and raises if there are more than
+    ``MAX_CAPTURED``. Years without a file are passed over.
     """
     rules = frame.of("require")
     if not rules:
@@ -53,12 +56,13 @@ def resolve_frame(spark: SparkSession, frame: SampleFrame, years, source: DataSo
     sets, ledger = [], frame.ledger
     for r in rules:
         table = resolve_tables(r.table, source)[0].table
-        paths = [source.path(table, y) for y in sorted({int(y) for y in years})]
-        paths = [p for p in paths if exists(spark, p)]
+        paths = {y: p for y in sorted({int(y) for y in years}) if exists(spark, p := source.path(table, y))}
         if not paths:
             raise ValueError(f"no {table} file for the years asked for under {source.root}")
         wanted = {frame.entity, frame.time} | ({r.predicate.column} if r.predicate else set())
-        parts = [scan(spark, p, source.format) for p in paths]
+        parts = {y: scan(spark, p, source.format) for y, p in paths.items()}
+        # a file without the year is of the year that its name tells
+        parts = [p if frame.time in p.columns else p.withColumn(frame.time, F.lit(y)) for y, p in parts.items()]
         df = stack([cast_declared(p.select(*[quoted(c) for c in p.columns if c in wanted]), dictionary) for p in parts])
         ids = satisfying(df, r, frame.entity, frame.time, len(paths))
         ledger = ledger.add(f"require: {r.name}", r.detail(), None, ids)
@@ -68,4 +72,9 @@ def resolve_frame(spark: SparkSession, frame: SampleFrame, years, source: DataSo
         ledger = ledger.add("resolve_frame", f"{len(sets)} requirements intersected", None, ids)
     kept = tuple(replace(r, active=False) if r.type == "require" else r for r in frame.rules)
     out = replace(frame, rules=kept, ledger=ledger)
-    return out.add_rule("subset", name, ids=[r[0] for r in ids.collect()] if capture else ids)
+    if capture:
+        got = [r[0] for r in ids.limit(MAX_CAPTURED + 1).collect()]
+        if len(got) > MAX_CAPTURED:
+            raise ValueError(f"more than {MAX_CAPTURED} entities satisfy the requirements: resolve without capture, which keeps them a table")
+        return out.add_rule("subset", name, ids=got)
+    return out.add_rule("subset", name, ids=ids)
