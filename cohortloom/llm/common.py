@@ -66,6 +66,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: A key is hot if it has more than this part of the rows of a join; so there are fewer hot keys than this.
+HOT_KEYS = 1000
+#: Parts that a hot key's rows are dealt into.
+SALTS = 100
+
+
+def salted(left: DataFrame, right: DataFrame, on: list[str], n: str, by: list[str]) -> DataFrame:
+    """``left`` joined to ``right`` on the columns ``on``, which aren't null, without ``right``'s column ``n``.
+
+    ``right`` has one row a key, with the number of ``left``'s rows that have it in
+    ``n``. Rows of hot keys are dealt by the hash of ``by`` into ``SALTS`` parts, each
+    of which gets the key. Hot keys are known by 64-bit hashes, fewer than
+    ``HOT_KEYS`` of them, which are broadcast; a key that shares a hash is dealt out too.
+    """
+    total = right.agg(F.sum(n).alias("hot_total"))
+    hot = right.crossJoin(F.broadcast(total)).where(F.col(n) * HOT_KEYS > F.col("hot_total")).select(F.xxhash64(*on).alias("hot_key")).distinct().withColumn("is_hot", F.lit(True))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("hot_key", F.xxhash64(*on)).join(F.broadcast(hot), "hot_key", "left")
+
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int")
+    parts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = marked(left).withColumn("salt", salt).drop("hot_key", "is_hot")
+    copies = marked(right).withColumn("salt", F.explode(parts)).drop("hot_key", "is_hot", n)
+    return dealt.join(copies, [*on, "salt"]).drop("salt")
+
+
 _scopes: list[list[str]] = []
 
 

@@ -61,6 +61,20 @@ def test_simhash_edge_rows(docs_of):
     assert got == [("4", 4), ("4", 4), ("9", 4), ("None", 4)]
 
 
+def test_salted_join(spark):
+    """Hot and rare keys, empty sides: the rows of a plain join."""
+    from pyspark.sql import functions as F
+
+    from cohortloom.llm.common import salted
+
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 1500).cast("string")).alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = salted(left, right, ["k"], "n", ["id"])
+    assert got.columns == ["k", "id", "least"]
+    assert sorted(got.collect()) == sorted(left.join(right.drop("n"), ["k"]).collect())
+    assert salted(left.limit(0), right.limit(0), ["k"], "n", ["id"]).count() == 0
+
+
 def test_chains_join(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (50, 60), (60, 50)]
     rnd = random.Random(2)

@@ -180,6 +180,12 @@ def test_urls_against_plain_loop(spark):
     assert urls(spark, []) == []
 
 
+def test_hot_urls(spark):
+    """A third of all pages without a url, and a host with most paths: the joins deal them out, with the results of a plain loop."""
+    rows = [(i, None) for i in range(400)] + [(1000 + i, f"http://big.com/{'fr' if i % 3 else 'de'}/{i % 150}/x{i % 7}") for i in range(600)] + [(2000 + i, f"http://h{i}.net/a") for i in range(200)]
+    assert urls(spark, rows) == plain_urls(rows)
+
+
 @pytest.mark.parametrize("url, want", [
     ("http://sub.example.org/es/1", ("example.org/es/", "block")), ("http://example.org/en/1", ("example.org/en/1", "block")), ("http://example.org/en/2", ("org/", "allow")),
     ("http://x.com/fr/a", ("com/fr/", "allow")), ("http://x.com/de/a", ("com/de/", "block")), ("http://x.net/de/a", (None, "allow")), ("http://a.org", (None, "allow")),
