@@ -66,7 +66,7 @@ def line_dedup(
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text_col`` as ``line_dedup`` leaves it, and ``chars_col``, if there is one, counted anew.
 
-    All rows and columns stay; a text without dropped lines, a null one too, stays as it is.
+    All rows and columns stay; a text without dropped lines, a null one too, stays as it is. Ids, repeats and null ids are taken as by ``line_dedup``; an empty table gives an empty result.
     """
     src, names = flat(docs)
     src = src.withColumns({"id": F.col(at(docs, id_col)), "text": F.coalesce(F.col(at(docs, text_col)), F.lit(""))})

@@ -250,6 +250,17 @@ def _features(words: int, buckets: bytes, counts: bytes) -> tuple[np.ndarray, np
     return np.frombuffer(buckets, "<u2").astype(np.int64), np.frombuffer(counts, "<u4") / max(words, 1)
 
 
+def least_hashed(ids: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``most`` distinct ids of least hash among ``n`` rows of ``id``; only ids below a bound on the hash are shuffled, which rises where rows repeat too often."""
+    share = 4 * most / max(n, 1)
+    while True:
+        below = ids if share >= 1 else ids.where(F.xxhash64("id") <= int(share * 2**64) - 2**63)
+        found = below.distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+        if share >= 1 or found.count() >= most:
+            return found
+        share *= 8
+
+
 def train(seen: DataFrame, max_fitted: int = MAX_FITTED, max_gathered: int = MAX_GATHERED) -> tuple[LabelModel, Scorer]:
     """EM on the vote patterns of all documents (3^12 at most), then the scorer on a bounded sample of them, one row an id.
 
@@ -257,7 +268,7 @@ def train(seen: DataFrame, max_fitted: int = MAX_FITTED, max_gathered: int = MAX
     """
     votes = seen.groupBy(F.col("seen.votes").alias("v")).agg(F.count("*").alias("n")).orderBy("v").toPandas()
     model = fit_labellers(votes["v"].to_numpy(), votes["n"].to_numpy())
-    chosen = seen.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_fitted).withColumnRenamed("id", "key")
+    chosen = least_hashed(seen.select("id"), int(votes["n"].sum()), max_fitted).withColumnRenamed("id", "key")
     drawn, path = stored(seen.join(F.broadcast(chosen), F.col("id") == F.col("key")).groupBy("id").agg(F.min("seen").alias("seen")).select("id", "seen.*"))
     # buckets and counts are gathered as bytes, and unpacked to sixteen of them each
     sample = within(drawn.withColumn("size", 8 * F.octet_length("buckets")), "size", max_gathered).select("votes", "words", "buckets", "counts").toPandas()
@@ -305,6 +316,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> DataFrame:
     """``docs`` without the rows that the scorer rejects; all columns stay.
 
+    Null, empty and very short texts are judged by what words they have, as in ``quality``; rows that repeat, or share an id, are judged each;
+    null ids are judged and not fitted; an empty table gives an empty result.
     Whole rows are written to the shared folder with their features, as ids need not tell them apart.
     """
     arrow_batches(docs.sparkSession)

@@ -248,6 +248,18 @@ def test_quality_against_brute_force(spark):
         assert abs(got[i][0] - want) < 1e-6 and (got[i][1] == (want >= 0.5) or abs(want - 0.5) < 1e-6)
 
 
+@pytest.mark.parametrize("repeats", [1, 50])
+def test_ids_of_least_hash(spark, repeats):
+    """The same ids as by sorting all of them, whatever part of the rows repeats."""
+    from pyspark.sql import functions as F
+
+    from cohortloom.llm.quality import least_hashed
+
+    ids = spark.range(3000).select((F.col("id") / repeats).cast("long").alias("id")).unionAll(spark.sql("SELECT CAST(NULL AS LONG) AS id"))
+    want = [r.id for r in ids.distinct().orderBy(F.xxhash64("id"), "id").limit(20).collect()]
+    assert [r.id for r in least_hashed(ids, 3001, 20).orderBy(F.xxhash64("id"), "id").collect()] == want
+
+
 def test_many_rows_of_one_id(docs_of, spark):
     """A sampled id that many rows share is gathered once, and the bytes gathered have a bound."""
     rows = [(7, f"copy number {i} of a fool")  for i in range(3000)] + [(i, "you are a fool" if i % 3 == 0 else "calm plain words") for i in range(100, 160)]
