@@ -93,16 +93,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Fingerprints are computed once and written to the shared folder. Documents of
     the same fingerprint fold into one row, with map-side partial aggregation,
     before any ball is emitted, so thousands of copies cost as much as one; the join
-    back deals out the documents of a fingerprint, and the fingerprints of a component,
-    that have over a thousandth of all.
+    back deals out the documents of a fingerprint that has over a thousandth of all.
     """
     fps = cut(fingerprints(docs, id_col, text_col, words))
     unique = fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     edges = cut(links(unique.select("fp")))
     names = components(edges).withColumnRenamed("node", "fp")
     named = unique.join(names, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "first", "copies")
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
-    table = cut(salted(named, roots, ["root"], "members", ["fp"]).select("fp", "component_id", "copies"))
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    table = cut(named.join(roots, "root").select("fp", "component_id", "copies"))
     return salted(fps, table, ["fp"], "copies", ["id"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -98,7 +98,7 @@ def templates(judged: DataFrame) -> DataFrame:
     level = 0
     while tree.where(~F.col("done")).limit(1).count():
         named = tree.where(~F.col("done")).withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
-        nodes = named.groupBy("host", "prefix", "seg").agg(F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+        nodes = named.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
         parents = nodes.groupBy("host", "prefix").agg(F.count("*").alias("k"), F.sum("n").alias("all_n"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
         whole = F.col("all_a") + F.col("all_b")
         pooled = F.col("all_a") / whole
@@ -107,25 +107,24 @@ def templates(judged: DataFrame) -> DataFrame:
         # a pool of one kind only has no spread: then any other rate differs
         similar = (m >= MIN_LABELLED) & (F.abs(F.col("a") / m - pooled) <= SIMILAR * F.sqrt(pooled * (1 - pooled) / m) + 1e-12)
         rare = (F.col("k") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all_n")) & (m < MIN_LABELLED)
-        told = salted(nodes, parents.withColumn("children", F.col("k")), ["host", "prefix"], "children", ["seg"])
-        merged = told.select(
-            "host", "prefix", "seg", "paths", (~differs | (F.col("seg") == "")).alias("ends"),
+        merged = nodes.join(parents, ["host", "prefix"]).select(
+            "host", "prefix", "seg", (~differs | (F.col("seg") == "")).alias("ends"),
             F.when(~differs, "/**").when(F.col("seg") == "", "").when(rare | (similar & (F.col("k") > 1)), "/*").otherwise(F.concat(F.lit("/"), "seg")).alias("name"),
         )
-        grown = salted(named, merged, ["host", "prefix", "seg"], "paths", ["segs"]).select("host", "segs", "n", "a", "b", F.concat("prefix", "name").alias("prefix"), F.col("ends").alias("done"))
+        grown = named.join(merged, ["host", "prefix", "seg"]).select("host", "segs", "n", "a", "b", F.concat("prefix", "name").alias("prefix"), F.col("ends").alias("done"))
         before = path
         tree, path = stored(grown.unionByName(tree.where("done")))
         remove(tree.sparkSession, before)
         level += 1
     totals = tree.agg(((F.sum("a") + 1) / (F.sum("a") + F.sum("b") + 2)).alias("p0"))
-    hosts = tree.groupBy("host").agg(F.count_distinct("prefix").alias("ends"), F.sum("a").alias("ha"), F.sum("b").alias("hb"))
-    leaves = tree.groupBy("host", "prefix").agg(F.count("*").alias("paths"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    hosts = tree.groupBy("host").agg(F.sum("a").alias("ha"), F.sum("b").alias("hb"))
+    leaves = tree.groupBy("host", "prefix").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     of_host = (F.col("ha") + SMOOTHING * F.col("p0")) / (F.col("ha") + F.col("hb") + SMOOTHING)
-    purity = salted(leaves, hosts, ["host"], "ends", ["prefix"]).crossJoin(F.broadcast(totals)).select(
-        "host", "prefix", "paths", (F.col("a") + F.col("b")).alias("labelled"),
+    purity = leaves.join(hosts, "host").crossJoin(F.broadcast(totals)).select(
+        "host", "prefix", (F.col("a") + F.col("b")).alias("labelled"),
         ((F.col("a") + SMOOTHING * of_host) / (F.col("a") + F.col("b") + SMOOTHING)).alias("purity"),
     )
-    return salted(tree, purity, ["host", "prefix"], "paths", ["segs"]).select("host", "segs", "n", F.concat("host", "prefix").alias("template"), "labelled", "purity")
+    return tree.join(purity, ["host", "prefix"]).select("host", "segs", "n", F.concat("host", "prefix").alias("template"), "labelled", "purity")
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
