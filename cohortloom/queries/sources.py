@@ -16,7 +16,7 @@ from ..plans.frame import apply_frame, create_frame
 from ..plans.panel import Panel
 from ..sources.dimension import build_manifest, dimension_url, manifest_bytes, resolve_states, retrieve
 from ..sources.keyed import store_keyed
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, write_each
 from ..sources.stage import Staged, budget, download_manifest, download_tables, retrieval_log, write_log
 from ..sources.tables import file_dims, read_manifest, read_table, read_tables, scan, stack
 from .core import C_SQL, F_SQL, _dimension, filings, longs, panel, query, table
@@ -32,10 +32,9 @@ def _text_orders(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderkey").cast("string")).alias("number"))
 
 
-def _write_years(parts: list[tuple[DataFrame, str]]) -> None:
-    """Write table-years, some at a time: each is a small job that leaves most of a cluster idle."""
-    with ThreadPoolExecutor(8) as pool:
-        list(pool.map(lambda p: p[0].write.parquet(p[1]), parts))
+def _write_years(df: DataFrame, root: str, name: str, years: list[int]) -> None:
+    """Write a table's years, told by ``y``, in one scan."""
+    write_each(df, "y", {y: f"{root}/{name}-{y}.parquet" for y in years})
 
 
 def _years(orders: DataFrame) -> list[int]:
@@ -50,10 +49,9 @@ def read_csv_types(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as CSV files by year, read with declared types."""
     root, o = shared_folder(spark, "csv"), _text_orders(spark, sf)
     d = Dictionary([Field("amount", "PC", "numeric", money=True), Field("number", "PC", "numeric")])
-    parts = []
-    for y in _years(o):
-        o.where(F.col("y") == y).drop("y", "RETURN_TYPE").write.option("header", True).csv(f"{root}/{HEADER}-{y}.CSV")
-        parts.append(read_table(scan(spark, f"{root}/{HEADER}-{y}.CSV"), y, dictionary=d))
+    files = {y: f"{root}/{HEADER}-{y}.CSV" for y in _years(o)}
+    write_each(o.drop("RETURN_TYPE"), "y", files, "csv", header=True)
+    parts = [read_table(scan(spark, at), y, dictionary=d) for y, at in files.items()]
     return longs(stack(parts).withColumn("number", F.col("number").cast("long")))
 
 
@@ -102,8 +100,8 @@ def read_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows before and after reading, of table-years that hold each row twice."""
     root, o = shared_folder(spark, "counts"), _text_orders(spark, sf)
     years = _years(o)
-    parts = [(y, o.where(F.col("y") == y).withColumnRenamed("y", "TAX_YEAR")) for y in years]
-    _write_years([(p.unionAll(p), f"{root}/{HEADER}-{y}.parquet") for y, p in parts])
+    rows = o.withColumn("TAX_YEAR", F.col("y"))
+    _write_years(rows.unionAll(rows), root, HEADER, years)
     return longs(read_manifest(spark, read_tables(spark, "P00", years, data_source(root))).select(
         "year", "cardinality", "status", "rows_source", "cols_source", "rows_selected", "cols_selected", "exact_duplicates_removed"))
 
@@ -141,7 +139,8 @@ def resolved_tables(spark: SparkSession, sf: str) -> DataFrame:
     """A known and an unknown table, found and read for every year of the orders."""
     root, o = shared_folder(spark, "resolved"), _text_orders(spark, sf)
     years = _years(o)
-    _write_years([(o.where(F.col("y") == y).drop("y"), f"{root}/{t}-{y}.parquet") for y in years for t in (HEADER, "NEW-P01-T02-X")])
+    for t in (HEADER, "NEW-P01-T02-X"):
+        _write_years(o, root, t, years)
     reads = read_tables(spark, ["P00", "new-p01-t02-x"], years, data_source(root), unique_rows=False)
     m = read_manifest(spark, reads).groupBy("request", "table").agg(F.sum("rows_source").alias("rows"))
     known = spark.createDataFrame([(r.request, cardinality(r.table), r.known) for r in resolve_tables(["P00", "new-p01-t02-x"], data_source(root))], "request string, cardinality string, known boolean")
@@ -377,9 +376,8 @@ def panelize_pf_orders(spark: SparkSession, sf: str) -> DataFrame:
     root, o = shared_folder(spark, "pf"), _text_orders(spark, sf)
     keys = ["EIN2", "OBJECTID", F.col("y").cast("string").alias("TAX_YEAR")]
     years = _years(o)
-    parts = [(y, o.where(F.col("y") == y)) for y in years]
-    _write_years([(p.select(*keys, "RETURN_TYPE"), f"{root}/{HEADER}-{y}.parquet") for y, p in parts]
-                 + [(p.select(*keys, F.col("amount").alias("PF_01_REV_TOT_BOOKS")), f"{root}/PF-P01-T00-REVENUE-EXPENSE-{y}.parquet") for y, p in parts])
+    _write_years(o.select("y", *keys, "RETURN_TYPE"), root, HEADER, years)
+    _write_years(o.select("y", *keys, F.col("amount").alias("PF_01_REV_TOT_BOOKS")), root, "PF-P01-T00-REVENUE-EXPENSE", years)
     frame = create_frame("pf", record="OBJECTID", eins=[f"ein-{k}" for k in (1, 2, 4, 5, 7, 10)]).add_rule("filter", column="PF_01_REV_TOT_BOOKS", op=">", values=1000.0)
     p = panelize_pf(spark, ["P00", "PF01"], years, root, frame=frame, filters={"EIN2": [f"ein-{k}" for k in (1, 2, 4, 5, 7, 8)]})
     return longs(p.df.select("EIN2", "OBJECTID", "TAX_YEAR", "PF_01_REV_TOT_BOOKS"))
@@ -390,8 +388,8 @@ def panelize_joins(spark: SparkSession, sf: str) -> DataFrame:
     """The record of a panel's joins."""
     root, o = shared_folder(spark, "joins"), _text_orders(spark, sf)
     years = _years(o)
-    parts = [(y, o.where(F.col("y") == y).withColumn("TAX_YEAR", F.col("y").cast("string"))) for y in years]
-    _write_years([(p.select("EIN2", "OBJECTID", "TAX_YEAR", "RETURN_TYPE"), f"{root}/{HEADER}-{y}.parquet") for y, p in parts]
-                 + [(p.select("EIN2", "OBJECTID", "TAX_YEAR", F.col("amount").alias("F9_01_REV_TOT_CY")), f"{root}/{SUMMARY}-{y}.parquet") for y, p in parts])
+    keys = ["EIN2", "OBJECTID", F.col("y").cast("string").alias("TAX_YEAR")]
+    _write_years(o.select("y", *keys, "RETURN_TYPE"), root, HEADER, years)
+    _write_years(o.select("y", *keys, F.col("amount").alias("F9_01_REV_TOT_CY")), root, SUMMARY, years)
     p = panelize(spark, ["P00", "P01"], years, data_source(root))
     return longs(spark.createDataFrame([(j["left"], j["right"], j["year"], j["expected_cardinality"]) for j in p.joins], "left string, right string, year long, expected_cardinality string"))

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.values import quoted, trim
 from ..plans.catalog import DataSource, Resolved, format_of, resolve_tables
 from ..plans.dictionary import Dictionary
-from .distinct import WIDE, RowProfile, count_rows, distinct_rows, profile_rows
-from .keyed import LISTED, keep_entities, visible
+from .distinct import WIDE, RowProfile, count_rows, distinct_rows, profile_rows, row_hash
+from .keyed import FOLDED, LISTED, keep_entities, visible
 from .stage import Staged, exists
 
 READABLE = ("downloaded", "reused", "virtual")
+#: Hashes of a whole row as it lies, beside its columns.
+ROW = ("__row1", "__row2")
 
 
 def cast_declared(df: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
@@ -74,6 +76,12 @@ class TableYear:
     profile: RowProfile | None = None
     filtered: bool = False
     unique: bool = True
+    #: The rows of ``df`` with their repeats and, where these are to go, the hashes ``ROW`` of the whole rows.
+    marked: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame | None:
+        return self.marked.drop(*ROW) if self.marked is not None else None
 
 
 def filtered_rows(raw: DataFrame, filters: dict[str, list] | None = None, ids: DataFrame | None = None, entity: str = "EIN2") -> DataFrame:
@@ -115,10 +123,11 @@ def read_table(raw: DataFrame, year: int, columns: list[str] | None = None, filt
 
 
 def read_tables(spark: SparkSession, tables, years, source: DataSource, staged: list[Staged] | None = None, filters: dict[str, list] | None = None, unique_rows: bool = True,
-                ids: DataFrame | None = None, entity: str = "EIN2", **options) -> list[TableYear]:
+                ids: DataFrame | None = None, entity: str = "EIN2", late: bool = False, **options) -> list[TableYear]:
     """Plans for every table-year, staged or in place. What can't be read is recorded with its status, not raised.
 
-    Wide tables are profiled by their row hashes, all of them in one job.
+    Wide tables are profiled by their row hashes, all of them in one job. ``late`` leaves ``ids`` out of the
+    ``marked`` rows, for a caller that joins them later, once for all tables; but for files with a stored key.
     """
     found = []
     by_key = {(s.table, s.year): s for s in staged or ()}
@@ -128,19 +137,27 @@ def read_tables(spark: SparkSession, tables, years, source: DataSource, staged:
             path, status = (s.path, s.status) if s else (source.path(t.table, year), "virtual")
             there = status in READABLE and (s is not None or exists(spark, path))
             found.append((t, year, path, status if there else "failed", scan(spark, path) if there else None))
-    narrowed = {i: filtered_rows(raw, filters, ids, entity) for i, (*_, raw) in enumerate(found) if raw is not None and unique_rows}
-    wide = [i for i, df in narrowed.items() if len(df.columns) >= WIDE]
-    profiles = dict(zip(wide, profile_rows([narrowed[i] for i in wide])))
+    wide = [i for i, (*_, raw) in enumerate(found) if raw is not None and unique_rows and len(visible(raw).columns) >= WIDE]
+    profiles = dict(zip(wide, profile_rows([filtered_rows(found[i][-1], filters, ids, entity) for i in wide])))
     out = []
     for i, (t, year, path, status, raw) in enumerate(found):
-        df = None
+        df = marked = None
         if raw is not None:
             df = read_table(raw, year, filters=filters, unique_rows=unique_rows, ids=ids, entity=entity, profile=profiles.get(i), **options)
+            marked = _marked(raw, year, filters, unique_rows, None if late and FOLDED not in raw.columns else ids, entity, profiles.get(i), **options)
             raw = visible(raw)
-        out.append(TableYear(t, year, path, status, df, raw, profiles.get(i), bool(filters) or ids is not None, unique_rows))
+        out.append(TableYear(t, year, path, status, df, raw, profiles.get(i), bool(filters) or ids is not None, unique_rows, marked))
     return out
 
 
+def _marked(raw: DataFrame, year: int, filters, unique_rows: bool, ids: DataFrame | None, entity: str, profile: RowProfile | None, columns: list[str] | None = None, dictionary: Dictionary | None = None) -> DataFrame:
+    df = filtered_rows(raw, filters, ids, entity)
+    # where no row repeats, the keys tell all, and columns that aren't wanted needn't be read
+    if unique_rows and (profile is None or profile.repeated is not None):
+        df = df.select("*", *[h.alias(name) for h, name in zip(row_hash(df), ROW)])
+    return read_table(df, year, None if columns is None else [*columns, *ROW], unique_rows=False, dictionary=dictionary)
+
+
 def read_manifest(spark: SparkSession, tables: list[TableYear]) -> DataFrame:
     """Rows and columns of each table-year before and after reading.
 
